@@ -30,13 +30,24 @@ def unit_distance(a: Column, b: Column) -> Column:
     return 1.0 - dot(a, b)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, also inside nested lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unit(v: Column) -> Column:
+    """The vector in double precision scaled to unit norm; NULL where it has no direction."""
+    return _let(v, lambda w: _let(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x.cast("double") / n))))
+
+
 def normalize(v: Column, dimension: int) -> Column:
     """Unit vector, or NULL when the dimension is wrong, a value is missing or the norm is zero."""
-    usable = (F.size(v) == dimension) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
-    length = norm(v)
-    return F.when(
-        usable & (length > 0), F.transform(v, lambda x: (x.cast("double") / length).cast("float"))
-    )
+
+    def checked(w: Column) -> Column:
+        usable = (F.size(w) == dimension) & ~F.exists(w, lambda x: x.isNull() | F.isnan(x))
+        return F.when(usable, unit(w).cast("array<float>"))
+
+    return _let(v, checked)
 
 
 def parse_vector(payload: Column, dimension: int) -> Column:

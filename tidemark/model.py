@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-STRINGS = T.ArrayType(T.StringType(), containsNull=False)
+STRINGS = T.ArrayType(T.StringType())
 
 
 def _field(name: str, kind: T.DataType, required: bool = False) -> T.StructField:

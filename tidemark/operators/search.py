@@ -15,6 +15,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,14 +94,13 @@ def tokens(c: Column) -> Column:
 
 def postings(documents: DataFrame) -> DataFrame:
     """One row per occurrence of a word that is no stop word: document, field, word, position."""
-    per_field = [
-        F.transform(
-            tokens(F.col(name)),
-            lambda w, i, name=name: F.struct(F.lit(name).alias("field"), w.alias("term"), i.alias("pos")),
+    def occurrences(name: str) -> Column:
+        where = F.lit(name).alias("field")
+        return F.transform(
+            tokens(F.col(name)), lambda w, i: F.struct(where, w.alias("term"), i.alias("pos"))
         )
-        for name in FIELD_WEIGHTS
-    ]
-    hits = documents.select("id", F.explode(F.concat(*per_field)).alias("p"))
+
+    hits = documents.select("id", F.explode(F.concat(*map(occurrences, FIELD_WEIGHTS))).alias("p"))
     return hits.select("id", "p.field", "p.term", "p.pos").filter(~F.col("term").isin(STOP_WORDS))
 
 
@@ -176,25 +176,27 @@ def cover_density_matches(documents: DataFrame, query: Query) -> DataFrame:
     and only as the positions of the query terms.
     """
     matched = lexical_matches(documents, query).select("id", "strict")
-    words = F.concat(
-        *[
-            F.transform(tokens(F.col(name)), lambda w, weight=weight: F.struct(w.alias("w"), F.lit(weight).alias("g")))
-            for name, weight in FIELD_WEIGHTS.items()
-        ]
+
+    texts = {name: tokens(F.col(name)) for name in FIELD_WEIGHTS}
+    weights = [F.array_repeat(F.lit(w), F.size(texts[name])) for name, w in FIELD_WEIGHTS.items()]
+    placed = documents.join(matched, "id").select(
+        "id", "strict", F.explode(F.array(F.struct(F.concat(*texts.values()).alias("words"), F.concat(*weights).alias("weights")))).alias("d")
     )
+    words = F.col("d.words")
 
     def places(number: int, term: Term) -> Column:
-        plain = F.transform("words", lambda s: s.w)
-        hit = lambda s, i: F.struct(F.lit(number).alias("t"), i.alias("p"), s.g.alias("g"))
-        found = F.transform("words", lambda s, i: F.when(_starts_at(plain, term, i), hit(s, i)))
+        found = F.transform(
+            words,
+            lambda _, i: F.when(
+                _starts_at(words, term, i),
+                F.struct(F.lit(number).alias("t"), i.alias("p"), F.get("d.weights", i).alias("g")),
+            ),
+        )
         return F.array_compact(found)
 
     hits = F.concat(*[places(i, t) for i, t in enumerate(query.terms)])
-    rows = (
-        documents.select("id", words.alias("words"))
-        .join(matched, "id")
-        .select("id", "strict", F.explode(F.array(hits)).alias("hits"))
-        .select("id", "strict", "hits.t", "hits.p", "hits.g")
+    rows = placed.select("id", "strict", F.explode(F.array(hits)).alias("hits")).select(
+        "id", "strict", "hits.t", "hits.p", "hits.g"
     )
     shape = [[query.terms.index(t) for t in group] for group in query.alternatives]
     relaxed = [[i] for i in range(len(query.terms))]
@@ -281,17 +283,38 @@ def similar_items(documents: DataFrame, item_id, k: int = 6) -> DataFrame:
     return cosine_topk(others, vector_of(documents, item_id), k)
 
 
-def fit_neighbour_index(documents: DataFrame, bucket_length: float = 0.5, tables: int = 6):
-    """Random-projection buckets over the vectors, for approximate neighbours."""
-    lsh = BucketedRandomProjectionLSH(
+def similar_items_approx(
+    documents: DataFrame, item_id, k: int = 6, bucket_length: float = 0.5, tables: int = 6
+) -> DataFrame:
+    """Approximate neighbours of one item through random-projection buckets.
+
+    Only rows that share a bucket with the item are compared with it, and no pair of other rows is
+    ever formed. For unit vectors the squared distance is twice the cosine distance.
+    """
+    vector = vector_of(documents, item_id)
+    if not vector:
+        return cosine_topk(documents, None, k)
+    length = sum(x * x for x in vector) ** 0.5
+    others = documents.filter(F.col("embedding").isNotNull() & (F.col("id") != F.lit(item_id)))
+    featured = others.withColumn("features", array_to_vector(vectors.unit(F.col("embedding"))))
+    buckets = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="buckets", bucketLength=bucket_length, numHashTables=tables, seed=7
     )
-    return lsh.fit(_features(documents))
+    near = buckets.fit(featured).approxNearestNeighbors(
+        featured, Vectors.dense([x / length for x in vector]), k, distCol="euclidean"
+    )
+    return near.withColumn("distance", F.col("euclidean") * F.col("euclidean") / 2).drop(
+        "features", "buckets", "euclidean"
+    )
 
 
-def _features(documents: DataFrame) -> DataFrame:
-    unit = F.transform("embedding", lambda x: x.cast("double") / vectors.norm(F.col("embedding")))
-    return documents.filter(F.col("embedding").isNotNull()).withColumn("features", array_to_vector(unit))
+def approx_recall(documents: DataFrame, item_id, k: int) -> DataFrame:
+    """Share of the exact ``k`` neighbours that the approximate search finds."""
+    exact = similar_items(documents, item_id, k).select("id")
+    found = similar_items_approx(documents, item_id, k).select("id", F.lit(1).alias("hit"))
+    return exact.join(found, "id", "left").agg(
+        F.count("*").alias("k"), F.count("hit").alias("found"), F.try_divide(F.count("hit"), F.count("*")).alias("recall")
+    )
 
 
 # --- fusion ----------------------------------------------------------------------------------

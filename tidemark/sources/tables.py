@@ -194,13 +194,13 @@ def staging(spark: SparkSession, folder: str) -> DataFrame:
     of high-priority rows change.
     """
     late = F.col("order_year") >= FIRST_STAGED_YEAR
-    runs = [F.when(F.col("order_year") <= LAST_IMPORTED_YEAR, IMPORT_RUN)]
-    runs += [F.when(late & (F.col("source") == source), run) for source, run in SOURCE_RUNS.items()]
-    runs += [F.when(late & (F.col("source") == SOURCES[0]), BROKEN_RUN)]
+    runs = [F.when(F.col("order_year") <= LAST_IMPORTED_YEAR, F.lit(IMPORT_RUN).cast("long"))]
+    runs += [F.when(late & (F.col("source") == s), F.lit(r).cast("long")) for s, r in SOURCE_RUNS.items()]
+    runs += [F.when(late & (F.col("source") == SOURCES[0]), F.lit(BROKEN_RUN).cast("long"))]
     run = F.col("scrape_run_id")
     return (
         projects(spark, folder)
-        .withColumn("scrape_run_id", F.explode(F.array_compact(F.array(*runs))).cast("long"))
+        .withColumn("scrape_run_id", F.explode(F.array_compact(F.array(*runs))))
         .withColumn(
             "title",
             F.when((run != IMPORT_RUN) & (F.col("raw_placement") == "2-HIGH"), F.concat("title", F.lit(" v2")))
