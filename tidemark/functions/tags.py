@@ -12,6 +12,9 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.session import small_frame
 
 
 @dataclass(frozen=True)
@@ -81,7 +84,8 @@ def load_vocabulary(path: str | Path, theme_bounds: tuple[int, int] = (30, 50))
 
 def theme_frame(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     rows = [(t.slug, t.label, t.description) for t in vocabulary.themes]
-    return spark.createDataFrame(rows, "slug string, label string, description string")
+    columns = [T.StructField(c, T.StringType()) for c in ("slug", "label", "description")]
+    return small_frame(spark, rows, T.StructType(columns))
 
 
 def _literal_map(entries: dict) -> Column:

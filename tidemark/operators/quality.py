@@ -6,12 +6,16 @@ row per run and source, or per run, source and event.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import model
 from tidemark.config import MEASURED, Limit, Thresholds
 from tidemark.functions import text
+from tidemark.session import small_frame
 
 URL_COLUMNS = ["source_url", "repo_url", "demo_url"]
 RUN_KEYS = ["scrape_run_id", "source"]
@@ -143,33 +147,62 @@ def _as_struct(metrics: DataFrame, keys: list[str], name: str) -> DataFrame:
     return metrics.select(*keys, F.struct(*values).alias(name))
 
 
+@dataclass(frozen=True)
+class GateRun:
+    """A run to decide on, and the anchor run of its source if there is one."""
+
+    run_id: int
+    source: str
+    anchor_run: int | None
+
+
+_GATE_RUN = T.StructType(
+    [
+        T.StructField("scrape_run_id", T.LongType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("anchor_run", T.LongType()),
+    ]
+)
+
+
+def gate_runs(staging: DataFrame, runs: DataFrame) -> list[GateRun]:
+    """The pending runs with their anchors: run bookkeeping, one short row per run."""
+    anchors = {r.source: r.anchor_run for r in anchor_runs(staging, runs).collect()}
+    pending = pending_runs(runs).select("run_id", "source").collect()
+    return [GateRun(r.run_id, r.source, anchors.get(r.source)) for r in sorted(pending)]
+
+
 def quality_checks(
-    staging: DataFrame, serving: DataFrame, runs: DataFrame, thresholds: Thresholds
+    staging: DataFrame, serving: DataFrame, pending: list[GateRun], thresholds: Thresholds
 ) -> DataFrame:
     """All checks of all runs that wait for a decision.
 
     The moving baseline is the serving table's current rows of the source; the anchor is the
-    earliest promoted run of the source, which a slow decline cannot move.
+    earliest promoted run of the source, which a slow decline cannot move. Batches and anchors are
+    measured together, and the run numbers are literals that prune the staged partitions.
     """
-    pending = pending_runs(runs).select(F.col("run_id").alias("scrape_run_id"), "source")
-    anchors = anchor_runs(staging, runs).select("source", F.col("anchor_run").alias("scrape_run_id"))
-    # Only pending and anchor runs are read: the small run list prunes the staged partitions.
-    wanted = pending.unionByName(anchors).distinct()
-    relevant = staging.join(wanted, RUN_KEYS, "left_semi")
+    spark = staging.sparkSession
+    runs = small_frame(spark, [(p.run_id, p.source, p.anchor_run) for p in pending], _GATE_RUN)
+    numbers = sorted({n for p in pending for n in (p.run_id, p.anchor_run) if n is not None})
+    sources = sorted({p.source for p in pending})
+    relevant = staging.filter(F.col("scrape_run_id").isin(numbers) & F.col("source").isin(sources))
+    current = serving.filter(F.col("source").isin(sources))
+
     staged = quality_metrics(relevant, RUN_KEYS)
+    moving = quality_metrics(current, ["source"])
     staged_events = projects_per_hackathon(relevant, RUN_KEYS)
-    batches = staged_events.join(pending, RUN_KEYS, "left_semi")
-    anchor_events = staged_events.join(anchors, RUN_KEYS, "left_semi").drop("scrape_run_id")
-    anchor_metrics = staged.join(anchors, RUN_KEYS, "left_semi").drop("scrape_run_id")
-    current_sources = serving.join(pending.select("source").distinct(), "source", "left_semi")
-    moving = quality_metrics(current_sources, ["source"])
-    moving_events = projects_per_hackathon(current_sources, ["source"])
+    batch_events = staged_events.join(runs, RUN_KEYS)
+    anchors = runs.select("source", F.col("anchor_run").alias("scrape_run_id")).distinct()
+    anchor_events = staged_events.join(anchors, RUN_KEYS).drop("scrape_run_id")
+    moving_events = projects_per_hackathon(current, ["source"])
+
+    anchor = _as_struct(staged.withColumnRenamed("scrape_run_id", "anchor_run"), ["anchor_run", "source"], "anchor")
     metrics = (
-        pending.join(_as_struct(staged, RUN_KEYS, "candidate"), RUN_KEYS, "left")
+        runs.join(_as_struct(staged, RUN_KEYS, "candidate"), RUN_KEYS, "left")
         .join(_as_struct(moving, ["source"], "moving"), "source", "left")
-        .join(_as_struct(anchor_metrics, ["source"], "anchor"), "source", "left")
-        .join(_as_struct(overlap_drop(batches, moving_events), RUN_KEYS, "moving_overlap"), RUN_KEYS, "left")
-        .join(_as_struct(overlap_drop(batches, anchor_events), RUN_KEYS, "anchor_overlap"), RUN_KEYS, "left")
+        .join(anchor, ["anchor_run", "source"], "left")
+        .join(_as_struct(overlap_drop(batch_events, moving_events), RUN_KEYS, "moving_overlap"), RUN_KEYS, "left")
+        .join(_as_struct(overlap_drop(batch_events, anchor_events), RUN_KEYS, "anchor_overlap"), RUN_KEYS, "left")
     )
     return compare_metrics(metrics, thresholds)
 

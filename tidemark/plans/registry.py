@@ -326,7 +326,8 @@ def _gate_inputs(spark, folder):
 
 
 def _gate_checks(spark, folder):
-    return quality.quality_checks(*_gate_inputs(spark, folder), load_thresholds())
+    staging, serving, status = _gate_inputs(spark, folder)
+    return quality.quality_checks(staging, serving, quality.gate_runs(staging, status), load_thresholds())
 
 
 @query
@@ -370,7 +371,8 @@ def quality_checks(spark, folder):
 def quality_bootstrap(spark, folder):
     staging, serving, status = _gate_inputs(spark, folder)
     nothing_promoted = status.filter(F.col("status") != "promoted")
-    checks = quality.quality_checks(staging, serving.filter(F.lit(False)), nothing_promoted, load_thresholds())
+    pending = quality.gate_runs(staging, nothing_promoted)
+    checks = quality.quality_checks(staging, serving.filter(F.lit(False)), pending, load_thresholds())
     return checks.select("scrape_run_id", "source", "check_name", "passed", "note")
 
 
@@ -386,9 +388,8 @@ def check_report(spark, folder):
 
 @query
 def gate_outcome(spark, folder):
-    staging, serving, status = _gate_inputs(spark, folder)
-    checks = quality.quality_checks(staging, serving, status, load_thresholds())
-    return gate.outcomes(checks, status)
+    status = quality.run_status(tables.run_events(spark, folder))
+    return gate.outcomes(_gate_checks(spark, folder), status)
 
 
 @query

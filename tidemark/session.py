@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_session(cores: int | str = "*", app: str = "tidemark") -> SparkSession:
@@ -40,3 +43,9 @@ def work_folder(spark: SparkSession, name: str) -> str:
         return tempfile.mkdtemp(prefix=f"{name}-")
     stamp = spark.sql("SELECT uuid() AS u").first().u
     return f"{root.rstrip('/')}/{name}-{stamp}"
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few rows known to the driver, as a local relation whose size the planner knows."""
+    table = pa.Table.from_pylist([dict(zip(schema.names, row)) for row in rows], to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)

@@ -44,6 +44,7 @@ def _page(key: str) -> Column:
 # --- relational dumps ------------------------------------------------------------------------
 
 
+@tables.view
 def raw_projects(spark: SparkSession, folder: str) -> DataFrame:
     orders = tables.dated_orders(spark, folder)
     return orders.select(
@@ -65,6 +66,7 @@ def raw_projects(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tables.view
 def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events of the regions that have a dump; projects of the others are dropped."""
     nations = tables.read(spark, folder, "nation").filter(F.col("n_regionkey") > 0)
@@ -73,12 +75,14 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tables.view
 def raw_teams(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read(spark, folder, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name")
     )
 
 
+@tables.view
 def raw_prizes(spark: SparkSession, folder: str) -> DataFrame:
     """Prizes are the returned lines; the first three line numbers name a place."""
     line = F.col("l_linenumber")
@@ -98,6 +102,7 @@ def raw_prizes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tables.view
 def raw_technologies(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read(spark, folder, "part").select(
         F.col("p_partkey").alias("tech_id"),
@@ -106,6 +111,7 @@ def raw_technologies(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tables.view
 def raw_project_tech(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("raw_id"), F.col("l_partkey").alias("tech_id")
@@ -115,6 +121,7 @@ def raw_project_tech(spark: SparkSession, folder: str) -> DataFrame:
 # --- JSON payloads ---------------------------------------------------------------------------
 
 
+@tables.view
 def submission_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Submission pages of 50 orders. Odd pages are bare lists, as an archive may be."""
     orders = tables.dated_orders(spark, folder)
@@ -142,6 +149,7 @@ def submission_pages(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page", body.alias("body"))
 
 
+@tables.view
 def event_list_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Event lists of each source and year, as the site's JSON."""
     events = tables.hackathons(spark, folder).withColumn("year", F.year("scraped_at"))
@@ -162,6 +170,7 @@ def event_list_pages(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("source", "year", F.to_json(F.struct("hackathons", meta)).alias("body"))
 
 
+@tables.view
 def model_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Answers of a tag model: brands by alias, unknown words, and some broken JSON."""
     rows = tables.projects(spark, folder)
@@ -180,6 +189,7 @@ def model_answers(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", content.alias("content"))
 
 
+@tables.view
 def manifests(spark: SparkSession, folder: str) -> DataFrame:
     """One build manifest per project, in a format by priority, that declares its brands."""
     rows = tables.projects(spark, folder)
@@ -219,6 +229,7 @@ def manifests(spark: SparkSession, folder: str) -> DataFrame:
 # --- pages -----------------------------------------------------------------------------------
 
 
+@tables.view
 def software_pages(spark: SparkSession, folder: str) -> DataFrame:
     """A project page per project: description, links and declared tags."""
     rows = tables.projects(spark, folder)
@@ -238,6 +249,7 @@ def software_pages(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", body.alias("body"))
 
 
+@tables.view
 def gallery_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Gallery pages of 50 orders; winners carry a ribbon."""
     orders = tables.dated_orders(spark, folder)
@@ -266,6 +278,7 @@ def _pushed(payload: Column) -> Column:
     return F.concat(F.lit('<script>self.__next_f.push([1,"'), inner, F.lit('"])</script>'))
 
 
+@tables.view
 def script_pages(spark: SparkSession, folder: str) -> DataFrame:
     """A project page per project with its record inside script calls; long descriptions are
     references to a payload of their own."""
@@ -299,6 +312,7 @@ def script_pages(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", body.alias("body"))
 
 
+@tables.view
 def responses(spark: SparkSession, folder: str) -> DataFrame:
     """The given pages as fetched responses. Some addresses answer with a challenge or a refusal."""
     pages = tables.read(spark, folder, "pages")
@@ -315,6 +329,7 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@tables.view
 def pages_with_credentials(spark: SparkSession, folder: str) -> DataFrame:
     """The given pages with meta tags that must not be kept."""
     pages = tables.read(spark, folder, "pages")
@@ -325,6 +340,7 @@ def pages_with_credentials(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", "url", F.concat(meta, F.col("html")).alias("body"))
 
 
+@tables.view
 def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Listing pages of 50 orders inside script calls; winners have a prize."""
     orders = tables.dated_orders(spark, folder)

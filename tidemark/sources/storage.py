@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.operators import quality
+from tidemark.session import small_frame
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,7 @@ class Store:
     def log_state(self, run_id: int, seq: int, source: str | None, kind: str, status: str, **more) -> None:
         row = {"run_id": run_id, "seq": seq, "source": source, "kind": kind, "status": status}
         values = [row.get(c, more.get(c)) for c in model.RUN_EVENT.names]
-        self.log(self.spark.createDataFrame([tuple(values)], model.RUN_EVENT))
+        self.log(small_frame(self.spark, [tuple(values)], model.RUN_EVENT))
 
     # --- serving snapshots ---
 
@@ -69,12 +70,12 @@ class Store:
         rows = promoted.groupBy("source").agg(F.max("run_id").alias("run_id")).collect()
         return {row.source: row.run_id for row in rows}
 
-    def serving(self, source: str | None = None) -> DataFrame:
+    def serving(self, sources: list[str] | None = None) -> DataFrame:
         """The serving table: the current folder of each source, nothing else is listed or read."""
         current = self.current_versions()
-        chosen = current if source is None else {s: r for s, r in current.items() if s == source}
+        chosen = current if sources is None else {s: r for s, r in current.items() if s in sources}
         if not chosen:
-            return self.spark.createDataFrame([], model.SERVING)
+            return small_frame(self.spark, [], model.SERVING)
         paths = [self._path(f"serving/source={s}/promoted_run={r}") for s, r in sorted(chosen.items())]
         return (
             self.spark.read.schema(model.SERVING)

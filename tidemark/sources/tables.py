@@ -8,8 +8,11 @@ query that needs no tags never reads ``lineitem``, since its join side has a uni
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import text
 from tidemark.functions.tags import Theme, Vocabulary
@@ -49,8 +52,31 @@ WORD_VOCABULARY = Vocabulary(
 )
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table. Its schema is looked up once per path; later reads touch no file footer."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+_views: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+
+
+def view(build):
+    """Build a view once per session and folder, as a named view of a catalog would be."""
+
+    @wraps(build)
+    def known(spark: SparkSession, folder: str) -> DataFrame:
+        key = (id(spark), build.__module__, build.__name__, folder)
+        if key not in _views:
+            _views[key] = (spark, build(spark, folder))
+        return _views[key][1]
+
+    return known
 
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +90,7 @@ def _set_of(value: Column, keep: Column | None = None) -> Column:
     return F.array_sort(F.collect_set(value if keep is None else F.when(keep, value)))
 
 
+@view
 def order_tags(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order that has lines. Sets are pre-aggregated before the shuffle, and bounded by
     the number of brands, types and names, so an order with very many lines stays small."""
@@ -84,6 +111,7 @@ def order_tags(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@view
 def dated_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their customer and nation. No hint: Spark broadcasts a side by its size."""
     orders = read(spark, folder, "orders")
@@ -94,6 +122,7 @@ def dated_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@view
 def projects(spark: SparkSession, folder: str) -> DataFrame:
     """The whole corpus with the declared columns, plus ``order_key`` and the enrichment inputs."""
     joined = dated_orders(spark, folder).join(
@@ -143,6 +172,7 @@ def projects(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@view
 def hackathons(spark: SparkSession, folder: str) -> DataFrame:
     """Observed events, and next year's announced ones that have no project yet."""
     orders = dated_orders(spark, folder)
@@ -178,6 +208,7 @@ def hackathons(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@view
 def serving(spark: SparkSession, folder: str) -> DataFrame:
     """The promoted table: the imported years, with a vector where one is known for the key."""
     vectors = read(spark, folder, "embeddings").select(
@@ -187,6 +218,7 @@ def serving(spark: SparkSession, folder: str) -> DataFrame:
     return imported.join(vectors, "order_key", "left")
 
 
+@view
 def staging(spark: SparkSession, folder: str) -> DataFrame:
     """Staged rows of all runs: the import, one collection per source, and a broken collection.
 
@@ -211,6 +243,7 @@ def staging(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@view
 def run_events(spark: SparkSession, folder: str) -> DataFrame:
     """Append-only log of run states; each run's row count comes from its staged rows."""
     counts = staging(spark, folder).groupBy(F.col("scrape_run_id").alias("run_id")).agg(
@@ -237,6 +270,7 @@ def run_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@view
 def repo_tags(spark: SparkSession, folder: str) -> DataFrame:
     """Tags found in repositories (the reliable pass); the list may be empty."""
     return projects(spark, folder).filter(F.col("repo_url").isNotNull()).select(
@@ -245,6 +279,7 @@ def repo_tags(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@view
 def model_tags(spark: SparkSession, folder: str) -> DataFrame:
     """Tags a language model claimed (the second pass); the list may be empty."""
     rows = projects(spark, folder).filter(
@@ -256,6 +291,7 @@ def model_tags(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@view
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Searchable corpus: documents with their vector (if any) and quality label."""
     docs = read(spark, folder, "documents")
@@ -278,6 +314,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@view
 def word_claims(spark: SparkSession, folder: str) -> DataFrame:
     """Model tags for documents, where the model repeated its whole list instead of reading."""
     dump = F.array(*map(F.lit, WORD_VOCABULARY.canonical))

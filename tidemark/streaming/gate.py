@@ -29,7 +29,7 @@ def promote_run(store: Store, run_id: int, source: str, kind: str, seq: int) ->
     An id contains its source, so a batch never touches the rows of another source.
     """
     batch = store.staging().filter((F.col("scrape_run_id") == run_id) & (F.col("source") == source))
-    after = lifecycle.promote_upsert(store.serving(source), batch)
+    after = lifecycle.promote_upsert(store.serving([source]), batch)
     n = store.write_snapshot(after, source, run_id)
     store.log_state(run_id, seq, source, kind, "promoted", n_promoted=n)
 
@@ -48,28 +48,27 @@ def outcomes(checks: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def run_gate(store: Store, thresholds: Thresholds, promote: bool = True) -> DataFrame:
-    """Decide every pending run and promote the accepted ones; returns the stored verdicts.
+    """Decide every pending run and promote the accepted ones; returns the state of all runs.
 
-    Runs are decided in order of their id, each against the table as the previous one left it. A
-    run that was validated but not promoted is taken up again; a decided run is left alone.
+    Runs of different sources do not influence each other and are measured together. Runs of one
+    source are decided in order, each against the table as the previous one left it. A run that was
+    validated but not promoted is taken up again; a decided run is left alone.
     """
-    status = quality.run_status(store.events())
-    pending = quality.pending_runs(status).select("run_id", "source", "kind").orderBy("run_id").collect()
-    for run in pending:
-        log = store.events()
-        # The states of the other runs stay; only this run is pending.
-        states = quality.run_status(log).withColumn(
-            "status", F.when((F.col("run_id") == run.run_id) | (F.col("status") == "promoted"), F.col("status"))
-        )
-        checks = quality.quality_checks(store.staging(), store.serving(run.source), states, thresholds)
+    waiting = quality.gate_runs(store.staging(), quality.run_status(store.events()))
+    while waiting:
+        turn = {p.source: p for p in reversed(waiting)}
+        waiting = [p for p in waiting if p is not turn[p.source]]
+        runs = sorted(turn.values(), key=lambda p: p.run_id)
+        checks = quality.quality_checks(store.staging(), store.serving(list(turn)), runs, thresholds)
         store.write_checks(checks)
-        stored = store.checks().filter(F.col("scrape_run_id") == run.run_id)
-        verdict = quality.verdicts(stored).first()
-        seq = log.filter(F.col("run_id") == run.run_id).agg(F.max("seq")).first()[0] + 1
-        state = "validated" if verdict.passed else "rejected"
-        store.log_state(run.run_id, seq, run.source, run.kind, state, notes=verdict.failed or None)
-        if verdict.passed and promote:
-            promote_run(store, run.run_id, run.source, run.kind, seq + 1)
+        stored = store.checks().filter(F.col("scrape_run_id").isin([p.run_id for p in runs]))
+        log = store.events().groupBy("run_id").agg(F.max("seq").alias("seq"), F.max("kind").alias("kind"))
+        decided = quality.verdicts(stored).join(log, F.col("scrape_run_id") == F.col("run_id")).collect()
+        for run in sorted(decided, key=lambda r: r.run_id):
+            state = "validated" if run.passed else "rejected"
+            store.log_state(run.run_id, run.seq + 1, run.source, run.kind, state, notes=run.failed or None)
+            if run.passed and promote:
+                promote_run(store, run.run_id, run.source, run.kind, run.seq + 2)
     return quality.run_status(store.events())
 
 
