@@ -232,7 +232,7 @@ def check_report(checks: DataFrame) -> DataFrame:
     """A markdown report per run; a run has at most a few dozen checks."""
 
     def shown(c: str) -> Column:
-        return F.coalesce(F.format_string("%.2f", F.bround(c, 2)), F.lit("-"))
+        return F.when(F.col(c).isNull(), "-").otherwise(F.format_string("%.2f", F.bround(c, 2)))
 
     line = F.concat(
         F.lit("| `"), "check_name", F.lit("` | "), shown("baseline"), F.lit(" | "), shown("candidate"), F.lit(" | "),

@@ -187,7 +187,7 @@ def _lexical(typed: str, k: int = search.CANDIDATES, name: str = "lexical", scop
     asked = query.terms + query.excluded
     counts = ", ".join(f"{_count(f, t)} AS n_{f}_{i}" for i, t in enumerate(asked) for f in search.FIELD_WEIGHTS)
     total = {t: "(" + " + ".join(f"n_{f}_{i}" for f in search.FIELD_WEIGHTS) + ")" for i, t in enumerate(asked)}
-    rank = " + ".join(f"{w} * n_{f}_{i}" for i, _ in enumerate(query.terms) for f, w in search.FIELD_WEIGHTS.items())
+    rank = " + ".join(f"{w}::DOUBLE * n_{f}_{i}" for i, _ in enumerate(query.terms) for f, w in search.FIELD_WEIGHTS.items())
     strict = " OR ".join("(" + " AND ".join(f"{total[t]} > 0" for t in g) + ")" for g in query.alternatives)
     none_of = "".join(f" AND {total[t]} = 0" for t in query.excluded)
     candidate = " OR ".join(f"{total[t]} > 0" for t in query.terms) if query.can_relax else strict
@@ -285,7 +285,7 @@ def _check_ctes(first_time: bool = False) -> dict[str, str]:
             if rule.mode == "overlap":
                 rows.append(
                     f"""SELECT p.run_id, '{name}' AS check_name, 'overlap' AS mode, o.base::DOUBLE AS baseline,
-                    o.cand::DOUBLE AS candidate, {rule.limit} AS "limit", coalesce(o.overlap, 0) AS overlap
+                    o.cand::DOUBLE AS candidate, {rule.limit}::DOUBLE AS "limit", coalesce(o.overlap, 0) AS overlap
                     FROM pending p JOIN {profile}_m b ON b.run_id = p.run_id LEFT JOIN {profile}_o o ON o.run_id = p.run_id"""
                 )
                 continue
@@ -293,7 +293,8 @@ def _check_ctes(first_time: bool = False) -> dict[str, str]:
                 rule.metric, "fill_" + rule.metric.removeprefix("null_rate.")
             )
             rows.append(
-                f"""SELECT p.run_id, '{name}', '{rule.mode}', b.{column}, c.{column}, {rule.limit}, NULL
+                f"""SELECT p.run_id, '{name}' AS check_name, '{rule.mode}' AS mode, b.{column} AS baseline,
+                c.{column} AS candidate, {rule.limit}::DOUBLE AS "limit", NULL::BIGINT AS overlap
                 FROM pending p JOIN {profile}_m b ON b.run_id = p.run_id
                 JOIN staged c ON c.scrape_run_id = p.run_id AND c.source = p.source"""
             )
@@ -302,7 +303,7 @@ def _check_ctes(first_time: bool = False) -> dict[str, str]:
             WHERE run_id NOT IN (SELECT run_id FROM {profile}_m)"""
         )
     rows.append(
-        f"""SELECT p.run_id, 'batch:url_valid', 'rate', NULL, c.url_valid_rate, {limits.url_valid_min_rate}, NULL
+        f"""SELECT p.run_id, 'batch:url_valid', 'rate', NULL, c.url_valid_rate, {limits.url_valid_min_rate}::DOUBLE, NULL
         FROM pending p JOIN staged c ON c.scrape_run_id = p.run_id AND c.source = p.source"""
     )
     ctes["raw_checks"] = "\nUNION ALL ".join(rows)
@@ -712,4 +713,14 @@ def statements() -> dict[str, str]:
     s["redact_pages"] = f"""SELECT page_id, true AS residue_before, false AS residue_after,
         md5('<meta name="maps-api-key" content="{pages.REDACTED}"><meta property="og:description" content="{pages.REDACTED_TEXT}">' || html) AS body_md5
         FROM pages"""
+    s["page_outlines"] = """SELECT page_id, nullif(trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')), '') AS title,
+        nullif(regexp_extract(html, '<a href="([^"]+)"', 1), '') AS first_link,
+        len(regexp_extract_all(html, '<a href="[^"]+"')) AS n_links, NULL::VARCHAR AS meta_description FROM pages"""
+
+    # streams: the broken collection fails against the anchor, whatever was promoted before it
+    s["stream_gate"] = _checks("""SELECT scrape_run_id AS run_id,
+        CASE WHEN bool_and(passed) THEN 'promoted' ELSE 'rejected' END AS status FROM checks GROUP BY 1
+        UNION ALL SELECT run_id, status FROM runs WHERE kind = 'import'""")
+    s["stream_dedup"] = _with("items", body=f"""SELECT source, count(*) AS n FROM items
+        WHERE order_year >= {tables.FIRST_STAGED_YEAR} GROUP BY source""")
     return s

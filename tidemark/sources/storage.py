@@ -51,18 +51,26 @@ class Store:
     def events(self) -> DataFrame:
         return self.spark.read.schema(model.RUN_EVENT).parquet(self._path("run_events"))
 
-    def log_state(self, run_id: int, seq: int, source: str | None, kind: str, status: str, **more) -> None:
-        row = {"run_id": run_id, "seq": seq, "source": source, "kind": kind, "status": status}
-        values = [row.get(c, more.get(c)) for c in model.RUN_EVENT.names]
-        self.log(small_frame(self.spark, [tuple(values)], model.RUN_EVENT))
+    def log_states(self, states: list[dict]) -> None:
+        """Append run states; keys are the columns of the log, the absent ones are NULL."""
+        rows = [tuple(state.get(c) for c in model.RUN_EVENT.names) for state in states]
+        self.log(small_frame(self.spark, rows, model.RUN_EVENT))
 
     # --- serving snapshots ---
 
-    def write_snapshot(self, rows: DataFrame, source: str, run_id: int) -> int:
-        """Write the new rows of one source under its run, and return how many there are."""
-        folder = self._path(f"serving/source={source}/promoted_run={run_id}")
-        rows.select(*[c for c in model.SERVING.names if c != "source"]).write.mode("overwrite").parquet(folder)
-        return self.spark.read.parquet(folder).count()
+    def write_snapshots(self, rows: DataFrame, run_of_source: dict[str, int]) -> None:
+        """Write the new rows of some sources, each under the run that is being promoted."""
+        run = F.lit(None).cast("long")
+        for source, number in run_of_source.items():
+            run = F.when(F.col("source") == source, F.lit(number).cast("long")).otherwise(run)
+        (
+            rows.select(*model.SERVING.names)
+            .withColumn("promoted_run", run)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("source", "promoted_run")
+            .parquet(self._path("serving"))
+        )
 
     def current_versions(self) -> dict[str, int]:
         """Source to the run whose snapshot is current; one small row per source."""

@@ -15,23 +15,32 @@ def import_run(store: Store, rows: DataFrame, run_id: int, order: list[str]) ->
     """First load: stage and promote all sources at once, without a baseline to compare with."""
     unique = lifecycle.first_wins(rows, ["id"], order)
     store.stage(unique.withColumn("scrape_run_id", F.lit(run_id).cast("long")))
-    store.log_state(run_id, 0, None, "import", "validated")
+    store.log_states([{"run_id": run_id, "seq": 0, "kind": "import", "status": "validated"}])
     staged = store.staging().filter(F.col("scrape_run_id") == run_id)
-    sources = [r.source for r in staged.select("source").distinct().collect()]
-    for source in sources:
-        promote_run(store, run_id, source, "import", seq=1)
-    store.log_state(run_id, 2, None, "import", "promoted")
+    sources = [row.source for row in staged.select("source").distinct().collect()]
+    promote_runs(store, {source: {"run_id": run_id, "kind": "import", "seq": 1} for source in sources})
+    store.log_states([{"run_id": run_id, "seq": 2, "kind": "import", "status": "promoted"}])
 
 
-def promote_run(store: Store, run_id: int, source: str, kind: str, seq: int) -> None:
-    """Upsert one staged run into its source's snapshot. The log row at the end publishes it.
+def promote_runs(store: Store, turn: dict[str, dict]) -> None:
+    """Upsert one staged run per source into the snapshots. The log rows at the end publish them.
 
-    An id contains its source, so a batch never touches the rows of another source.
+    An id contains its source, so a batch never touches the rows of another source, and one job
+    serves all of them. ``turn`` maps a source to the next state of its run.
     """
-    batch = store.staging().filter((F.col("scrape_run_id") == run_id) & (F.col("source") == source))
-    after = lifecycle.promote_upsert(store.serving([source]), batch)
-    n = store.write_snapshot(after, source, run_id)
-    store.log_state(run_id, seq, source, kind, "promoted", n_promoted=n)
+    run_of_source = {source: state["run_id"] for source, state in turn.items()}
+    chosen = F.lit(False)
+    for source, run_id in run_of_source.items():
+        chosen |= (F.col("scrape_run_id") == run_id) & (F.col("source") == source)
+    batch = store.staging().filter(chosen)
+    store.write_snapshots(lifecycle.promote_upsert(store.serving(list(turn)), batch), run_of_source)
+    promoted = {r.source: r.n for r in batch.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    store.log_states(
+        [
+            {**state, "source": source, "status": "promoted", "n_promoted": promoted.get(source, 0)}
+            for source, state in turn.items()
+        ]
+    )
 
 
 def outcomes(checks: DataFrame, status: DataFrame) -> DataFrame:
@@ -64,11 +73,21 @@ def run_gate(store: Store, thresholds: Thresholds, promote: bool = True) -> Data
         stored = store.checks().filter(F.col("scrape_run_id").isin([p.run_id for p in runs]))
         log = store.events().groupBy("run_id").agg(F.max("seq").alias("seq"), F.max("kind").alias("kind"))
         decided = quality.verdicts(stored).join(log, F.col("scrape_run_id") == F.col("run_id")).collect()
-        for run in sorted(decided, key=lambda r: r.run_id):
-            state = "validated" if run.passed else "rejected"
-            store.log_state(run.run_id, run.seq + 1, run.source, run.kind, state, notes=run.failed or None)
-            if run.passed and promote:
-                promote_run(store, run.run_id, run.source, run.kind, run.seq + 2)
+        states = [
+            {
+                "run_id": run.run_id,
+                "seq": run.seq + 1,
+                "source": run.source,
+                "kind": run.kind,
+                "status": "validated" if run.passed else "rejected",
+                "notes": run.failed or None,
+            }
+            for run in decided
+        ]
+        store.log_states(states)
+        accepted = {s["source"]: {**s, "seq": s["seq"] + 1} for s in states if s["status"] == "validated"}
+        if accepted and promote:
+            promote_runs(store, accepted)
     return quality.run_status(store.events())
 
 
