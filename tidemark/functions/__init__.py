@@ -1 +1,13 @@
 """Column functions: every one builds a native expression unless its docstring says otherwise."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.text import WHITE_SPACE
 from tidemark.session import small_frame
 
 
@@ -94,7 +95,7 @@ def _literal_map(entries: dict) -> Column:
 
 
 def _spelling(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""))
+    return F.lower(F.btrim(c, F.lit(WHITE_SPACE)))
 
 
 def normalize_tag(c: Column, vocabulary: Vocabulary) -> Column:

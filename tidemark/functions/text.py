@@ -9,9 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions import let
+
 # Patterns and lookup tables that decide results.
-EDGE_SPACE = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
-TAIL_SPACE = r"(?U)[\s\x1c-\x1f]+\z"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 PLACE = r"(?i)(\d+)\s*(?:st|nd|rd|th)\s+place"
 URL_WITH_HOST = r"(?i)\Ahttps?://[^/?#]"
 URL_SHAPE = r"(?i)\Ahttps?://."
@@ -40,7 +44,7 @@ def blank_to_null(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Strip white space of any kind at both ends; nothing left becomes NULL."""
-    return blank_to_null(F.regexp_replace(c, EDGE_SPACE, ""))
+    return blank_to_null(F.btrim(c, F.lit(WHITE_SPACE)))
 
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
@@ -63,14 +67,19 @@ def position_outcome(position: Column) -> Column:
 
 def excerpt(description: Column, short: Column, max_chars: int) -> Column:
     """``struct(text, truncated)``: the long text if any, cut on a word boundary."""
-    whole = F.coalesce(clean(description), clean(short))
-    head = F.substring(whole, 1, max_chars)
-    from_end = F.instr(F.reverse(head), " ")
-    last_space = F.when(from_end > 0, F.length(head) - from_end).otherwise(-1)
-    kept = F.when(last_space > max_chars // 2, F.substring(head, F.lit(1), last_space)).otherwise(head)
-    long = F.length(whole) > max_chars
-    text = F.when(long, F.concat(F.regexp_replace(kept, TAIL_SPACE, ""), F.lit("…"))).otherwise(whole)
-    return F.struct(text.alias("text"), F.coalesce(long, F.lit(False)).alias("truncated"))
+
+    def cut(head: Column) -> Column:
+        from_end = F.instr(F.reverse(head), " ")
+        last_space = F.when(from_end > 0, F.length(head) - from_end).otherwise(-1)
+        kept = F.when(last_space > max_chars // 2, F.substring(head, F.lit(1), last_space)).otherwise(head)
+        return F.concat(F.rtrim(kept, F.lit(WHITE_SPACE)), F.lit("…"))
+
+    def shorten(whole: Column) -> Column:
+        long = F.length(whole) > max_chars
+        text = F.when(long, let(F.substring(whole, 1, max_chars), cut)).otherwise(whole)
+        return F.struct(text.alias("text"), F.coalesce(long, F.lit(False)).alias("truncated"))
+
+    return let(F.coalesce(clean(description), clean(short)), shorten)
 
 
 def embed_text(*columns: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -30,14 +32,19 @@ def unit_distance(a: Column, b: Column) -> Column:
     return 1.0 - dot(a, b)
 
 
-def _let(value: Column, body) -> Column:
+def unit_distance(a: Column, b: Column) -> Column:
+    """Cosine distance of vectors already scaled to unit norm."""
+    return 1.0 - dot(a, b)
+
+
+def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row, also inside nested lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def unit(v: Column) -> Column:
     """The vector in double precision scaled to unit norm; NULL where it has no direction."""
-    return _let(v, lambda w: _let(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x.cast("double") / n))))
+    return let(v, lambda w: let(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x.cast("double") / n))))
 
 
 def normalize(v: Column, dimension: int) -> Column:
@@ -47,7 +54,7 @@ def normalize(v: Column, dimension: int) -> Column:
         usable = (F.size(w) == dimension) & ~F.exists(w, lambda x: x.isNull() | F.isnan(x))
         return F.when(usable, unit(w).cast("array<float>"))
 
-    return _let(v, checked)
+    return let(v, checked)
 
 
 def parse_vector(payload: Column, dimension: int) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import model
-from tidemark.functions import text, vectors
+from tidemark.functions import let, text, vectors
 
 # Fusion constant, candidates per arm, field weights (title, short, long text), and
 # the English words that carry no meaning in a query.
@@ -134,7 +134,7 @@ def lexical_matches(documents: DataFrame, query: Query) -> DataFrame:
     # Most rows contain no query word at all; a plain substring test spares them the tokenising.
     haystack = F.lower(F.concat_ws("\n", *FIELD_WEIGHTS))
     words = dict.fromkeys(w for term in query.terms for w in term if w is not None)
-    possible = documents.filter(_any([F.contains(haystack, F.lit(w)) for w in words]))
+    possible = documents.filter(let(haystack, lambda h: _any([F.contains(h, F.lit(w)) for w in words])))
 
     asked = query.terms + query.excluded
     fields = F.array(

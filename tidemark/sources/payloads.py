@@ -160,7 +160,8 @@ def script_projects(captured: DataFrame, *keys: str) -> DataFrame:
     )
     parsed = pages.select(
         *keys,
-        F.from_json(_first_with(F.col("payloads"), '"project":{'), _PROJECT).alias("p"),
+        # ``explode`` keeps the optimiser from parsing again for the filter below.
+        F.explode(F.array(F.from_json(_first_with(F.col("payloads"), '"project":{'), _PROJECT))).alias("p"),
         text.clean(F.try_element_at(long_texts, F.lit(1))).alias("long_text"),
     ).filter(F.col("p.uuid").isNotNull() | F.col("p.name").isNotNull())
     ranked = F.transform(

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import text
 from tidemark.functions.tags import Theme, Vocabulary
+from tidemark.session import spread
 
 # The closed list of sources of this catalogue and the run that collects each of them.
 SOURCE_RUNS = {"automobile": 2, "building": 3, "furniture": 4, "household": 5, "machinery": 6}
@@ -294,7 +295,7 @@ def model_tags(spark: SparkSession, folder: str) -> DataFrame:
 @view
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Searchable corpus: documents with their vector (if any) and quality label."""
-    docs = read(spark, folder, "documents")
+    docs = spread(read(spark, folder, "documents"))
     vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
     labels = read(spark, folder, "labels").select(F.col("doc_id").alias("label_doc"), "quality")
     lines = F.split("text", "\n")
