@@ -82,7 +82,7 @@ def view(build):
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with the attributes of their part."""
-    lines = read(spark, folder, "lineitem")
+    lines = spread(read(spark, folder, "lineitem"))
     parts = read(spark, folder, "part")
     return lines.join(parts, lines.l_partkey == parts.p_partkey)
 
@@ -115,7 +115,7 @@ def order_tags(spark: SparkSession, folder: str) -> DataFrame:
 @view
 def dated_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their customer and nation. No hint: Spark broadcasts a side by its size."""
-    orders = read(spark, folder, "orders")
+    orders = spread(read(spark, folder, "orders"))
     customers = read(spark, folder, "customer")
     nations = read(spark, folder, "nation")
     return orders.join(customers, orders.o_custkey == customers.c_custkey).join(
