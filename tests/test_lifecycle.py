@@ -19,7 +19,7 @@ def upserted(target, batch):
 
 @pytest.mark.parametrize("column", model.EMBEDDED_TEXT)
 def test_changed_text_drops_the_vector(spark, target, column):
-    after = upserted(target, project_rows(spark, 2, short_description="s", **{column: "changed"}))
+    after = upserted(target, project_rows(spark, 2, **({"short_description": "s"} | {column: "changed"})))
     assert [after[f"a:{i}"].embedding is None for i in range(4)] == [True, True, False, False]
     assert after["a:0"][column] == "changed" and after["a:3"].change == "kept"
 

@@ -112,7 +112,10 @@ def corpus_stats(projects: DataFrame, hackathons: DataFrame) -> DataFrame:
 
 
 def work_queue(projects: DataFrame, limit: int | None = None) -> DataFrame:
-    """Rows still to encode, in id order. ``limit=0`` asks for no row; ``None`` for all of them."""
+    """Rows still to encode, the first by id if limited. ``limit=0`` asks for no row, ``None`` for all.
+
+    Only a limit needs the order, so an unlimited queue is not sorted.
+    """
     queue = projects.filter(F.col("embedding").isNull()).select("id", *model.EMBEDDED_TEXT)
     return queue if limit is None else queue.orderBy("id").limit(limit)
 
@@ -120,7 +123,7 @@ def work_queue(projects: DataFrame, limit: int | None = None) -> DataFrame:
 def extraction_batch(
     projects: DataFrame, sources: list[str] | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Rows to send to tag extraction, in id order; here a limit of 0 or ``None`` means all."""
+    """Rows to send to tag extraction; a limit takes the first by id, and 0 or ``None`` means all."""
     rows = projects.filter(search_filter(sources)).select("id", "source", *model.EMBEDDED_TEXT)
     return rows.orderBy("id").limit(limit) if limit else rows
 
