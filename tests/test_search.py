@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from tidemark.functions.stem import porter_stem
 from tidemark.operators import catalog, search
 from tidemark.sources import tables
 
@@ -57,6 +58,33 @@ def test_phrase_alternative_and_exclusion(docs):
     assert found(docs, "unheardof blind -cities") == []
 
 
+@pytest.mark.parametrize(
+    "word, stem",
+    [
+        ("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("feed", "feed"), ("plastered", "plaster"),
+        ("sing", "sing"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"),
+        ("relational", "relat"), ("navigation", "navig"), ("navigate", "navig"), ("triplicate", "triplic"), ("hopefulness", "hope"),
+        ("adoption", "adopt"), ("effective", "effect"), ("probate", "probat"), ("rate", "rate"), ("controlling", "control"), ("is", "is"),
+    ],
+)
+def test_stems(word, stem):
+    assert porter_stem(word) == stem
+
+
+def test_words_of_the_same_stem_match(docs):
+    query = search.parse_query("navigate city")
+    forms = search.word_forms(search.lexicon(docs), query)
+    assert forms == {"navigate": ["navigate", "navigation"], "city": ["cities", "city"]}
+    ranked = search.lexical_topk(docs, query, 10, forms=forms).orderBy("rank").collect()
+    assert [r.id for r in ranked] == [2, 1]
+    phrase = search.parse_query('"robots that cook"')
+    forms = search.word_forms(search.lexicon(docs), phrase)
+    for dense in (False, True):
+        assert [r.id for r in search.lexical_topk(docs, phrase, 10, dense, forms).collect()] == [3]
+    hits = search.hybrid_search(docs, "navigate city", None, terms=search.lexicon(docs)).collect()
+    assert [r.id for r in hits] == [2, 1]
+
+
 def test_cover_density_prefers_close_terms(spark):
     rows = [
         (1, "x", None, "alpha one two three four beta", None, False),

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.functions import let, text, vectors
+from tidemark.functions.stem import porter_stem, stems
 
 # Fusion constant, candidates per arm, field weights (title, short, long text), and
 # the English words that carry no meaning in a query.
@@ -104,14 +105,47 @@ def postings(documents: DataFrame) -> DataFrame:
     return hits.select("id", "p.field", "p.term", "p.pos").filter(~F.col("term").isin(STOP_WORDS))
 
 
-def _starts_at(words: Column, term: Term, i: Column) -> Column:
-    return _all([F.get(words, i + k) == word for k, word in enumerate(term) if word is not None])
+# Surface forms that count as a query word; a word without an entry stands for itself.
+Forms = dict[str, list[str]]
 
 
-def _occurrences(words: Column, term: Term) -> Column:
+def lexicon(documents: DataFrame) -> DataFrame:
+    """The distinct words of the corpus. At scale it is stored once per snapshot."""
+    words = F.flatten(F.array(*[F.array_distinct(tokens(F.col(name))) for name in FIELD_WEIGHTS]))
+    return documents.select(F.explode(words).alias("term")).distinct()
+
+
+def word_forms(terms: DataFrame, query: Query) -> Forms:
+    """Words of the corpus with the same English stem as a word of the query.
+
+    Words are compared by a prefix of the stem first, natively, so only a few reach Python and only
+    the forms of the query's own words reach the driver.
+    """
+    words = {w for term in query.terms + query.excluded for w in term if w is not None}
+    stem_of = {w: porter_stem(w) for w in words}
+    prefixes = sorted({s[:-1] if len(s) > 3 else s for s in stem_of.values()})
+    if not prefixes:
+        return {}
+    near = terms.filter(_any([F.col("term").startswith(p) for p in prefixes]))
+    same = near.withColumn("stem", stems("term")).filter(F.col("stem").isin(sorted(set(stem_of.values()))))
+    forms: dict[str, set[str]] = {}
+    for row in same.collect():
+        forms.setdefault(row.stem, set()).add(row.term)
+    return {w: sorted(forms.get(s, set()) | {w}) for w, s in stem_of.items()}
+
+
+def _is_word(c: Column, word: str, forms: Forms) -> Column:
+    return c.isin(forms[word]) if word in forms else c == word
+
+
+def _starts_at(words: Column, term: Term, i: Column, forms: Forms) -> Column:
+    return _all([_is_word(F.get(words, i + k), w, forms) for k, w in enumerate(term) if w is not None])
+
+
+def _occurrences(words: Column, term: Term, forms: Forms) -> Column:
     if len(term) == 1:
-        return F.size(F.filter(words, lambda w: w == term[0]))
-    return F.size(F.filter(words, lambda _, i: _starts_at(words, term, i)))
+        return F.size(F.filter(words, lambda w: _is_word(w, term[0], forms)))
+    return F.size(F.filter(words, lambda _, i: _starts_at(words, term, i, forms)))
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -122,7 +156,7 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def lexical_matches(documents: DataFrame, query: Query) -> DataFrame:
+def lexical_matches(documents: DataFrame, query: Query, forms: Forms | None = None) -> DataFrame:
     """Documents that may answer the query: ``id``, ``strict`` and ``lexical_rank``.
 
     ``strict`` rows satisfy the query as typed, the others some term of it; a query that cannot be
@@ -133,7 +167,9 @@ def lexical_matches(documents: DataFrame, query: Query) -> DataFrame:
         return empty.filter(F.lit(False))
     # Most rows contain no query word at all; a plain substring test spares them the tokenising.
     haystack = F.lower(F.concat_ws("\n", *FIELD_WEIGHTS))
-    words = dict.fromkeys(w for term in query.terms for w in term if w is not None)
+    forms = forms or {}
+    asked_words = [w for term in query.terms for w in term if w is not None]
+    words = dict.fromkeys(form for w in asked_words for form in forms.get(w, [w]))
     possible = documents.filter(let(haystack, lambda h: _any([F.contains(h, F.lit(w)) for w in words])))
 
     asked = query.terms + query.excluded
@@ -146,7 +182,7 @@ def lexical_matches(documents: DataFrame, query: Query) -> DataFrame:
     per_field = F.transform(
         fields,
         lambda f: F.struct(
-            F.array(*[_occurrences(f.words, t) for t in asked]).alias("counts"), f.weight.alias("weight")
+            F.array(*[_occurrences(f.words, t, forms) for t in asked]).alias("counts"), f.weight.alias("weight")
         ),
     )
     place = {term: i for i, term in enumerate(asked)}
@@ -169,13 +205,14 @@ def lexical_matches(documents: DataFrame, query: Query) -> DataFrame:
     )
 
 
-def cover_density_matches(documents: DataFrame, query: Query) -> DataFrame:
+def cover_density_matches(documents: DataFrame, query: Query, forms: Forms | None = None) -> DataFrame:
     """As :func:`lexical_matches`, ranked by how closely the terms stand together.
 
     Positions run through title, short and long text in turn. Only rows that match reach Python,
     and only as the positions of the query terms.
     """
-    matched = lexical_matches(documents, query).select("id", "strict")
+    forms = forms or {}
+    matched = lexical_matches(documents, query, forms).select("id", "strict")
 
     texts = {name: tokens(F.col(name)) for name in FIELD_WEIGHTS}
     weights = [F.array_repeat(F.lit(w), F.size(texts[name])) for name, w in FIELD_WEIGHTS.items()]
@@ -188,7 +225,7 @@ def cover_density_matches(documents: DataFrame, query: Query) -> DataFrame:
         found = F.transform(
             words,
             lambda _, i: F.when(
-                _starts_at(words, term, i),
+                _starts_at(words, term, i, forms),
                 F.struct(F.lit(number).alias("t"), i.alias("p"), F.get("d.weights", i).alias("g")),
             ),
         )
@@ -236,13 +273,15 @@ def _cover_density(hits: list[tuple[int, float, int]], n_terms: int) -> float:
     return total
 
 
-def lexical_topk(documents: DataFrame, query: Query, k: int, cover_density: bool = False) -> DataFrame:
+def lexical_topk(
+    documents: DataFrame, query: Query, k: int, cover_density: bool = False, forms: Forms | None = None
+) -> DataFrame:
     """Best ``k`` strict matches or, if nothing matches strictly, the best relaxed ones.
 
     One pass decides both: strict rows sort first, so the relaxed ones survive only if the top ``k``
     holds no strict row. Columns ``id``, ``lexical_rank`` and ``rank``.
     """
-    matches = (cover_density_matches if cover_density else lexical_matches)(documents, query)
+    matches = (cover_density_matches if cover_density else lexical_matches)(documents, query, forms)
     order = [F.desc("strict"), F.desc("lexical_rank"), F.asc("id")]
     best = matches.orderBy(*order).limit(k)
     top = Window.orderBy(*order)  # over at most k rows
@@ -335,12 +374,16 @@ def hybrid_search(
     limit: int = 20,
     excerpt_chars: int = 600,
     cover_density: bool = False,
+    terms: DataFrame | None = None,
 ) -> DataFrame:
-    """Fused ranking of the rows that satisfy ``condition``; lexical only without a vector."""
+    """Fused ranking of the rows that satisfy ``condition``; lexical only without a vector.
+
+    With ``terms`` (a :func:`lexicon`) query words also match the words of the same stem.
+    """
     scope = documents if condition is None else documents.filter(condition)
-    lexical = lexical_topk(scope, parse_query(typed), CANDIDATES, cover_density).select(
-        "id", F.col("rank").alias("r_lex")
-    )
+    query = parse_query(typed)
+    forms = word_forms(terms, query) if terms is not None else None
+    lexical = lexical_topk(scope, query, CANDIDATES, cover_density, forms).select("id", F.col("rank").alias("r_lex"))
     nearest = nearest_topk(scope, query_vector, CANDIDATES).select("id", F.col("rank").alias("r_vec"))
 
     def share(rank: str) -> Column:

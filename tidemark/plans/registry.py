@@ -299,6 +299,14 @@ def lexical_search_cover_density(spark, folder):
     return search.lexical_topk(documents, search.parse_query(SEARCH_TEXT), search.CANDIDATES, cover_density=True)
 
 
+@query
+def lexical_search_stemmed(spark, folder):
+    documents = tables.documents(spark, folder)
+    parsed = search.parse_query(SEARCH_TEXT)
+    forms = search.word_forms(search.lexicon(documents), parsed)
+    return search.lexical_topk(documents, parsed, search.CANDIDATES, forms=forms)
+
+
 @query
 def hybrid_search(spark, folder):
     documents = tables.documents(spark, folder)
