@@ -36,14 +36,16 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 
 
 class _Node:
-    def __init__(self, tag: str, attrs: dict[str, str], parent: _Node | None):
+    """An element. ``nodes`` lists all elements of the page in order; those inside this one follow it."""
+
+    __slots__ = ("tag", "attrs", "parent", "children", "nodes", "index", "end")
+
+    def __init__(self, tag: str, attrs: dict[str, str], parent: _Node | None, nodes: list[_Node]):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.nodes, self.index, self.end = nodes, len(nodes) - (parent is None), None
 
-    def walk(self):
-        for child in self.children:
-            if isinstance(child, _Node):
-                yield child
-                yield from child.walk()
+    def walk(self) -> list[_Node]:
+        return self.nodes[self.index + 1 : self.end]
 
     def all(self, tag: str | None = None, cls: str | None = None, **attrs):
         for node in self.walk():
@@ -71,25 +73,36 @@ class _Tree(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.here = _Node("", {}, None)
+        self.nodes = []
+        self.root = self.here = _Node("", {}, None, self.nodes)
         self.feed(html)
         self.close()
 
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.here)
+    def _add(self, tag, attrs) -> _Node:
+        node = _Node(tag, {k: v or "" for k, v in attrs}, self.here, self.nodes)
+        self.nodes.append(node)
         self.here.children.append(node)
-        if tag not in _VOID:
+        return node
+
+    def handle_starttag(self, tag, attrs):
+        node = self._add(tag, attrs)
+        if tag in _VOID:
+            node.end = len(self.nodes)
+        else:
             self.here = node
 
     def handle_startendtag(self, tag, attrs):
-        self.here.children.append(_Node(tag, {k: v or "" for k, v in attrs}, self.here))
+        self._add(tag, attrs).end = len(self.nodes)
 
     def handle_endtag(self, tag):
         node = self.here
         while node.parent is not None and node.tag != tag:
             node = node.parent
-        if node.parent is not None:
-            self.here = node.parent
+        if node.parent is None:
+            return
+        while self.here is not node.parent:
+            self.here.end = len(self.nodes)
+            self.here = self.here.parent
 
     def handle_data(self, data):
         self.here.children.append(data)
