@@ -156,14 +156,18 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def lexical_matches(documents: DataFrame, query: Query, forms: Forms | None = None) -> DataFrame:
+def lexical_matches(
+    documents: DataFrame, query: Query, forms: Forms | None = None, keep: dict[str, Column] | None = None
+) -> DataFrame:
     """Documents that may answer the query: ``id``, ``strict`` and ``lexical_rank``.
 
     ``strict`` rows satisfy the query as typed, the others some term of it; a query that cannot be
     relaxed yields strict rows only. The rank is the number of occurrences in the fields' weights.
+    ``keep`` names further columns to carry along.
     """
+    kept = [c.alias(name) for name, c in (keep or {}).items()]
     if not query.alternatives:
-        empty = documents.select("id", F.lit(True).alias("strict"), F.lit(0.0).alias("lexical_rank"))
+        empty = documents.select("id", F.lit(True).alias("strict"), F.lit(0.0).alias("lexical_rank"), *kept)
         return empty.filter(F.lit(False))
     # Most rows contain no query word at all; a plain substring test spares them the tokenising.
     haystack = F.lower(F.concat_ws("\n", *FIELD_WEIGHTS))
@@ -196,12 +200,12 @@ def lexical_matches(documents: DataFrame, query: Query, forms: Forms | None = No
 
     strict = _any([_all([present(t) for t in group]) for group in query.alternatives])
     # ``explode`` keeps the optimiser from repeating the counting inside each filter below.
-    counted = possible.select("id", F.explode(F.array(per_field)).alias("fields"))
+    counted = possible.select("id", *kept, F.explode(F.array(per_field)).alias("fields"))
     for term in query.excluded:
         counted = counted.filter(~present(term))
     candidate = _any([present(t) for t in query.terms]) if query.can_relax else strict
     return counted.filter(candidate).select(
-        "id", strict.alias("strict"), F.aggregate("fields", F.lit(0.0), weighted).alias("lexical_rank")
+        "id", strict.alias("strict"), F.aggregate("fields", F.lit(0.0), weighted).alias("lexical_rank"), *(keep or {})
     )
 
 
@@ -212,13 +216,12 @@ def cover_density_matches(documents: DataFrame, query: Query, forms: Forms | Non
     and only as the positions of the query terms.
     """
     forms = forms or {}
-    matched = lexical_matches(documents, query, forms).select("id", "strict")
-
     texts = {name: tokens(F.col(name)) for name in FIELD_WEIGHTS}
     weights = [F.array_repeat(F.lit(w), F.size(texts[name])) for name, w in FIELD_WEIGHTS.items()]
-    placed = documents.join(matched, "id").select(
-        "id", "strict", F.explode(F.array(F.struct(F.concat(*texts.values()).alias("words"), F.concat(*weights).alias("weights")))).alias("d")
-    )
+    whole = F.struct(F.concat(*texts.values()).alias("words"), F.concat(*weights).alias("weights"))
+    matches = lexical_matches(documents, query, forms, {"whole": whole})
+    # ``explode`` again, so that the lambdas below refer to the words instead of repeating them.
+    placed = matches.select("id", "strict", F.explode(F.array("whole")).alias("d"))
     words = F.col("d.words")
 
     def places(number: int, term: Term) -> Column:
