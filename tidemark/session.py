@@ -7,6 +7,7 @@ and the library reads the folder for durable intermediate data from ``spark.chec
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +37,23 @@ def local_session(cores: int | str = "*", app: str = "tidemark") -> SparkSession
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for data that must outlive an executor.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; a local temporary folder is used
-    only when that setting is absent, which is the case in tests.
+    The cluster names a shared folder in ``spark.checkpoint.dir``. Where it is unset, a session in one
+    process gets a temporary folder of its own and any other session an error, because executors
+    on other machines would not see such a folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        return tempfile.mkdtemp(prefix=f"{name}-")
-    stamp = spark.sql("SELECT uuid() AS u").first().u
-    return f"{root.rstrip('/')}/{name}-{stamp}"
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written as a table in the shared folder and read back: lineage ends here, and a lost executor costs nothing."""
+    folder = work_folder(frame.sparkSession, name)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 
 def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
