@@ -5,27 +5,82 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, simhash
+from tidemark.llm import decontaminate, maintext, mixing, secrets, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of each document, learnt from the labels that are not held out."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Words each document gives to a mix with weights 5, 2, 1 and a ceiling of three epochs."""
     found = mixing.mix(table(spark, folder, "documents"), weights=(5, 2, 1))
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that each document repeats."""
+    found = decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    ids = F.transform("items", lambda x: x["item_id"])
+    return found.select("doc_id", "contaminated", "coverage", F.size("items").alias("n_items"), ids.alias("item_ids"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of each document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, digest and list of the spans of secrets in each document."""
+    found = secrets.spans(table(spark, folder, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"] != "random")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"), count("random"),
+    )
+
+
+def op9_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of all pages as read back from the archives written."""
+    records = warc.read_archives(warc.write_archives(table(spark, folder, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of each page."""
+    found = maintext.extract(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: build for name, build in globals().items() if name.startswith("op") and callable(build)}
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc_round_trip": """
+        WITH records AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha1(coalesce(html, '')) AS digest FROM pages
+        ), originals AS (
+            SELECT *, max(page_id) OVER (PARTITION BY digest, bytes) AS original FROM records
+        )
+        SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+            CASE WHEN bytes >= 1000 AND original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN bytes >= 1000 AND original <> page_id THEN original END AS refers_to
+        FROM originals
+    """,
+}
