@@ -92,38 +92,68 @@ def _count_table(rows: DataFrame) -> DataFrame:
 def _log_count_ratios(rows: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and ratios of the ``most`` features that tell the classes apart best, out of those in ``least`` texts or more.
 
-    The ratio is log((p + 1) / |p|) - log((q + 1) / |q|) with p and q the texts of the classes that have the feature.
+    The ratio is log((p + 1) / (n1 + 2)) - log((q + 1) / (n0 + 2)) with p and q the texts of either class that have the feature. Features are
+    ranked by the likelihood-ratio statistic of presence against class, so that rare n-grams that stand in
+    few texts of one class by chance don't crowd out the telling ones.
     """
-    counts = _count_table(rows).groupBy("feature").pivot("y", [0, 1]).agg(F.sum("n")).na.fill(0)
+    counts = _count_table(rows).groupBy("feature").pivot("y", [0, 1]).agg(F.sum("n").cast("double")).na.fill(0)
     sizes = {row.y: row["count"] for row in rows.groupBy("y").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    ratio = F.log((F.col("1") + 1.0) / (n1 + 2.0)) - F.log((F.col("0") + 1.0) / (n0 + 2.0))
-    # how far the difference is beyond chance, so that rare n-grams don't crowd out the telling ones
-    weight = F.abs(ratio) * F.sqrt(F.least(F.col("0") + F.col("1"), F.lit(n0 + n1) - F.col("0") - F.col("1")).cast("double"))
-    best = counts.where(F.col("0") + F.col("1") >= least).select("feature", ratio.alias("r"), weight.alias("w"))
+    n0, n1 = float(sizes.get(0, 0)), float(sizes.get(1, 0))
+    q, p = F.col("0"), F.col("1")
+    ratio = F.log((p + 1) / (n1 + 2)) - F.log((q + 1) / (n0 + 2))
+    have, total = p + q, max(n0 + n1, 1.0)
+
+    def part(seen: Column, texts: Column, size: float) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * total / (texts * size))).otherwise(0.0)
+
+    surprise = part(p, have, n1) + part(q, have, n0) + part(n1 - p, total - have, n1) + part(n0 - q, total - have, n0)
+    best = counts.where(have >= least).select("feature", ratio.alias("r"), surprise.alias("w"))
     best = best.orderBy(F.desc("w"), "feature").limit(most).select("feature", "r").toPandas()
     return best["feature"].to_numpy(np.int64), best["r"].to_numpy(np.float64)
 
 
-def _fit(x: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L2 penalty by accelerated gradient descent; a present feature's value is its ratio."""
-    lengths = np.array([len(row) for row in x])
-    columns = np.concatenate(x) if len(x) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(x)), lengths)
-    values = ratios[columns]
-    norm = np.bincount(owner, values * values, len(x)).max(initial=1.0) + 1
-    step = 4.0 / (norm + 4 * penalty)
-    beta, bias = np.zeros(len(ratios)), 0.0
-    ahead, ahead_bias, t = beta.copy(), bias, 1.0
+def _minimise(function, start: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
+    """A minimum of a smooth convex function ``x -> (value, gradient)`` by limited-memory quasi-Newton steps with backtracking."""
+    x, (value, gradient), pairs = start, function(start), []
     for _ in range(rounds):
-        z = np.bincount(owner, values * ahead[columns], len(x)) + ahead_bias
-        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / max(len(x), 1)
-        gradient = np.bincount(columns, values * error[owner], len(ratios)) + penalty * ahead / max(len(x), 1)
-        new, new_bias = ahead - step * gradient, ahead_bias - step * error.sum()
-        t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        ahead, ahead_bias = new + (t - 1) / t_new * (new - beta), new_bias + (t - 1) / t_new * (new_bias - bias)
-        beta, bias, t = new, new_bias, t_new
-    return beta, float(bias)
+        direction, alphas = -gradient, []
+        for s, y in reversed(pairs):
+            alphas.append(s @ direction / (s @ y))
+            direction = direction - alphas[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            direction = direction * (s @ y) / (y @ y)
+        for (s, y), alpha in zip(pairs, reversed(alphas)):
+            direction = direction + (alpha - y @ direction / (s @ y)) * s
+        slope, step = gradient @ direction, 1.0 if pairs else 1 / max(np.abs(gradient).sum(), 1e-12)
+        if slope > -1e-9:
+            break
+        while True:
+            new = x + step * direction
+            new_value, new_gradient = function(new)
+            if new_value <= value + 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        s, y = new - x, new_gradient - gradient
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y)][-memory:]
+        x, value, gradient = new, new_value, new_gradient
+    return x
+
+
+def _fit(x: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Logistic regression with an L2 penalty on the coefficients (not the bias); a present feature's value is its ratio."""
+    columns, owner = np.concatenate(x), np.repeat(np.arange(len(x)), [len(row) for row in x])
+    values, sign = ratios[columns], 2 * y - 1
+
+    def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
+        margin = sign * (np.bincount(owner, values * at[columns], len(x)) + at[-1])
+        error = -sign / (1 + np.exp(np.clip(margin, -500, 500)))
+        gradient = np.append(np.bincount(columns, values * error[owner], len(ratios)) + penalty * at[:-1], error.sum())
+        return np.logaddexp(0, -margin).sum() + penalty / 2 * (at[:-1] @ at[:-1]), gradient
+
+    best = _minimise(loss, np.zeros(len(ratios) + 1), rounds)
+    return best[:-1], float(best[-1])
 
 
 def train(
@@ -132,9 +162,9 @@ def train(
     label_col: str = "toxic",
     sample: int = 8_000,
     least: int = 3,
-    most: int = 20_000,
+    most: int = 4_000,
     penalty: float = 1.0,
-    rounds: int = 300,
+    rounds: int = 200,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
