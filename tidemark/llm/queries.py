@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, maintext, mixing, secrets, simhash, toxicity, warc
+from tidemark.llm import decontaminate, hamming, lines, maintext, mixing, secrets, simhash, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest others, by sign codes, of every vector whose id is divisible by 100."""
+    vectors = table(spark, folder, "embeddings")
+    return hamming.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items that each document repeats."""
     found = decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -38,6 +44,19 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document with the lines that remain of it."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.col("text").alias("whole"))
+    found = lines.dedup(docs)
+
+    def count(text):
+        return F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1))
+
+    emptied = (F.col("text") == "") & (F.col("whole") != "")
+    kept = F.when(emptied, 0).otherwise(count(F.col("text")))
+    return found.select("doc_id", "text", count(F.col("whole")).alias("n_lines"), kept.alias("n_kept"))
+
+
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, digest and list of the spans of secrets in each document."""
     found = secrets.spans(table(spark, folder, "documents"))
@@ -55,6 +74,11 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each document, counted in flat token files."""
+    return tokencount.document_tokens(table(spark, folder, "documents"))
+
+
 def op9_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """The records of all pages as read back from the archives written."""
     records = warc.read_archives(warc.write_archives(table(spark, folder, "pages")))
@@ -72,6 +96,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_exact_top_k": """
+        WITH codes AS (
+            SELECT vec_id, list_transform(embedding, x -> x > 0) AS code FROM embeddings
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, v.vec_id,
+                len(list_filter(list_zip(q.code, v.code), p -> p[1] <> p[2])) AS distance
+            FROM codes q, codes v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs
+        )
+        SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+    """,
     "op9_warc_round_trip": """
         WITH records AS (
             SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha1(coalesce(html, '')) AS digest FROM pages
