@@ -98,10 +98,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_top_k": """
         WITH codes AS (
-            SELECT vec_id, list_transform(embedding, x -> x > 0) AS code FROM embeddings
+            SELECT vec_id, [x > 0 FOR x IN embedding] AS code FROM embeddings
         ), pairs AS (
             SELECT q.vec_id AS query_id, v.vec_id,
-                len(list_filter(list_zip(q.code, v.code), p -> p[1] <> p[2])) AS distance
+                len([p FOR p IN list_zip(q.code, v.code) IF p[1] <> p[2]]) AS distance
             FROM codes q, codes v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id
         ), ranked AS (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs
