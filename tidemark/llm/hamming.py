@@ -51,41 +51,43 @@ def _part(code: Column, segment: tuple[int, int]) -> Column:
     return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _ball(queries: DataFrame, segment: tuple[int, int], radius: int) -> DataFrame:
-    """``(query, key)``: the points of a segment's table at most ``radius`` bits from the query's part.
+def _starts(codes: DataFrame, name: str, parts: list[tuple[int, int]]) -> DataFrame:
+    """A row for each segment of each code in column ``name``: ``segment``, its ``width`` and the code's part as ``key``."""
+    code = F.col(name)
+    row = [F.struct(F.lit(i).alias("segment"), F.lit(s[1]).alias("width"), _part(code, s).alias("key")) for i, s in enumerate(parts)]
+    return codes.withColumn("_at", F.explode(F.array(*row))).select("*", "_at.segment", "_at.width", "_at.key").drop("_at")
+
+
+def _ball(queries: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """``(query, segment, key)``: the points of each segment's table at most ``radius`` bits from the query's part.
 
     Each shell is made from the one within it by flipping one higher bit, so no point comes twice.
     """
-    width = segment[1]
-    shell = queries.select("query", _part(F.col("query"), segment).alias("key"), F.lit(0).alias("next"))
+    shell = _starts(queries.select("query"), "query", parts).withColumn("next", F.lit(0))
     ball = shell
-    for _ in range(min(radius, width)):
-        grown = shell.where(F.col("next") < width).select(
-            "query", "key", F.explode(F.sequence(F.col("next"), F.lit(width - 1))).alias("bit")
-        )
-        shell = grown.select("query", F.expr("key ^ shiftleft(1L, bit)").alias("key"), (F.col("bit") + 1).alias("next"))
+    for _ in range(min(radius, max(width for _, width in parts))):
+        bits = F.explode(F.sequence(F.col("next"), F.col("width") - 1)).alias("bit")
+        grown = shell.where("next < width").select("query", "segment", "width", "key", bits)
+        turned = F.expr("key ^ shiftleft(1L, bit)").alias("key")
+        shell = grown.select("query", "segment", "width", turned, (F.col("bit") + 1).alias("next"))
         ball = ball.union(shell)
-    return ball.select("query", "key")
+    return ball.select("query", "segment", "key")
 
 
 def _found_at(radius: int, queries: DataFrame, index: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
     """``(query, code, n, distance)`` of the codes that this radius covers and the one before didn't.
 
-    With radius r in each of m segments all codes within m * (r + 1) - 1 bits are met: a code further off differs in r + 1 bits or more
+    With radius r in each of m segments all codes within m * (r + 1) - 1 bits are met: a code further off may differ in r + 1 bits
     in every segment. A code is met in several tables; the first that has it within the radius reports it.
     """
     x = F.col("query").bitwiseXOR(F.col("code"))
     distance = F.bit_count(x)
-    newly = distance.between(len(parts) * radius, len(parts) * (radius + 1) - 1)
-    found = None
-    for i, segment in enumerate(parts):
-        first = newly
-        for earlier in parts[:i]:
-            first &= F.bit_count(_part(x, earlier)) > radius
-        table = index.where(F.col("segment") == i).select("key", "code", "n")
-        met = _ball(queries, segment, radius).join(table, "key").where(first).select("query", "code", "n", distance.alias("distance"))
-        found = met if found is None else found.union(met)
-    return found
+    accepted = distance.between(len(parts) * radius, len(parts) * (radius + 1) - 1)
+    for i, segment in enumerate(parts[:-1]):
+        accepted &= (F.col("segment") <= i) | (F.bit_count(_part(x, segment)) > radius)
+    # the planner takes the ball for as small as the queries, so it is told not to broadcast it
+    met = _ball(queries, parts, radius).hint("merge").join(index, ["segment", "key"]).where(accepted)
+    return met.select("query", "code", "n", distance.alias("distance"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -104,8 +106,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     nodes = members.groupBy("code").agg(F.count("*").alias("n"))
     nodes = durable(nodes, "distinct-codes")
     parts = segments(nodes.count())
-    keys = F.array(*[F.struct(F.lit(i).alias("segment"), _part(F.col("code"), s).alias("key")) for i, s in enumerate(parts)])
-    index = durable(nodes.select("code", "n", F.explode(keys).alias("at")).select("code", "n", "at.segment", "at.key"), "segment-tables")
+    index = durable(_starts(nodes, "code", parts).select("segment", "key", "code", "n"), "segment-tables")
     still = durable(asked.select(F.col("code").alias("query")).distinct(), "open-queries")
     found, radius = None, 0
     while radius * len(parts) <= BITS and still.limit(1).count():
