@@ -72,47 +72,54 @@ def _buckets(signatures: DataFrame) -> DataFrame:
 
 
 def _texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
-    """``(id, d1, line)`` of the lines whose first digest is wanted; ``id`` is the whole digest.
+    """``(id, d1, line, set)`` of the lines whose first digest is wanted; ``id`` is the whole digest.
 
-    The wanted digests are broadcast if they are proven few, else joined.
+    A line is carried as its text or, if it repeats itself so much that this is shorter, as the set of its shingles; the
+    other column is null. The wanted digests are broadcast if they are proven few, else joined.
     """
     first = durable(wanted.select("d1").distinct(), "digests")
     if first.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
         first = F.broadcast(first)
-    told = lines.select(*_digests(F.col("line")), "line").join(first, "d1", "left_semi")
-    return told.select(F.struct("d1", "d2").alias("id"), "d1", "line").dropDuplicates(["id"])
+    told = lines.select(*_digests(F.col("line")), "line").join(first, "d1", "left_semi").dropDuplicates(["d1", "d2"])
+    told = told.withColumn("set", _shingles(F.col("line")))
+    repeats = F.size("set") * 8 <= F.octet_length("line")
+    return told.select(
+        F.struct("d1", "d2").alias("id"), "d1", F.when(~repeats, F.col("line")).alias("line"), F.when(repeats, F.col("set")).alias("set")
+    )
 
 
 def _likeness(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (with columns a and b) and the exact Jaccard coefficient ``j`` of the lines."""
-    left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-    told = pairs.join(left, "a").join(right, "b")
-    sets = told.withColumns({"set_a": _shingles(F.col("line_a")), "set_b": _shingles(F.col("line_b"))}).drop("line_a", "line_b")
+    """``(a, b, j)``: the different pairs (a, b) and the exact Jaccard coefficient of their lines."""
+    told = pairs.select("a", "b").distinct()
+    for side in ("a", "b"):
+        line = texts.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}"), F.col("set").alias(f"set_{side}"))
+        told = told.join(line, side)
+    sets = told.select("a", "b", *[F.coalesce(f"set_{x}", _shingles(F.col(f"line_{x}"))).alias(f"set_{x}") for x in ("a", "b")])
     both = sets.withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
-    j = F.col("both") / (F.size("set_a") + F.size("set_b") - F.col("both"))
-    return both.withColumn("j", j).drop("set_a", "set_b", "both")
+    return both.select("a", "b", (F.col("both") / (F.size("set_a") + F.size("set_b") - F.col("both"))).alias("j"))
 
 
 def _similar(met: DataFrame, texts: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between lines alike that share a bucket, enough of them for the right components.
 
-    In small buckets all pairs are compared. In larger ones each round compares all lines with some of them, the pivots (others
-    in each band, and twice as many in each round). Those alike to one are done with, the rest goes on. A pair of a line that was
+    In small buckets all pairs are compared. In larger ones each round compares all lines with some of them, the pivots (twice as
+    many in each round; a line that comes first in all its buckets is the pivot of all, which saves comparisons). Those alike to one are done with, the rest goes on. A pair of a line that was
     done and one that went on may be alike too; as 1 - j obeys the triangle inequality, that needs a line of the rest with
     j >= 2 * ALIKE - 1 to the pivot. Such pairs are compared at the end, if nothing has joined the two lines by then.
     """
     few = met.where(F.col("n") <= FEW).select("key", "id")
-    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
+    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
     links = durable(_likeness(pairs, texts).where(F.col("j") >= ALIKE).select("a", "b"), "line-links")
     rest = durable(met.where(F.col("n") > FEW).select("key", "id"), "crowds")
     near: DataFrame | None = None
     pivots = 1
     while rest.limit(1).count():
-        order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id"))
+        order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id"), "id"))
         chosen = rest.withColumn("place", order).where(F.col("place") <= pivots).select("key", F.col("id").alias("a"))
         against = rest.withColumnRenamed("id", "b").join(chosen, "key").where("a <> b")
-        seen = durable(_likeness(against, texts), "compared")
+        told = _likeness(against.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts)
+        told = durable(told.union(told.select(F.col("b").alias("a"), F.col("a").alias("b"), "j")), "compared")
+        seen = durable(against.join(told, ["a", "b"]), "seen")
         links = links.union(seen.where(F.col("j") >= ALIKE).select("a", "b"))
         close = seen.where(F.col("j") >= 2 * ALIKE - 1).select("key", "a", "b", "j")
         near = close if near is None else near.union(close)
@@ -136,7 +143,7 @@ def _across(near: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
     on = named.where(F.col("j") < ALIKE).select("key", "a", F.col("b").alias("y"), F.col("j").alias("jy"), F.col("root").alias("ry"))
     # all lines done with a pivot have one root: lines of the rest that have another, and those they could be alike to
     open_ = done.join(on, ["key", "a"]).where((F.col("rx") != F.col("ry")) & (F.col("jx") - F.col("jy") <= 1 - ALIKE))
-    pairs = open_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = open_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return durable(_likeness(pairs, texts).where(F.col("j") >= ALIKE).select("a", "b"), "links-across")
 
 
