@@ -18,7 +18,7 @@ def test_forms(spark):
         None, "", "paſſword=abcdefgh1", "ABCDEF0123456789" * 2,
     ])
     assert found == [
-        [("assign", 2, 22)], [], [("assign", 0, 20)], [("access", 0, 16)], [("hex", 0, 32)], [("assign", 0, 17), ("assign", 18, 33)],
+        [("assign", 2, 22)], [], [("assign", 0, 19)], [("access", 0, 16)], [("hex", 0, 32)], [("assign", 0, 17), ("assign", 18, 33)],
         [], [], [], [],
     ]
 

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import let
 from tidemark.llm.graph import components
 from tidemark.session import durable
 
@@ -46,8 +47,11 @@ def _shingle(units: Column, at: Column) -> Column:
 
 def _shingles(line: Column) -> Column:
     """The distinct shingles of a line, as their digests; a line shorter than a shingle is one."""
-    units = F.encode(line, "UTF-16BE")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last_start(units)), lambda i: F.xxhash64(_shingle(units, i))))
+
+    def of(units: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), _last_start(units)), lambda i: F.xxhash64(_shingle(units, i))))
+
+    return let(F.encode(line, "UTF-16BE"), of)  # encoded once, not for each shingle
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
@@ -187,7 +191,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = F.col(f"`{text_col}`").cast("string")
     row = F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(text, F.lit("")))
     marked = docs.join(gone, (row == F.col("_row")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
-    lines = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    shorter = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    def without_gone(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    shorter = let(F.split(text, "\n", -1), without_gone)
     return marked.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(shorter)).drop("_row", "_gone", "_id")
