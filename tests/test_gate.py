@@ -186,6 +186,7 @@ def test_stream_takes_each_file_once(spark, store):
     incoming, progress = work_folder(spark, "incoming"), work_folder(spark, "progress")
 
     def arrive(run_id, rows):
+        gate.finish_run(store, run_id, "a", rows.count())
         rows.withColumn("scrape_run_id", F.lit(run_id).cast("long")).select(*model.STAGING.names).write.mode(
             "append"
         ).parquet(incoming)
@@ -199,3 +200,31 @@ def test_stream_takes_each_file_once(spark, store):
     arrive(3, project_rows(spark, 15, description=None))
     assert states(quality.run_status(store.events())) == {1: "promoted", 2: "promoted", 3: "rejected"}
     assert store.serving().count() == 30
+
+
+def delivery(run_id, rows):
+    return rows.withColumn("scrape_run_id", F.lit(run_id).cast("long")).select(*model.STAGING.names)
+
+
+def test_a_run_in_two_deliveries_is_whole(spark, store):
+    gate.import_run(store, project_rows(spark, 20), 1, ["source_url"])
+    gate.finish_run(store, 2, "a", 30)
+    gate.deliver(store, delivery(2, project_rows(spark, 20, first=10)), 1)
+    assert states(gate.run_gate(store, THRESHOLDS))[2] == "scraped"
+    for _ in range(2):  # the second delivery repeats ids of the first, and comes twice
+        gate.deliver(store, delivery(2, project_rows(spark, 10, first=25)), 2)
+    status = {r.run_id: r for r in gate.run_gate(store, THRESHOLDS).collect()}
+    assert (status[2].status, status[2].n_scraped, status[2].n_promoted) == ("promoted", 30, 25)
+    assert store.staging().filter("scrape_run_id = 2").count() == 25 and store.serving().count() == 35
+
+
+def test_late_rows_are_refused_where_one_can_see_them(spark, store):
+    gate.import_run(store, project_rows(spark, 20), 1, ["source_url"])
+    gate.finish_run(store, 2, "a", 20)
+    gate.deliver(store, delivery(2, project_rows(spark, 20, first=10)), 1)
+    gate.run_gate(store, THRESHOLDS)
+    gate.deliver(store, delivery(2, project_rows(spark, 20, first=10)), 1)  # taken before, so nothing new
+    assert store.refused().count() == 0
+    gate.deliver(store, delivery(2, project_rows(spark, 3, first=90)), 2)
+    assert store.refused().count() == 3 and store.staging().filter("scrape_run_id = 2").count() == 20
+    assert store.serving().count() == 30

@@ -126,3 +126,12 @@ def test_event_list(spark):
     rows = payloads.event_list(captured(spark, body), "page").orderBy("slug").collect()
     assert [(r.slug, r.title, str(r.hackathon_date)) for r in rows] == [("aa", "A", "2025-03-03"), ("dd", "dd", "None")]
     assert tuple(payloads.event_list_meta(captured(spark, body, "{}"), "page").orderBy("page").collect()[1])[1:] == (0, 50)
+
+
+def test_unclosed_tags(spark):
+    deep = '<div id="app-details-left">' + "<p>part " * 5000 + "</div>"
+    nested = '<div id="app-details-left">' + "<div>" * 5000 + "deep"
+    gallery = '<div data-software-id="1"><a href="/software/one"><h5>One</h5><p class="tagline">one<p>two</a></div>'
+    found = pages.software_details(captured(spark, deep, nested), "page").orderBy("page").collect()
+    assert found[0].description.split() == ["part"] * 5000 and found[1].description == "deep"
+    assert pages.gallery_entries(captured(spark, gallery), "page").first().tagline == "one"

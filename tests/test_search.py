@@ -85,6 +85,14 @@ def test_words_of_the_same_stem_match(docs):
     assert [r.id for r in hits] == [2, 1]
 
 
+@pytest.mark.parametrize("one, many", [("day", "days"), ("key", "keys"), ("way", "ways"), ("toy", "toys"), ("boy", "boys")])
+def test_short_stems_find_their_family(spark, one, many):
+    words = spark.createDataFrame([(1, f"{one} {many} {one}time", None, None)], "id long, title string, short_description string, description string")
+    terms = search.lexicon(words)
+    for typed in (one, many):
+        assert search.word_forms(terms, search.parse_query(typed)) == {typed: [one, many]}
+
+
 def test_cover_density_prefers_close_terms(spark):
     rows = [
         (1, "x", None, "alpha one two three four beta", None, False),

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import re
 import tomllib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Manifest names, line patterns, and requirement lines that name no package.
-TOML_MANIFESTS = ["pyproject.toml", "Cargo.toml"]
+# Where TOML manifests declare packages (and what stands there but is none), line patterns, and
+# requirement lines that name no package.
+TOML_SECTIONS = {
+    "pyproject.toml": [(("project", "dependencies"), ()), (("tool", "poetry", "dependencies"), ("python",))],
+    "Cargo.toml": [(("dependencies",), ())],
+}
 REQUIREMENT = r"\A\s*([A-Za-z0-9._-]+)"
 GO_MODULE = r"(?U)\A\s*([\w./-]+)\s+v"
 NOT_A_PACKAGE = r"\A(?:#|-|http://|https://|git\+)"
@@ -43,41 +47,38 @@ def go_module_names(text: Column) -> Column:
     return F.transform(_captured(_lines(text), GO_MODULE), lambda path: F.substring_index(path, "/", -1))
 
 
-def _toml_names(manifest: str, text: str) -> list[str]:
+def _declared(manifest: str, text: str) -> list[str]:
+    """Entries of the sections that name packages: keys of tables, items of lists."""
     try:
-        data = tomllib.loads(text)
+        tree = tomllib.loads(text)
     except ValueError:
         return []
-    if manifest == "Cargo.toml":
-        section = data.get("dependencies", {})
-        return list(section) if isinstance(section, dict) else []
-    names = []
-    project = data.get("project")
-    if isinstance(project, dict):
-        specs = map(str, project.get("dependencies") or [])
-        names += [m.group(1) for m in (re.match(r"\s*([A-Za-z0-9._-]+)", s) for s in specs) if m]
-    tool = data.get("tool")
-    poetry = tool.get("poetry") if isinstance(tool, dict) else None
-    section = poetry.get("dependencies") if isinstance(poetry, dict) else None
-    if isinstance(section, dict):
-        names += [name for name in section if name.lower() != "python"]
-    return names
+    found = []
+    for path, no_packages in TOML_SECTIONS[manifest]:
+        section = reduce(lambda node, key: node.get(key) if isinstance(node, dict) else None, path, tree)
+        entries = map(str, section) if isinstance(section, dict | list) else ()
+        found.extend(entry for entry in entries if entry.lower() not in no_packages)
+    return found
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def toml_names(manifest: pd.Series, text: pd.Series) -> pd.Series:
+def toml_entries(manifest: pd.Series, text: pd.Series) -> pd.Series:
     """TOML has no native reader. Rows of other formats arrive as NULL and cost nothing."""
-    return pd.Series([None if t is None else _toml_names(m, t) for m, t in zip(manifest, text)])
+    return pd.Series([None if t is None else _declared(m, t) for m, t in zip(manifest, text)])
+
+
+def toml_names(manifest: Column, text: Column) -> Column:
+    """Names of the packages: an entry begins with one, a version or a marker may follow."""
+    return _captured(toml_entries(manifest, F.when(manifest.isin(list(TOML_SECTIONS)), text)), REQUIREMENT)
 
 
 def dependency_names(manifest: Column, text: Column) -> Column:
     """Names a manifest declares; an unknown manifest or a broken file declares none."""
-    toml_text = F.when(manifest.isin(TOML_MANIFESTS), text)
     return F.coalesce(
         F.when(manifest == "package.json", package_json_names(text))
         .when(manifest == "requirements.txt", requirements_names(text))
         .when(manifest == "go.mod", go_module_names(text)),
-        toml_names(manifest, toml_text),
+        toml_names(manifest, text),
         F.array().cast("array<string>"),
     )
 

@@ -1,8 +1,7 @@
 """Vector columns over ``array<float>``.
 
 Spark has no vector type or distance function, so the dot product is a fold over the zipped
-arrays, in double precision. Vectors are stored with unit norm; ``cosine_distance`` does not rely
-on that, ``unit_distance`` does and saves two of the three folds.
+arrays, in double precision. Vectors are stored with unit norm; ``cosine_distance`` does not rely on that.
 """
 
 from __future__ import annotations
@@ -27,21 +26,6 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1.0 - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def unit_distance(a: Column, b: Column) -> Column:
-    """Cosine distance of vectors already scaled to unit norm."""
-    return 1.0 - dot(a, b)
-
-
-def unit_distance(a: Column, b: Column) -> Column:
-    """Cosine distance of vectors already scaled to unit norm."""
-    return 1.0 - dot(a, b)
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once per row, also inside nested lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def unit(v: Column) -> Column:
     """The vector in double precision scaled to unit norm; NULL where it has no direction."""
     return let(v, lambda w: let(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x.cast("double") / n))))

@@ -254,9 +254,14 @@ def check_report(checks: DataFrame) -> DataFrame:
 
 
 def run_status(events: DataFrame) -> DataFrame:
-    """Current state of each run, from the append-only log."""
-    latest = F.max_by(F.struct("status", "source", "kind", "n_scraped"), "seq")
-    return events.groupBy("run_id").agg(latest.alias("s")).select("run_id", "s.*")
+    """Current state of each run, from the append-only log: its latest entry, and the last known counts."""
+
+    def last(name: str) -> Column:
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name)
+
+    latest = F.max_by(F.struct("status", "source", "kind"), "seq").alias("s")
+    grouped = events.groupBy("run_id").agg(latest, last("n_scraped"), last("n_promoted"))
+    return grouped.select("run_id", "s.*", "n_scraped", "n_promoted")
 
 
 def pending_runs(runs: DataFrame) -> DataFrame:

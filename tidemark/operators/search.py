@@ -110,26 +110,23 @@ Forms = dict[str, list[str]]
 
 
 def lexicon(documents: DataFrame) -> DataFrame:
-    """The distinct words of the corpus. At scale it is stored once per snapshot."""
+    """``(term, stem)`` of the distinct words of the corpus. At scale it is stored once per snapshot."""
     words = F.flatten(F.array(*[F.array_distinct(tokens(F.col(name))) for name in FIELD_WEIGHTS]))
-    return documents.select(F.explode(words).alias("term")).distinct()
+    terms = documents.select(F.explode(words).alias("term")).distinct()
+    return terms.withColumn("stem", stems("term"))
 
 
 def word_forms(terms: DataFrame, query: Query) -> Forms:
-    """Words of the corpus with the same English stem as a word of the query.
+    """Words of a lexicon with the same English stem as a word of the query.
 
-    Words are compared by a prefix of the stem first, natively, so only a few reach Python and only
-    the forms of the query's own words reach the driver.
+    Stems are compared, nothing else; only the forms of the query's own words reach the driver.
     """
     words = {w for term in query.terms + query.excluded for w in term if w is not None}
-    stem_of = {w: porter_stem(w) for w in words}
-    prefixes = sorted({s[:-1] if len(s) > 3 else s for s in stem_of.values()})
-    if not prefixes:
+    if not words:
         return {}
-    near = terms.filter(_any([F.col("term").startswith(p) for p in prefixes]))
-    same = near.withColumn("stem", stems("term")).filter(F.col("stem").isin(sorted(set(stem_of.values()))))
+    stem_of = {w: porter_stem(w) for w in words}
     forms: dict[str, set[str]] = {}
-    for row in same.collect():
+    for row in terms.filter(F.col("stem").isin(sorted(set(stem_of.values())))).collect():
         forms.setdefault(row.stem, set()).add(row.term)
     return {w: sorted(forms.get(s, set()) | {w}) for w, s in stem_of.items()}
 

@@ -718,9 +718,17 @@ def statements() -> dict[str, str]:
         len(regexp_extract_all(html, '<a href="[^"]+"')) AS n_links, NULL::VARCHAR AS meta_description FROM pages"""
 
     # streams: the broken collection fails against the anchor, whatever was promoted before it
-    s["stream_gate"] = _checks("""SELECT scrape_run_id AS run_id,
-        CASE WHEN bool_and(passed) THEN 'promoted' ELSE 'rejected' END AS status FROM checks GROUP BY 1
-        UNION ALL SELECT run_id, status FROM runs WHERE kind = 'import'""")
+    s["stream_gate"] = _checks("""SELECT v.scrape_run_id AS run_id, v.status, n.n_scraped,
+            CASE WHEN v.status = 'promoted' THEN n.n_ids END AS n_promoted, served.n_serving
+        FROM (SELECT scrape_run_id, source, CASE WHEN bool_and(passed) THEN 'promoted' ELSE 'rejected' END AS status
+              FROM checks GROUP BY ALL) v
+        JOIN (SELECT scrape_run_id, count(*) AS n_scraped, count(DISTINCT id) AS n_ids FROM staging GROUP BY ALL) n USING (scrape_run_id)
+        JOIN (SELECT source, count(DISTINCT id) AS n_serving FROM (
+                  SELECT source, id FROM serving UNION ALL
+                  SELECT source, id FROM staging JOIN (
+                      SELECT scrape_run_id FROM checks GROUP BY 1 HAVING bool_and(passed)) USING (scrape_run_id))
+              GROUP BY source) served USING (source)
+        UNION ALL SELECT run_id, status, (SELECT count(*) FROM serving), (SELECT count(*) FROM serving), NULL FROM runs WHERE kind = 'import'""")
     s["stream_dedup"] = _with("items", body=f"""SELECT source, count(*) AS n FROM items
         WHERE order_year >= {tables.FIRST_STAGED_YEAR} GROUP BY source""")
     return s

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tidemark.config import load_thresholds
 from tidemark.functions import manifests, tags, text, vectors
 from tidemark.operators import catalog, enrich, export, lifecycle, normalize, quality, search, trends
-from tidemark.session import work_folder
+from tidemark.session import durable, work_folder
 from tidemark.sources import captures, pages, payloads, tables
 from tidemark.sources.storage import Store
 from tidemark.streaming import gate
@@ -303,7 +303,7 @@ def lexical_search_cover_density(spark, folder):
 def lexical_search_stemmed(spark, folder):
     documents = tables.documents(spark, folder)
     parsed = search.parse_query(SEARCH_TEXT)
-    forms = search.word_forms(search.lexicon(documents), parsed)
+    forms = search.word_forms(durable(search.lexicon(documents), "lexicon"), parsed)
     return search.lexical_topk(documents, parsed, search.CANDIDATES, forms=forms)
 
 
@@ -411,7 +411,7 @@ def constraint_checks(spark, folder):
 
 @query
 def run_status(spark, folder):
-    return quality.run_status(tables.run_events(spark, folder))
+    return quality.run_status(tables.run_events(spark, folder)).drop("n_promoted")
 
 
 @query
@@ -837,9 +837,13 @@ def redact_pages(spark, folder):
 
 
 def _incoming(spark, folder, work):
-    """Staged runs as files that a stream picks up."""
+    """Staged runs as files that a stream picks up; each run is dealt over two files."""
     rows = tables.staging(spark, folder).filter(F.col("scrape_run_id") != tables.IMPORT_RUN)
-    rows.select(*gate.model.STAGING.names).write.parquet(f"{work}/incoming")
+    rows = durable(rows.select(*gate.model.STAGING.names), "staged-runs")
+    for half in (0, 1):
+        mine = rows.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == half)
+        mine.coalesce(1).write.mode("append").parquet(f"{work}/incoming")
+    return rows
 
 
 @query
@@ -847,16 +851,20 @@ def stream_gate(spark, folder):
     work = work_folder(spark, "gate")
     store = Store(spark, f"{work}/store")
     gate.import_run(store, tables.serving(spark, folder), tables.IMPORT_RUN, ["order_key"])
-    _incoming(spark, folder, work)
-    gate.stream_gate(spark, f"{work}/incoming", store, load_thresholds(), f"{work}/progress").awaitTermination()
-    return quality.run_status(store.events()).select("run_id", "status")
+    rows = _incoming(spark, folder, work)
+    for run in rows.groupBy("scrape_run_id", "source").count().collect():  # one row for each run
+        gate.finish_run(store, run.scrape_run_id, run.source, run["count"])
+    gate.stream_gate(
+        spark, f"{work}/incoming", store, load_thresholds(), f"{work}/progress", files_per_batch=1
+    ).awaitTermination()
+    status = quality.run_status(store.events())
+    served = store.serving().groupBy("source").agg(F.count("*").alias("n_serving"))
+    return status.join(served, "source", "left").select("run_id", "status", "n_scraped", "n_promoted", "n_serving")
 
 
 @query
 def stream_dedup(spark, folder):
     work = work_folder(spark, "dedup")
     _incoming(spark, folder, work)
-    gate.stream_dedup(
-        spark, f"{work}/incoming", f"{work}/unique", f"{work}/progress", delay="3650 days"
-    ).awaitTermination()
+    gate.stream_dedup(spark, f"{work}/incoming", f"{work}/unique", f"{work}/progress").awaitTermination()
     return spark.read.parquet(f"{work}/unique").groupBy("source").agg(F.count("*").alias("n"))

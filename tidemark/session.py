@@ -22,6 +22,8 @@ def local_session(cores: int | str = "*", app: str = "tidemark") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "4m")
+        .config("spark.sql.files.openCostInBytes", "1m")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -60,13 +62,3 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
     """A few rows known to the driver, as a local relation whose size the planner knows."""
     table = pa.Table.from_pylist([dict(zip(schema.names, row)) for row in rows], to_arrow_schema(schema))
     return spark.createDataFrame(table, schema)
-
-
-def spread(frame: DataFrame) -> DataFrame:
-    """Rows over all cores where the input has fewer splits than there are cores.
-
-    For small files that need much work per row. An input of the usual size has more splits than
-    cores and is returned as it is, without a shuffle.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame

@@ -32,6 +32,21 @@ DESCRIPTION_META = (
     r'(<meta\b(?=[^>]*(?:name="description"|property="og:description"|name="twitter:description"'
     r'|itemprop="description"))[^>]*\bcontent=")([^"]*)(")'
 )
+# Elements whose start ends a paragraph, and those that end one of their own kind within some bounds.
+_ENDS_PARAGRAPH = frozenset(
+    "address article aside blockquote details dialog dl div fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li"
+    " main menu nav ol p pre search section table ul".split()
+)
+_INLINE = frozenset("a abbr b bdi bdo cite code del em font i ins mark q s small span strike strong sub sup time tt u".split())
+_CLOSES = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select",)),
+}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
 
 
@@ -60,16 +75,20 @@ class _Node:
         return next(self.all(*args, **kwargs), None)
 
     def texts(self):
-        for child in self.children:
-            if isinstance(child, _Node):
-                if child.tag not in ("script", "style"):
-                    yield from child.texts()
-            else:
+        """The text inside, in order; a stack of what is still to come instead of recursion, whatever the depth."""
+        ahead = [iter(self.children)]
+        while ahead:
+            child = next(ahead[-1], None)
+            if child is None:
+                ahead.pop()
+            elif isinstance(child, str):
                 yield child
+            elif child.tag not in ("script", "style"):
+                ahead.append(iter(child.children))
 
 
 class _Tree(HTMLParser):
-    """Elements and text; an end tag closes up to its nearest open element, strays are ignored."""
+    """Elements and text. An end tag closes up to its nearest open element, strays are ignored, omitted ends are implied."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
@@ -84,7 +103,23 @@ class _Tree(HTMLParser):
         self.here.children.append(node)
         return node
 
+    def _imply_ends(self, tag: str) -> None:
+        """Close what the start of ``tag`` ends: the open element itself or the nearest one before its list, table or block."""
+        node = self.here
+        while tag in _ENDS_PARAGRAPH and node.tag in _INLINE:
+            node = node.parent
+        if node.tag == "p" and tag in _ENDS_PARAGRAPH:
+            self.handle_endtag("p")
+        closed, bounds = _CLOSES.get(tag, ((), ()))
+        node = self.here
+        while closed and node.parent is not None and node.tag not in bounds:
+            if node.tag in closed:
+                self.handle_endtag(node.tag)
+                return
+            node = node.parent
+
     def handle_starttag(self, tag, attrs):
+        self._imply_ends(tag)
         node = self._add(tag, attrs)
         if tag in _VOID:
             node.end = len(self.nodes)

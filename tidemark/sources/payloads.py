@@ -148,21 +148,25 @@ def listing_entries(captured: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+#: A text payload: its id, the length in hexadecimal digits, the text.
+_TEXT = r"(?s)\A(\w+):T[0-9a-fA-F]+,(.+)\z"
+
+
 def script_projects(captured: DataFrame, *keys: str) -> DataFrame:
     """The project of a page, its best prize and its description.
 
-    A description that is a reference lives in a text payload of its own.
+    A description that is a reference (``$`` and an id) lives in the text payload of that id.
     """
     pages = captured.select(*keys, script_payloads(F.col("body")).alias("payloads"))
-    long_texts = F.filter(
-        F.transform("payloads", lambda p: F.regexp_extract(p, r"(?s)\A\w+:T[0-9a-fA-F]+,(.+)\z", 1)),
-        lambda t: F.length(t) > 80,
+    texts = F.transform(
+        F.filter("payloads", lambda p: p.rlike(_TEXT)),
+        lambda p: F.struct(F.regexp_extract(p, _TEXT, 1).alias("id"), F.regexp_extract(p, _TEXT, 2).alias("body")),
     )
     parsed = pages.select(
         *keys,
         # ``explode`` keeps the optimiser from parsing again for the filter below.
         F.explode(F.array(F.from_json(_first_with(F.col("payloads"), '"project":{'), _PROJECT))).alias("p"),
-        text.clean(F.try_element_at(long_texts, F.lit(1))).alias("long_text"),
+        texts.alias("texts"),
     ).filter(F.col("p.uuid").isNotNull() | F.col("p.name").isNotNull())
     ranked = F.transform(
         F.coalesce("p.prizes", F.array().cast(_PRIZES)),
@@ -177,6 +181,8 @@ def script_projects(captured: DataFrame, *keys: str) -> DataFrame:
     best = F.array_min(F.filter("prizes", lambda r: r.place.isNotNull()))
     first = F.try_element_at("prizes", F.lit(1))
     inline = text.clean(F.col("p.description"))
+    wanted = F.substring_index(inline, "$", -1)
+    referred = text.clean(F.get(F.filter("texts", lambda t: t.id == wanted), F.lit(0)).body)
     return rows.withColumns({"best": best, "first": first}).select(
         *keys,
         F.coalesce("p.uuid", F.lit("")).alias("uuid"),
@@ -184,7 +190,7 @@ def script_projects(captured: DataFrame, *keys: str) -> DataFrame:
         F.coalesce(text.clean(F.col("p.name")), "p.uuid", F.lit("")).alias("name"),
         text.clean(F.col("p.tagline")).alias("tagline"),
         F.coalesce(text.clean(F.col("p.sourceCodeUrl")), text.clean(F.col("p.url"))).alias("repo_url"),
-        F.when(~inline.startswith("$"), inline).otherwise(F.col("long_text")).alias("description"),
+        F.when(~inline.startswith("$"), inline).otherwise(referred).alias("description"),
         text.clean(F.col("p.event.slug")).alias("event_slug"),
         text.clean(F.col("p.event.name")).alias("event_name"),
         text.parse_iso_date(F.col("p.event.startTime")).alias("event_date"),

@@ -1,8 +1,9 @@
 """Parquet layout of runs and serving snapshots.
 
-Staged rows live in one folder per run and source; a promoted source in one folder per source and
+Staged rows live in one folder per run, source and delivery; a promoted source in one folder per source and
 run. The append-only run log decides what is current: a promotion becomes visible with its log row, and a
-lost or repeated attempt rewrites its own folder only.
+lost or repeated attempt rewrites its own folder only. What each delivery brought is on record, so that a run
+is decided when all of it has come, and what comes after a decision is refused where one can see it.
 """
 
 from __future__ import annotations
@@ -11,12 +12,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import model
 from tidemark.operators import quality
 from tidemark.session import small_frame
 
 
+DELIVERY = (
+    T.StructType().add("source", "string").add("n", "long").add("scrape_run_id", "long").add("delivery", "long")
+)
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
@@ -27,19 +34,47 @@ class Store:
 
     # --- staging ---
 
-    def stage(self, rows: DataFrame) -> None:
-        """Write staged rows, replacing what an earlier attempt of the same run and source left."""
-        (
-            rows.select(*model.STAGING.names)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("scrape_run_id", "source")
-            .parquet(self._path("staging"))
-        )
-
-    def staging(self) -> DataFrame:
+    def _overwrite(self, rows: DataFrame, name: str, *partitions: str) -> None:
+        """Write rows, replacing only the partitions that they belong to."""
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*partitions).parquet(self._path(name))
+
+    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+        """A table of the store, empty if nothing was written yet."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return small_frame(self.spark, [], schema)
+        return self.spark.read.schema(schema).parquet(self._path(name))
+
+    def stage(self, rows: DataFrame, delivery: int = 0, brought: DataFrame | None = None) -> None:
+        """Write the staged rows of a delivery, replacing what an earlier attempt of the same delivery left.
+
+        ``brought`` counts the rows as they came (``scrape_run_id, source, n``), by default those written. Other deliveries of the
+        same runs stay.
+        """
+        number = F.lit(delivery).cast("long").alias("delivery")
+        self._overwrite(rows.select(*model.STAGING.names, number), "staging", "scrape_run_id", "source", "delivery")
+        if brought is None:
+            brought = self.staging(delivery).join(
+                rows.select("scrape_run_id").distinct(), "scrape_run_id", "left_semi"
+            ).groupBy("scrape_run_id", "source").agg(F.count("*").alias("n"))
+        self._overwrite(brought.select("source", "n", "scrape_run_id", number), "deliveries", "scrape_run_id", "delivery")
+
+    def staging(self, delivery: int | None = None) -> DataFrame:
         # Partition values carry the declared types; the columns inside are read as declared.
-        return self.spark.read.schema(model.STAGING).parquet(self._path("staging"))
+        rows = self._read("staging", T.StructType([*model.STAGING.fields, T.StructField("delivery", T.LongType())]))
+        return (rows if delivery is None else rows.filter(F.col("delivery") == delivery)).select(*model.STAGING.names)
+
+    def deliveries(self) -> DataFrame:
+        return self._read("deliveries", DELIVERY)
+
+    def refuse(self, rows: DataFrame, delivery: int) -> None:
+        """Keep rows that came after their run was decided; they are staged nowhere."""
+        number = F.lit(delivery).cast("long").alias("delivery")
+        self._overwrite(rows.select(*model.STAGING.names, number), "refused", "scrape_run_id", "delivery")
+
+    def refused(self) -> DataFrame:
+        return self._read("refused", T.StructType([*model.STAGING.fields, T.StructField("delivery", T.LongType())]))
 
     # --- run log ---
 
@@ -49,7 +84,7 @@ class Store:
         ).parquet(self._path("run_events"))
 
     def events(self) -> DataFrame:
-        return self.spark.read.schema(model.RUN_EVENT).parquet(self._path("run_events"))
+        return self._read("run_events", model.RUN_EVENT)
 
     def log_states(self, states: list[dict]) -> None:
         """Append run states; keys are the columns of the log, the absent ones are NULL."""

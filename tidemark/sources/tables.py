@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from tidemark.functions import text
 from tidemark.functions.tags import Theme, Vocabulary
-from tidemark.session import spread
 
 # The closed list of sources of this catalogue and the run that collects each of them.
 SOURCE_RUNS = {"automobile": 2, "building": 3, "furniture": 4, "household": 5, "machinery": 6}
@@ -53,15 +52,9 @@ WORD_VOCABULARY = Vocabulary(
 )
 
 
-_schemas: dict[str, T.StructType] = {}
-
-
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. Its schema is looked up once per path; later reads touch no file footer."""
-    path = f"{folder}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    """A given table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 _views: dict[tuple, tuple[SparkSession, DataFrame]] = {}
@@ -82,7 +75,7 @@ def view(build):
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with the attributes of their part."""
-    lines = spread(read(spark, folder, "lineitem"))
+    lines = read(spark, folder, "lineitem")
     parts = read(spark, folder, "part")
     return lines.join(parts, lines.l_partkey == parts.p_partkey)
 
@@ -115,7 +108,7 @@ def order_tags(spark: SparkSession, folder: str) -> DataFrame:
 @view
 def dated_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their customer and nation. No hint: Spark broadcasts a side by its size."""
-    orders = spread(read(spark, folder, "orders"))
+    orders = read(spark, folder, "orders")
     customers = read(spark, folder, "customer")
     nations = read(spark, folder, "nation")
     return orders.join(customers, orders.o_custkey == customers.c_custkey).join(
@@ -268,6 +261,7 @@ def run_events(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("run_id") == IMPORT_RUN, "import").otherwise("scrape").alias("kind"),
         "status",
         "n_scraped",
+        F.lit(None).cast("long").alias("n_promoted"),
     )
 
 
@@ -295,7 +289,7 @@ def model_tags(spark: SparkSession, folder: str) -> DataFrame:
 @view
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Searchable corpus: documents with their vector (if any) and quality label."""
-    docs = spread(read(spark, folder, "documents"))
+    docs = read(spark, folder, "documents")
     vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
     labels = read(spark, folder, "labels").select(F.col("doc_id").alias("label_doc"), "quality")
     lines = F.split("text", "\n")

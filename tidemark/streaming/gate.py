@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import model
 from tidemark.config import Thresholds
@@ -19,7 +20,10 @@ def import_run(store: Store, rows: DataFrame, run_id: int, order: list[str]) ->
     staged = store.staging().filter(F.col("scrape_run_id") == run_id)
     sources = [row.source for row in staged.select("source").distinct().collect()]
     promote_runs(store, {source: {"run_id": run_id, "kind": "import", "seq": 1} for source in sources})
-    store.log_states([{"run_id": run_id, "seq": 2, "kind": "import", "status": "promoted"}])
+    total = staged.count()
+    store.log_states(
+        [{"run_id": run_id, "seq": 2, "kind": "import", "status": "promoted", "n_scraped": total, "n_promoted": total}]
+    )
 
 
 def promote_runs(store: Store, turn: dict[str, dict]) -> None:
@@ -63,7 +67,8 @@ def run_gate(store: Store, thresholds: Thresholds, promote: bool = True) -> Data
     source are decided in order, each against the table as the previous one left it. A run that was
     validated but not promoted is taken up again; a decided run is left alone.
     """
-    waiting = quality.gate_runs(store.staging(), quality.run_status(store.events()))
+    ready = quality.run_status(store.events()).join(incomplete_runs(store), "run_id", "left_anti")
+    waiting = quality.gate_runs(store.staging(), ready)
     while waiting:
         turn = {p.source: p for p in reversed(waiting)}
         waiting = [p for p in waiting if p is not turn[p.source]]
@@ -91,31 +96,53 @@ def run_gate(store: Store, thresholds: Thresholds, promote: bool = True) -> Data
     return quality.run_status(store.events())
 
 
-def stream_gate(spark: SparkSession, incoming: str, store: Store, thresholds: Thresholds, checkpoint: str):
-    """Take up staged files as they arrive: stage, gate and promote each run of the batch.
+def finish_run(store: Store, run_id: int, source: str, n_scraped: int) -> None:
+    """Mark a run as complete once all its ``n_scraped`` rows were delivered; until they are here the gate lets it wait."""
+    state = {"run_id": run_id, "seq": 0, "source": source, "kind": "scrape", "status": "scraped", "n_scraped": n_scraped}
+    store.log_states([state])
+
 
-    A repeated micro-batch rewrites the same staged partitions, and finds its runs already decided.
+def deliver(store: Store, batch: DataFrame, delivery: int) -> None:
+    """Stage a delivery of one or more runs, each of which may come in several.
+
+    The first row of an id counts, within a delivery and across those of a run. A delivery that comes again replaces itself. Rows of
+    a run that is decided already are refused, unless this very delivery was taken before.
     """
-    arriving = spark.readStream.schema(model.STAGING).parquet(incoming)
+    decided = quality.run_status(store.events()).filter(F.col("status").isin("promoted", "rejected"))
+    taken = store.deliveries().filter(F.col("delivery") == delivery).select("scrape_run_id").distinct()
+    closed = decided.select(F.col("run_id").alias("scrape_run_id"))
+    late = batch.join(closed.join(taken, "scrape_run_id", "left_anti"), "scrape_run_id", "left_semi")
+    if not late.isEmpty():
+        store.refuse(late, delivery)
+    fresh = batch.join(closed, "scrape_run_id", "left_anti")
+    unique = lifecycle.first_wins(fresh, ["scrape_run_id", "id"], ["scraped_at", "source_url", "title"])
+    earlier = store._read("staging", T.StructType([*model.STAGING.fields, T.StructField("delivery", T.LongType())]))
+    known = earlier.filter(F.col("delivery") != delivery).select("scrape_run_id", "id")
+    brought = fresh.groupBy("scrape_run_id", "source").agg(F.count("*").alias("n"))
+    store.stage(unique.join(known, ["scrape_run_id", "id"], "left_anti"), delivery, brought)
+
+
+def incomplete_runs(store: Store) -> DataFrame:
+    """``run_id`` of the runs of which rows are still to come: fewer were delivered than their marker tells."""
+    told = quality.run_status(store.events()).select("run_id", "n_scraped")
+    came = store.deliveries().groupBy(F.col("scrape_run_id").alias("run_id")).agg(F.sum("n").alias("n"))
+    return told.join(came, "run_id", "left").filter(F.coalesce("n", F.lit(0)) < F.col("n_scraped")).select("run_id")
+
+
+def stream_gate(
+    spark: SparkSession, incoming: str, store: Store, thresholds: Thresholds, checkpoint: str, files_per_batch: int | None = None
+):
+    """Take up staged files as they arrive; a run is gated and promoted when it is marked complete and all its rows are here.
+
+    A repeated micro-batch is the same delivery: it rewrites the same staged partitions and finds its runs already decided.
+    """
+    options = {"maxFilesPerTrigger": str(files_per_batch)} if files_per_batch else {}
+    arriving = spark.readStream.schema(model.STAGING).options(**options).parquet(incoming)
 
-    def accept(batch: DataFrame, _: int) -> None:
+    def accept(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        store.stage(lifecycle.first_wins(batch, ["scrape_run_id", "id"], ["scraped_at", "source_url", "title"]))
-        counts = batch.groupBy("scrape_run_id", "source").agg(F.count("*").alias("n_scraped"))
-        known = store.events().select(F.col("run_id").alias("scrape_run_id"))
-        store.log(
-            counts.join(known, "scrape_run_id", "left_anti").select(
-                F.col("scrape_run_id").alias("run_id"),
-                F.lit(0).alias("seq"),
-                "source",
-                F.lit("scrape").alias("kind"),
-                F.lit("scraped").alias("status"),
-                "n_scraped",
-                F.lit(None).alias("n_promoted"),
-                F.lit(None).alias("notes"),
-            )
-        )
+        deliver(store, batch, number + 1)
         run_gate(store, thresholds)
 
     query = arriving.writeStream.foreachBatch(accept).option("checkpointLocation", checkpoint)
