@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from conftest import SMALL
 from tidemark.llm import lines
 
@@ -47,12 +45,7 @@ def brute(rows):
     return owner, kept, ties
 
 
-@pytest.fixture(params=[2, 8])
-def few(request, monkeypatch):
-    monkeypatch.setattr(lines, "FEW", request.param)
-
-
-def test_same_as_definition(spark, few):
+def test_same_as_definition(spark):
     rng = random.Random(6)
     words = [rng.choice("bcdfgklmnprst") + rng.choice("aeiou") + rng.choice("nrst") + rng.choice("aeiou") for _ in range(300)]
     base = [" ".join(rng.choices(words, k=30)) for _ in range(12)]

@@ -17,8 +17,6 @@ SHINGLE = 8
 ALIKE = 0.8
 #: A pair at 0.8 shares one of seven bands of three minima with probability 0.993, one at 0.85 with 0.9987.
 BANDS, ROWS = 7, 3
-#: In a bucket of at most so many lines all pairs are compared.
-FEW = 8
 #: At most so many lines to verify are sought by a broadcast of their digests (8 bytes each).
 BROADCAST_LINES = 2_000_000
 
@@ -69,10 +67,10 @@ def _signatures(lines: DataFrame) -> DataFrame:
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
-    """``(key, d1, n)``: lines that share a band with others; ``n`` lines have the key."""
+    """``(key, d1)``: lines that share a band with others."""
     bands = [F.xxhash64(F.lit(b), *[f"m{i}" for i in range(b * ROWS, (b + 1) * ROWS)]) for b in range(BANDS)]
     rows = signatures.select("d1", F.explode(F.array(*bands)).alias("key"))
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "d1", "n")
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "d1")
 
 
 def _texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
@@ -92,63 +90,47 @@ def _texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def _likeness(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, b, j)``: the different pairs (a, b) and the exact Jaccard coefficient of their lines."""
-    told = pairs.select("a", "b").distinct()
-    for side in ("a", "b"):
-        line = texts.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}"), F.col("set").alias(f"set_{side}"))
-        told = told.join(line, side)
-    sets = told.select("a", "b", *[F.coalesce(f"set_{x}", _shingles(F.col(f"line_{x}"))).alias(f"set_{x}") for x in ("a", "b")])
-    both = sets.withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
-    return both.select("a", "b", (F.col("both") / (F.size("set_a") + F.size("set_b") - F.col("both"))).alias("j"))
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose exact Jaccard coefficient is at least ``ALIKE``, each once.
 
-
-def _similar(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between lines alike that share a bucket, enough of them for the right components.
-
-    In small buckets all pairs are compared. In larger ones each round compares all lines with some of them, the pivots (twice as
-    many in each round; a line that comes first in all its buckets is the pivot of all, which saves comparisons). Those alike to one are done with, the rest goes on. A pair of a line that was
-    done and one that went on may be alike too; as 1 - j obeys the triangle inequality, that needs a line of the rest with
-    j >= 2 * ALIKE - 1 to the pivot. Such pairs are compared at the end, if nothing has joined the two lines by then.
+    Few lines stand on side a, often many times: their texts travel once and become sets where the pairs meet them.
+    """
+    pairs = pairs.select("a", "b").distinct()
+    lines = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("set").alias("set_b"))
+    sides = texts.withColumnRenamed("id", "a").join(pairs.select("a").distinct(), "a", "left_semi").repartition(F.col("a"))
+    sides = sides.select("a", F.coalesce("set", _shingles(F.col("line"))).alias("set_a"))
+    told = pairs.join(lines, "b").join(sides, "a")
+    sets = told.select("a", "b", "set_a", F.coalesce("set_b", _shingles(F.col("line_b"))).alias("set_b"))
+    both = sets.select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("n"))
+    return both.where(F.col("n") >= ALIKE * (F.col("n_a") + F.col("n_b") - F.col("n"))).select("a", "b")
+
+
+def _joined(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, root)``: components of the lines ``(key, id)`` over the links between lines alike in one bucket. Exact.
+
+    In each round the first lines of each bucket, the pivots, are compared with all others of the bucket that are not known to be in their
+    component, and leave the bucket; then components are formed anew, and buckets within one component are done with. So no
+    two lines stay uncompared unless links join them anyway, and a crowd of lines alike costs one
+    comparison each, not one for each pair. Pivots double in each round, for buckets whose lines have little in common.
     """
-    few = met.where(F.col("n") <= FEW).select("key", "id")
-    pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
-    links = durable(_likeness(pairs, texts).where(F.col("j") >= ALIKE).select("a", "b"), "line-links")
-    rest = durable(met.where(F.col("n") > FEW).select("key", "id"), "crowds")
-    near: DataFrame | None = None
+    links: DataFrame | None = None
+    rest = met.select("key", "id", F.col("id").alias("root"))
     pivots = 1
-    while rest.limit(1).count():
+    while True:
         order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id"), "id"))
-        chosen = rest.withColumn("place", order).where(F.col("place") <= pivots).select("key", F.col("id").alias("a"))
-        against = rest.withColumnRenamed("id", "b").join(chosen, "key").where("a <> b")
-        told = _likeness(against.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts)
-        told = durable(told.union(told.select(F.col("b").alias("a"), F.col("a").alias("b"), "j")), "compared")
-        seen = durable(against.join(told, ["a", "b"]), "seen")
-        links = links.union(seen.where(F.col("j") >= ALIKE).select("a", "b"))
-        close = seen.where(F.col("j") >= 2 * ALIKE - 1).select("key", "a", "b", "j")
-        near = close if near is None else near.union(close)
-        left = seen.groupBy("key", F.col("b").alias("id")).agg(F.max("j").alias("j")).where(F.col("j") < ALIKE).select("key", "id")
-        left = left.join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
-        rest = durable(left.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "id"), "crowds")
+        chosen = rest.withColumn("place", order).where(F.col("place") <= pivots).select("key", F.col("id").alias("a"), F.col("root").alias("root_a"))
+        chosen = durable(chosen, "pivots")
+        against = chosen.join(rest.select("key", F.col("id").alias("b"), F.col("root").alias("root_b")), "key")
+        found = durable(_alike(against.where("root_a <> root_b"), texts), "line-links")
+        links = found if links is None else durable(links.union(found), "line-links")
+        joined = durable(components(links), "line-components")
+        left = rest.drop("root").join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
+        left = left.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        spread = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        rest = durable(left.join(spread.select("key"), "key", "left_semi").select("key", "id", "root"), "crowds")
+        if not rest.limit(1).count():
+            return joined
         pivots *= 2
-    if near is None:
-        return links
-    return links.union(_across(near, links, texts))
-
-
-def _across(near: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between lines on either side of a pivot's bound that no link has joined yet."""
-    joined = durable(components(links), "joined")
-    named = near.join(joined.withColumnRenamed("node", "b"), "b", "left").select(
-        "key", "a", "b", "j", F.coalesce("root", "b").alias("root")
-    )
-    named = durable(named, "near-pivots")
-    done = named.where(F.col("j") >= ALIKE).select("key", "a", F.col("b").alias("x"), F.col("j").alias("jx"), F.col("root").alias("rx"))
-    on = named.where(F.col("j") < ALIKE).select("key", "a", F.col("b").alias("y"), F.col("j").alias("jy"), F.col("root").alias("ry"))
-    # all lines done with a pivot have one root: lines of the rest that have another, and those they could be alike to
-    open_ = done.join(on, ["key", "a"]).where((F.col("rx") != F.col("ry")) & (F.col("jx") - F.col("jy") <= 1 - ALIKE))
-    pairs = open_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return durable(_likeness(pairs, texts).where(F.col("j") >= ALIKE).select("a", "b"), "links-across")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,9 +141,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = _with_lines(docs, id_col, text_col)
     buckets = durable(_buckets(_signatures(lines)), "line-buckets")
     texts = durable(_texts_of(buckets, lines), "line-texts")
-    met = buckets.join(texts.select("id", "d1"), "d1").select("key", "id", "n")
-    linked = durable(components(_similar(met, texts)), "line-components")
-    linked = linked.select("node.d1", "node.d2", "root")
+    met = buckets.join(texts.select("id", "d1"), "d1").select("key", "id")
+    linked = _joined(durable(met, "line-met"), texts).select("node.d1", "node.d2", "root")
     stated = lines.select("doc_id", *_digests(F.col("line"))).groupBy("d1", "d2")
     stated = stated.agg(F.min("doc_id").alias("owner"), F.count("*").alias("times")).join(linked, ["d1", "d2"], "left")
     stated = durable(stated.where("times > 1 OR root IS NOT NULL"), "repeated-lines")
