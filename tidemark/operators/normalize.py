@@ -93,6 +93,7 @@ def normalize_projects(
 
 
 def raw_tags(raw_project_tech: DataFrame, technologies: DataFrame, project_ids: DataFrame) -> DataFrame:
-    """Raw tags per project, each name once. ``project_ids`` maps the raw key to id and source."""
+    """Raw tags per project, each name once, with the slug that comes first. ``project_ids`` maps the raw key to id and source."""
     named = raw_project_tech.join(technologies, "tech_id").join(project_ids, "raw_id")
-    return named.groupBy("project_id", "source", "tech_name").agg(F.min("tech_slug").alias("tech_slug"))
+    first = F.min(F.struct("position", "tech_slug"))
+    return named.groupBy("project_id", "source", "tech_name").agg(first["tech_slug"].alias("tech_slug"))

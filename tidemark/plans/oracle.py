@@ -637,8 +637,10 @@ def statements() -> dict[str, str]:
         CASE WHEN {by_prize} AND c_acctbal >= 0 AND c_acctbal < 5000 THEN 'https://github.com/shop/' || {_SLUG} END AS repo_url
         FROM dated LEFT JOIN best b ON b.project_id = o_orderkey WHERE o_orderpriority <> '5-LOW' AND n_regionkey > 0""", **_PRIZES)
     s["raw_tags"] = _with("dated", body="""SELECT sha256(source || ':' || slug) AS project_id, source, p_brand AS tech_name,
-        min(lower(p_type)) AS tech_slug FROM dated JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+        min({n: l_linenumber, s: lower(p_type)}).s AS tech_slug FROM dated JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
         WHERE o_orderpriority <> '5-LOW' GROUP BY 1, 2, 3""")
+    s["raw_tags_load"] = f"""SELECT source, count(*) AS n, count(DISTINCT project_id) AS n_projects
+        FROM ({s["raw_tags"]}) WHERE tech_slug < 'n' GROUP BY source"""
     s["excerpt"] = _with("docs", body=_excerpt())
     s["parse_date_range"] = f"""SELECT o_orderkey, CASE WHEN o_orderpriority <> '1-URGENT' THEN {_day('o_orderdate')} END AS day FROM orders"""
     s["parse_iso_date"] = f"SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN {_day('o_orderdate')} END AS day FROM orders"

@@ -644,14 +644,28 @@ def normalize_items(spark, folder):
     )
 
 
-@query
-def raw_tags(spark, folder):
+def _raw_tags(spark, folder):
     ids = captures.raw_projects(spark, folder).filter(F.col("slug") != "").select(
         F.col("id").alias("raw_id"), "source", text.project_id(F.col("source"), F.col("slug")).alias("project_id")
     )
     return normalize.raw_tags(captures.raw_project_tech(spark, folder), captures.raw_technologies(spark, folder), ids)
 
 
+@query
+def raw_tags(spark, folder):
+    return _raw_tags(spark, folder)
+
+
+@query
+def raw_tags_load(spark, folder):
+    """The store after two imports; the second has only the tags that begin with a letter up to m, of all sources."""
+    store = Store(spark, work_folder(spark, "tags"))
+    tags = durable(_raw_tags(spark, folder), "raw-tags")
+    store.replace_raw_tags(tags)
+    store.replace_raw_tags(tags.filter(F.col("tech_slug") < "n"))
+    return store.raw_tags().groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("project_id").alias("n_projects"))
+
+
 @query
 def excerpt(spark, folder):
     documents = tables.documents(spark, folder)

@@ -114,7 +114,7 @@ def raw_technologies(spark: SparkSession, folder: str) -> DataFrame:
 @tables.view
 def raw_project_tech(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("raw_id"), F.col("l_partkey").alias("tech_id")
+        F.col("l_orderkey").alias("raw_id"), F.col("l_partkey").alias("tech_id"), F.col("l_linenumber").alias("position")
     )
 
 

@@ -19,6 +19,7 @@ from tidemark.operators import quality
 from tidemark.session import small_frame
 
 
+RAW_TAG = T.StructType().add("project_id", "string").add("tech_name", "string").add("tech_slug", "string").add("source", "string")
 DELIVERY = (
     T.StructType().add("source", "string").add("n", "long").add("scrape_run_id", "long").add("delivery", "long")
 )
@@ -76,6 +77,15 @@ class Store:
     def refused(self) -> DataFrame:
         return self._read("refused", T.StructType([*model.STAGING.fields, T.StructField("delivery", T.LongType())]))
 
+    # --- raw tags ---
+
+    def replace_raw_tags(self, tags: DataFrame) -> None:
+        """Load the raw tags of some sources, replacing all that these sources had."""
+        self._overwrite(tags.select(*RAW_TAG.names), "raw_tags", "source")
+
+    def raw_tags(self) -> DataFrame:
+        return self._read("raw_tags", RAW_TAG)
+
     # --- run log ---
 
     def log(self, events: DataFrame) -> None:
