@@ -67,10 +67,10 @@ def _signatures(lines: DataFrame) -> DataFrame:
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
-    """``(key, d1)``: lines that share a band with others."""
+    """``(key, d1, n)``: lines that share a band with others; ``n`` lines have the key."""
     bands = [F.xxhash64(F.lit(b), *[f"m{i}" for i in range(b * ROWS, (b + 1) * ROWS)]) for b in range(BANDS)]
     rows = signatures.select("d1", F.explode(F.array(*bands)).alias("key"))
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "d1")
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "d1", "n")
 
 
 def _texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
@@ -106,18 +106,19 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _joined(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(node, root)``: components of the lines ``(key, id)`` over the links between lines alike in one bucket. Exact.
+    """``(node, root)``: components of the lines ``(key, id, degree)`` over the links between lines alike in one bucket. Exact.
 
-    In each round the first lines of each bucket, the pivots, are compared with all others of the bucket that are not known to be in their
+    In each round the lines of each bucket with the highest degree, the pivots, are compared with all others of the bucket that are not known to be in their
     component, and leave the bucket; then components are formed anew, and buckets within one component are done with. So no
     two lines stay uncompared unless links join them anyway, and a crowd of lines alike costs one
-    comparison each, not one for each pair. Pivots double in each round, for buckets whose lines have little in common.
+    comparison each, not one for each pair. The degree is how many lines one meets in all its buckets: the original of many
+    copies meets most, and so joins them at once. Pivots are four times as many in each round, for buckets whose lines have little in common.
     """
     links: DataFrame | None = None
-    rest = met.select("key", "id", F.col("id").alias("root"))
+    rest = met.select("key", "id", "degree", F.col("id").alias("root"))
     pivots = 1
     while True:
-        order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id"), "id"))
+        order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id"))
         chosen = rest.withColumn("place", order).where(F.col("place") <= pivots).select("key", F.col("id").alias("a"), F.col("root").alias("root_a"))
         chosen = durable(chosen, "pivots")
         against = chosen.join(rest.select("key", F.col("id").alias("b"), F.col("root").alias("root_b")), "key")
@@ -127,10 +128,10 @@ def _joined(met: DataFrame, texts: DataFrame) -> DataFrame:
         left = rest.drop("root").join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
         left = left.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         spread = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        rest = durable(left.join(spread.select("key"), "key", "left_semi").select("key", "id", "root"), "crowds")
+        rest = durable(left.join(spread.select("key"), "key", "left_semi").select("key", "id", "degree", "root"), "crowds")
         if not rest.limit(1).count():
             return joined
-        pivots *= 2
+        pivots *= 4
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,7 +142,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = _with_lines(docs, id_col, text_col)
     buckets = durable(_buckets(_signatures(lines)), "line-buckets")
     texts = durable(_texts_of(buckets, lines), "line-texts")
-    met = buckets.join(texts.select("id", "d1"), "d1").select("key", "id")
+    degrees = buckets.groupBy("d1").agg(F.sum("n").alias("degree"))
+    met = buckets.join(texts.select("id", "d1"), "d1").join(degrees, "d1").select("key", "id", "degree")
     linked = _joined(durable(met, "line-met"), texts).select("node.d1", "node.d2", "root")
     stated = lines.select("doc_id", *_digests(F.col("line"))).groupBy("d1", "d2")
     stated = stated.agg(F.min("doc_id").alias("owner"), F.count("*").alias("times")).join(linked, ["d1", "d2"], "left")
