@@ -78,7 +78,7 @@ def mix(
 
     A source takes all its documents as often as its target holds its whole size (complete epochs). What remains
     is filled by Efraimidis-Spirakis sampling: a document's key is an exponential variable divided by its ``quality``
-    (by default ``plain_share``), documents are taken in the order of their keys, and one is taken once more if at least half
+    (by default ``plain_share``; null or less than 0.001 counts as 0.001), documents are taken in the order of their keys, and one is taken once more if at least half
     of its words fit into what remains. So a source ends within half a document of its target and none is taken more
     than three times. Keys come from a hash of id and text: reruns agree.
 
@@ -89,7 +89,7 @@ def mix(
     table gives no rows, other columns are not read.
     """
     text = F.col(f"`{text_col}`").cast("string")
-    weight = plain_share(text) if quality is None else quality
+    weight = plain_share(text) if quality is None else F.greatest(F.coalesce(quality, F.lit(0.0)), F.lit(1e-3))
     chance = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text), 11) + 0.5) / float(1 << 53)
     sized = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
