@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import durable
+
 # What the elements of HTML are.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes", "select", "object", "canvas", "math", "audio", "video")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -190,12 +192,13 @@ def prior(key: str) -> float:
 def label_counts(pages: DataFrame, html_col: str = "html", sample: int = 2000) -> DataFrame:
     """``(key, inside, beyond)``: words and tags of labelled pages inside and outside the marked article.
 
-    A page is labelled if its author marked the article (``article`` or ``main``). At most ``sample`` of them are read: those with the
-    smallest hashes of their html, so that the choice is the same in each run.
+    A page is labelled if its author marked the article (``article`` or ``main``). At most ``sample`` of them are read, equal ones once: those
+    with the smallest hashes of their html, so that the choice is the same in each run. Hashes are sorted, not pages.
     """
     text = F.col(f"`{html_col}`").cast("string")
     marked = pages.where(text.rlike("(?i)<(article|main)[\\s>]")).select(text.alias("html"), F.xxhash64(text).alias("h"))
-    chosen = marked.orderBy("h").limit(sample).select("html")
+    first = durable(marked.select("h").distinct().orderBy("h").limit(sample), "labelled-pages")
+    chosen = marked.join(F.broadcast(first), "h", "left_semi").dropDuplicates(["h"]).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[int]] = defaultdict(lambda: [0, 0])
