@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import text
 from tidemark.functions.tags import Theme, Vocabulary
+from tidemark.session import dealt
 
 # The closed list of sources of this catalogue and the run that collects each of them.
 SOURCE_RUNS = {"automobile": 2, "building": 3, "furniture": 4, "household": 5, "machinery": 6}
@@ -75,7 +76,7 @@ def view(build):
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with the attributes of their part."""
-    lines = read(spark, folder, "lineitem")
+    lines = dealt(read(spark, folder, "lineitem"))
     parts = read(spark, folder, "part")
     return lines.join(parts, lines.l_partkey == parts.p_partkey)
 
@@ -108,7 +109,7 @@ def order_tags(spark: SparkSession, folder: str) -> DataFrame:
 @view
 def dated_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their customer and nation. No hint: Spark broadcasts a side by its size."""
-    orders = read(spark, folder, "orders")
+    orders = dealt(read(spark, folder, "orders"))
     customers = read(spark, folder, "customer")
     nations = read(spark, folder, "nation")
     return orders.join(customers, orders.o_custkey == customers.c_custkey).join(
@@ -289,7 +290,7 @@ def model_tags(spark: SparkSession, folder: str) -> DataFrame:
 @view
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Searchable corpus: documents with their vector (if any) and quality label."""
-    docs = read(spark, folder, "documents")
+    docs = dealt(read(spark, folder, "documents"))
     vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
     labels = read(spark, folder, "labels").select(F.col("doc_id").alias("label_doc"), "quality")
     lines = F.split("text", "\n")
