@@ -44,6 +44,15 @@ def test_repeated_rows_and_truncated_file(spark, tmp_path):
     assert [r.page_id for r in warc.read_archives(cut, 16).collect()] == [1]
 
 
+def test_headers_of_any_length(spark):
+    urls = ["http://a/", "data:," + "x" * 200_000, "http://b/", "http://c/?q=" + " " * 30_000, "u", "http://d/" + "y" * 4_100]
+    rows = [(i, url, f"page {i}") for i, url in enumerate(urls)]
+    for block_bytes in (300, 1 << 23):
+        found = {r.page_id: r for r in trip(spark, rows, block_bytes)[1]}
+        assert {i: r.url for i, r in found.items()} == {i: url.replace(" ", "%20") for i, url, _ in rows}
+        assert {i: r.payload_digest for i, r in found.items()} == {i: hashlib.sha1(html.encode()).hexdigest() for i, _, html in rows}
+
+
 def test_nothing(spark):
     assert trip(spark, [])[1] == []
 

@@ -23,8 +23,8 @@ DATE = "2024-01-01T00:00:00Z"
 
 #: At most so many groups of equal payloads are broadcast (digest, length and id: under 64 MB).
 BROADCAST_GROUPS = 500_000
-#: A header longer than this is no record.
-HEADER_BYTES = 1 << 16
+#: So much is read for a header at first, and sixteen times as much in each further step.
+HEADER_BYTES = 4096
 
 MANIFEST = "path string, bytes long, records long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, path string, offset long"
@@ -136,21 +136,26 @@ class _Window:
 
 
 def _header(window: _Window, offset: int) -> tuple[dict[str, str], int] | None:
-    """The fields of the record at an offset and where its block begins; ``None`` if there is no well-formed header."""
-    text = window.read(offset, 4096)
-    end = text.find(b"\r\n\r\n")
-    if end < 0:
-        text = window.read(offset, HEADER_BYTES)
-        end = text.find(b"\r\n\r\n")
-    if end < 0 or not text.startswith(MAGIC):
-        return None
-    fields = {}
-    for line in text[len(MAGIC) : end].split(b"\r\n"):
-        key, colon, value = line.partition(b":")
-        if not colon:
+    """The fields of the record at an offset and where its block begins; ``None`` if there is no well-formed header.
+
+    A header has no largest length: it is read in growing ranges up to its blank line, a line that is no field or the end of the file.
+    """
+    fields, done, length = {}, len(MAGIC), HEADER_BYTES
+    while True:
+        text = window.read(offset, length)
+        if not text.startswith(MAGIC):
+            return None
+        while (stop := text.find(b"\r\n", done)) > done:
+            key, colon, value = text[done:stop].partition(b":")
+            if not colon:
+                return None
+            fields[key.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+            done = stop + 2
+        if stop == done:
+            return (fields, offset + done + 2) if fields.get("content-length", "").isdigit() else None
+        if offset + length >= window.size:
             return None
-        fields[key.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    return (fields, offset + end + 4) if fields.get("content-length", "").isdigit() else None
+        length *= 16
 
 
 def _successor(window: _Window, offset: int) -> int | None:
