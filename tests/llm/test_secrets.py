@@ -1,4 +1,7 @@
+import itertools
+import random
 import re
+import string
 
 from conftest import SMALL
 from tidemark.llm import secrets
@@ -32,6 +35,29 @@ def test_token_efficiency(spark):
     assert spans(spark, [f"key {RANDOM} end", f"token={RANDOM}"]) == [[("random", 4, 4 + len(RANDOM))], [("assign", 0, 6 + len(RANDOM))]]
 
 
+def test_random_strings_of_one_case_in_groups_and_in_paths(spark):
+    rng = random.Random(5)
+
+    def some(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    lower, upper = string.ascii_lowercase, string.ascii_uppercase
+    whole = [some(letters, 40) for letters in (lower, upper) for _ in range(20)]
+    whole += ["-".join(some(lower, 4) for _ in range(6)) for _ in range(20)]
+    found = spans(spark, [f"key {x} end" for x in whole])
+    assert sum(f == [("random", 4, 4 + len(x))] for f, x in zip(found, whole)) >= 57
+    before = "com/users/profile/settings/download/"
+    parts = [RANDOM, some(lower, 40), some(upper, 40), "-".join(some(lower, 4) for _ in range(6))]
+    for part, after in itertools.product(parts, ("", "/some/other/readable/words/after/it")):
+        (one,) = spans(spark, [before + part + after])[0]
+        assert one[0] == "random" and one[1] <= len(before) and one[2] >= len(before + part)
+    clean = [
+        before, "to-be-or-not-to-be-that-is-the-question", "users/123e4567-e89b-12d3-a456-426614174000/profile/settings",
+        "CONTENT_SECURITY_POLICY_HEADER", "getElementsByClassNameAndTagName", "reports/2024/01/31/summary-of-the-year",
+    ]
+    assert spans(spark, clean) == [[] for _ in clean]
+
+
 def test_same_as_plain_patterns(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}

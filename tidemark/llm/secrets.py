@@ -33,6 +33,10 @@ _DIGEST = re.compile("|".join(f"(?:[0-9a-fA-F]{{{n}}})" for n in DIGEST_LENGTHS)
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 #: Words, acronyms and numbers joined by separators or by a change of case.
 _IDENTIFIER = re.compile(r"(?:[+/_=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Za-z](?![A-Za-z0-9])|[0-9]+(?![A-Za-z])))+[+/_=-]*")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: What stands between separators, and digests and UUIDs that are whole parts.
+_PART = re.compile(r"[A-Za-z0-9]+")
+_WHOLE = re.compile(rf"(?<![A-Za-z0-9])(?:{_UUID.pattern}|{_DIGEST.pattern})(?![A-Za-z0-9])")
 
 
 @lru_cache(maxsize=4)
@@ -43,9 +47,55 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known(run: str) -> bool:
+def is_worded(part: str, path: str, ratio: float) -> bool:
+    """Whether a part is an identifier at least half of whose letters stand in words by the tokenizer.
+
+    A word is one token or has more than ``ratio`` characters per token.
+    """
+    if not _IDENTIFIER.fullmatch(part):
+        return False
+    letters = words = 0
+    for word in _WORD.findall(part):
+        tokens = len(encoding(path).encode_ordinary(word))
+        letters += len(word)
+        words += len(word) if tokens == 1 or len(word) > ratio * tokens else 0
+    return 2 * words >= letters
+
+
+def is_known(run: str, path: str = VOCABULARY, ratio: float = 2.0) -> bool:
     """Whether a run is a digest, a UUID or an identifier made of words and numbers."""
-    return bool(_DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _IDENTIFIER.fullmatch(run))
+    return bool(_DIGEST.fullmatch(run) or _UUID.fullmatch(run)) or is_worded(run, path, ratio)
+
+
+def _stretches(text: str, start: int, end: int, taken: list[tuple[str, int, int]], path: str, ratio: float) -> Iterator[tuple[int, int]]:
+    """Spans within a run that begin and end with a part that is no word, and whose letters stand mostly in such parts.
+
+    Parts stand between separators. Digests, UUIDs and what is already taken bound a stretch, words only if they outweigh it, so a
+    word by chance among random parts doesn't split them.
+    """
+    parts: list[tuple[int, int, int]] = []
+    at = start
+    for m in [*_WHOLE.finditer(text, start, end), None]:
+        for part in _PART.finditer(text, at, m.start() if m else end):
+            s, e = part.span()
+            met = any(x < e and s < y for _, x, y in taken)
+            parts.append((s, e, 0 if met else s - e if is_worded(part[0], path, ratio) else e - s))
+        if m:
+            parts.append((*m.span(), 0))
+            at = m.end()
+    i = 0
+    while i < len(parts):
+        total = best = 0
+        last = i
+        for j in range(i, len(parts)):
+            total += parts[j][2]
+            if total <= 0 or parts[j][2] == 0:
+                break
+            if total > best:
+                best, last = total, j
+        if best:
+            yield parts[i][0], parts[last][1]
+        i = last + 1
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -65,17 +115,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def random_spans(text: str, taken: list[tuple[str, int, int]], path: str, shortest: int, ratio: float) -> list[tuple[str, int, int]]:
     """Spans of runs of at least ``shortest`` characters that hold at most ``ratio`` characters per token.
 
-    Known digests and identifiers are left out, and runs that meet a span already taken.
+    Known digests and identifiers are left out, and what meets a span already taken. Where a run as a whole is none, its
+    stretches of parts that are no words are tested alike, so a readable path doesn't hide a random string in it.
     """
     if max(map(len, text.split()), default=0) < shortest:
         return []
     found = []
+
+    def is_random(start: int, end: int) -> bool:
+        if end - start < shortest or any(s < end and start < e for _, s, e in taken):
+            return False
+        part = text[start:end]
+        return end - start <= ratio * len(encoding(path).encode_ordinary(part)) and not is_known(part, path, ratio)
+
     for run in _RUN.finditer(text):
         start, end = run.span()
-        if end - start < shortest or is_known(run[0]) or any(s < end and start < e for _, s, e in taken):
+        if end - start < shortest:
             continue
-        if end - start <= ratio * len(encoding(path).encode_ordinary(run[0])):
-            found.append(("random", start, end))
+        places = [(start, end)] if is_random(start, end) else _stretches(text, start, end, taken, path, ratio)
+        found += [("random", s, e) for s, e in places if is_random(s, e)]
     return found
 
 
