@@ -39,6 +39,24 @@ def test_markup(body, text):
     assert maintext.main_text(FRAME.format(body), maintext.Scores()) == text
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<p>one <svg width=1 /> two<p>three", "one two\nthree"),
+        ("<p>one <math/> two<p>three", "one two\nthree"),
+        ("<p>one<object data=x><p>two<p>three", "one\ntwo\nthree"),
+        ("<p>one<video src=x><p>two<p>three", "one\ntwo\nthree"),
+        ("<p>one<canvas><p>two<p>three", "one\ntwo\nthree"),
+        ("<p>one<select><option>two<p>three", "one\ntwo\nthree"),
+        ("<p>one<object>no <object>not</object> never</object> two", "one two"),
+        ("<p>one <svg><g><text>no</text></g></svg>two <video>no</video><select><option>no<option>no</select>three", "one two three"),
+        ("<p>as <math><mi>E</mi><mo>=</mo><mi>m</mi></math> says", "as E=m says"),
+    ],
+)
+def test_elements_that_are_no_raw_text(body, text):
+    assert maintext.main_text(FRAME.format(f"<article>{body}</article>"), maintext.Scores()) == text
+
+
 def test_deep_and_broken_pages():
     deep = "<article>" + "<div>" * 5000 + "<p>deep text" + "<p>more" * 5000
     assert maintext.main_text(deep, maintext.Scores()).count("\n") == 5000

@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 from tidemark.session import durable
 
 # What the elements of HTML are.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes", "select", "object", "canvas", "math", "audio", "video")
+RAW = ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")
+#: Controls, graphics and what browsers show in place of their content: it is no text of the page if their end tag is there.
+EMBEDDED = frozenset("select object svg canvas audio video noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary"
     " table tbody td tfoot th thead tr ul".split()
 )
-NOT_P = BLOCK - {"p"}
+NOT_P = BLOCK - {"p"} | EMBEDDED
 #: Elements that a start tag closes, within the nearest of the elements that bound the search.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -88,14 +90,14 @@ class Page:
     """A page as a list of tokens. Elements are numbered in the order of their starts, so one holds the numbers up to its ``last``.
 
     One pass over the markup with the open elements on a stack: implied end tags are supplied, depth costs only memory. Raw elements
-    and comments are tags without text.
+    and comments are tags without text, and so are embedded elements that have an end tag. One without holds what follows like any other.
     """
 
     def __init__(self, source: str):
         self.items: list[Token] = []
-        self.parent, self.last, self.whole = [0], [0], [True]
+        self.parent, self.last, self.whole, self._sealed = [0], [0], [True], [False]
         self._stack = [Open("", "top", False, False, 0)]
-        self._block = 0
+        self._block, self._before = 0, {}
         for m in _TOKEN.finditer(source):
             if m["text"] is not None:
                 self._add("word in " + self._stack[-1].key, m["text"], len(m["text"].split()))
@@ -106,6 +108,10 @@ class Page:
             elif m["tag"]:
                 self._start(m["tag"].lower(), m["rest"])
         self._close(0)
+        if True in self._sealed:
+            for number in range(1, len(self.parent)):
+                self._sealed[number] |= self._sealed[self.parent[number]]
+            self.items = [t for t in self.items if not self._sealed[t.element]]
 
     def _add(self, key: str, text: str | None = None, words: int = 0) -> None:
         top = self._stack[-1]
@@ -128,6 +134,9 @@ class Page:
     def _end(self, tag: str) -> None:
         for depth in range(len(self._stack) - 1, 0, -1):
             if self._stack[depth].tag == tag:
+                if tag in EMBEDDED:
+                    self._sealed[self._stack[depth].number] = True
+                    self._block = self._before[self._stack[depth].number]
                 self._close(depth)
                 break
             if tag in INLINE_ENDS and self._stack[depth].tag in BLOCK:
@@ -150,12 +159,16 @@ class Page:
         outside = top.outside or hidden or is_outside(tag, names)
         own = f"{tag}.{names}" if names else tag
         if tag not in VOID and (tag in BLOCK or not rest.endswith("/")):
-            named = not top.outside and tag not in INLINE_ENDS and (outside or bool(names) or tag in NAMED)
+            named = not top.outside and tag not in INLINE_ENDS and tag not in EMBEDDED and (outside or bool(names) or tag in NAMED)
             label = (top.label or tag in LABELS) and not outside
             self.parent.append(top.number)
             self.last.append(0)
             self.whole.append(tag in ("html", "body"))
+            self._sealed.append(False)
             self._stack.append(Open(tag, own if named else top.key, outside, label, len(self.parent) - 1))
+            if tag in EMBEDDED:
+                self._before[len(self.parent) - 1] = self._block
+                return  # its end tag counts
         self._add("tag " + own)
 
     def holder(self, first: int, second: int) -> int:
@@ -183,7 +196,7 @@ def is_outside(tag: str, names: str) -> bool:
 def prior(key: str) -> float:
     """The score of what no labelled page has shown: words count for, tags and all in elements that no article has count against."""
     tag, _, names = key.removeprefix("word in ").removeprefix("tag ").lstrip("/").partition(".")
-    outside = is_outside(tag, names)
+    outside = is_outside(tag, names) or tag in EMBEDDED
     if key.startswith("word"):
         return -1.0 if outside else 1.0
     return -2.0 if outside else -0.25
