@@ -57,6 +57,29 @@ def test_elements_that_are_no_raw_text(body, text):
     assert maintext.main_text(FRAME.format(f"<article>{body}</article>"), maintext.Scores()) == text
 
 
+ARTICLE = "<article><h1>Head</h1><p>one two three four</article>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div class='layout with-sidebar'>{ARTICLE}</div>",
+        f"<div class='content overflow-hidden no-comments'>{ARTICLE}</div>",
+        f"<div class='sidebar-layout'>{ARTICLE}<div class='sidebar'>buy this and that</div></div>",
+        f"<main id='search-results'>{ARTICLE}</main>",
+        f"<main class='related'><div class='widget'>{ARTICLE}</div></main>",
+        ARTICLE.replace("<article>", "<article class='promo has-ads' title='a hidden gem'>"),
+        f"{ARTICLE}<section class='comments'><article class='comment'>first said so</article></section>",
+        "<div class='page header-fixed'><h1>Head</h1><p>one two three four</div>",
+    ],
+)
+def test_names_of_what_holds_the_article_are_no_sign(body):
+    for page in (FRAME, FRAME.replace("<body>", "<body class='no-sidebar search menu'>").replace("<html>", "<html class='hidden cookie'>")):
+        assert maintext.main_text(page.format(body), maintext.Scores()) == "Head\none two three four"
+        labels = [t.label for t in maintext.Page(page.format(body)).items if t.text == "Head"]
+        assert labels == ["article" in body]
+
+
 def test_deep_and_broken_pages():
     deep = "<article>" + "<div>" * 5000 + "<p>deep text" + "<p>more" * 5000
     assert maintext.main_text(deep, maintext.Scores()).count("\n") == 5000

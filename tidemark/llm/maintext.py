@@ -59,7 +59,12 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.IGNORECASE)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _NAME_WORDS = re.compile(r"[a-z]+", re.ASCII)
+#: Names that say what is missing, or how a box is laid out, up to the end of the name.
+_NO_SIGN = re.compile(r"(?<![a-z])(?:(?:no|non|not|with|without|has|have)[-_]+|overflow[-_])\S*")
+#: Marks the key of an element whose names are no sign, as it holds the article.
+HOLDER = "*"
 
 
 class Token(NamedTuple):
@@ -94,6 +99,13 @@ class Page:
     """
 
     def __init__(self, source: str):
+        self._parse(source, frozenset())
+        if holders := self._misnamed():
+            self._parse(source, holders)
+
+    def _parse(self, source: str, holders: frozenset[int]) -> None:
+        self._holders = holders
+        self._never, self._named_outside, self._marked = [False], set(), {}
         self.items: list[Token] = []
         self.parent, self.last, self.whole, self._sealed = [0], [0], [True], [False]
         self._stack = [Open("", "top", False, False, 0)]
@@ -113,6 +125,35 @@ class Page:
                 self._sealed[number] |= self._sealed[self.parent[number]]
             self.items = [t for t in self.items if not self._sealed[t.element]]
 
+    def _misnamed(self) -> frozenset[int]:
+        """The elements that only a name puts outside although they hold the page's article or, if none is marked, most of its words.
+
+        The page's article is the main element with most words, or else the article element with most; an article with most of the words
+        of the main element, or beside it with more words, counts as well.
+        """
+        if not self._named_outside:
+            return frozenset()
+        total = [0] * (len(self.parent) + 1)
+        for t in self.items:
+            if t.words and not self._never[t.element]:
+                total[t.element + 1] += t.words
+        for number in range(len(self.parent)):
+            total[number + 1] += total[number]
+
+        def words(number: int) -> int:
+            return total[self.last[number] + 1] - total[number]
+
+        def most(tag: str) -> int:
+            return max((n for n, t in self._marked.items() if t == tag), key=words, default=0)
+
+        main, article = most("main"), most("article")
+        held = {main or article}
+        if words(article) * (2 if main < article <= self.last[main] else 1) > words(main):
+            held.add(article)
+        if held == {0}:
+            return frozenset(n for n in self._named_outside if 2 * words(n) > words(0))
+        return frozenset(n for n in self._named_outside if any(n <= h <= self.last[n] for h in held))
+
     def _add(self, key: str, text: str | None = None, words: int = 0) -> None:
         top = self._stack[-1]
         self.items.append(Token(key, text, words, self._block, top.label, top.outside, top.number))
@@ -155,9 +196,10 @@ class Page:
         if tag in CLOSES:
             self._imply_ends(*CLOSES[tag])
         top = self._stack[-1]
-        hidden = "hidden" in rest and _HIDDEN.search(rest) is not None
-        outside = top.outside or hidden or is_outside(tag, names)
-        own = f"{tag}.{names}" if names else tag
+        hidden = "hidden" in rest and _HIDDEN.search(_QUOTED.sub('""', rest)) is not None
+        holder = len(self.parent) in self._holders
+        outside = top.outside or hidden or is_outside(tag, "" if holder else names)
+        own = f"{tag}{HOLDER if holder else ''}.{names}" if names else tag
         if tag not in VOID and (tag in BLOCK or not rest.endswith("/")):
             named = not top.outside and tag not in INLINE_ENDS and tag not in EMBEDDED and (outside or bool(names) or tag in NAMED)
             label = (top.label or tag in LABELS) and not outside
@@ -165,6 +207,13 @@ class Page:
             self.last.append(0)
             self.whole.append(tag in ("html", "body"))
             self._sealed.append(False)
+            number = len(self.parent) - 1
+            self._never.append(self._never[top.number] or hidden or is_outside(tag, ""))
+            if not self._never[number]:
+                if tag in LABELS:
+                    self._marked[number] = tag
+                if is_outside(tag, names):
+                    self._named_outside.add(number)
             self._stack.append(Open(tag, own if named else top.key, outside, label, len(self.parent) - 1))
             if tag in EMBEDDED:
                 self._before[len(self.parent) - 1] = self._block
@@ -186,7 +235,12 @@ def _names(rest: str) -> str:
 
 @lru_cache(maxsize=4096)
 def is_outside(tag: str, names: str) -> bool:
-    return tag in OUTSIDE or tag in RAW or not OUTSIDE_WORDS.isdisjoint(_NAME_WORDS.findall(names))
+    """Whether no article has the element. Names of the whole page and of holders, negated ones and those of layouts are no sign."""
+    if tag in OUTSIDE or tag in RAW:
+        return True
+    if tag in ("html", "body") or tag.endswith(HOLDER):
+        return False
+    return not OUTSIDE_WORDS.isdisjoint(_NAME_WORDS.findall(_NO_SIGN.sub(" ", names)))
 
 
 # ---------------------------------------------------------------- weights
