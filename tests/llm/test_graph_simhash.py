@@ -79,6 +79,18 @@ def test_odd_rows_and_other_columns(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["10", "2", "5", "9", "None"]
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:8]] + [(1, texts[0]), (2, texts[1].upper()), (3, texts[8]), (3, texts[9]), (3, texts[9])]
+    rows += [(None, texts[7])] * 3 + [(5, texts[10]), (4, texts[10]), (None, None), (None, None), (6, ""), (7, texts[11])]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n string")
+    want = [(None, t) for t in texts[2:8]] + [(1, texts[0]), (2, texts[1].upper()), (3, texts[8]), (3, texts[9]), (4, texts[10]), (6, ""), (7, texts[11])]
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_long_text_in_blocks(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(5000)).encode()
     whole = simhash.fingerprint_of(text)

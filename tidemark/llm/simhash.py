@@ -60,16 +60,26 @@ def fingerprint_of(text: bytes | None, size: int = 4, seed: int = 42) -> int:
     return sum(1 << int(bit) for bit in np.flatnonzero(2 * counts > n))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """``(doc_id, fp)`` for each row; ``fp`` is the fingerprint's bits as a signed long. A null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, digest: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` for each row; ``fp`` is the fingerprint's bits as a signed long. A null text counts as empty.
+
+    With ``digest`` also the text's digest, empty for a null text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint_of(t.as_py(), size) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            told = [batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(told, ["doc_id", "fp", *batch.schema.names[2:]])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    if digest:
+        rows = rows.withColumn("digest", _digest(F.col("text")))
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", digest string" * digest)
+
+
+def _digest(text: Column) -> Column:
+    return F.coalesce(F.sha1(text), F.lit(""))
 
 
 def _low_bit(x: Column) -> Column:
@@ -170,15 +180,19 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that name their component, one row of each id; all columns of ``docs`` are kept.
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, distance: int = 4, crowd: int = 512
+) -> DataFrame:
+    """One row of each component of near-duplicates; all columns of ``docs`` are kept.
 
-    Rows without an id stay only where no document of their component has one; of those one stays.
+    It is the row with the smallest id, and of those that share it the one with the smallest digest of its text; a row without an id stays
+    only where none of its component has one. Rows alike in id and text count as one. The column ``_row`` is reserved.
     """
-    classes = near_duplicates(docs, id_col, text_col)
-    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    stay = classes.where(named).select(F.col("doc_id").alias("_stay")).distinct()
-    with_id = docs.join(stay, docs[id_col] == F.col("_stay"), "left_semi")
-    without = docs.where(docs[id_col].isNull())
-    without = without.join(stay.where("_stay IS NULL"), without[id_col].eqNullSafe(F.col("_stay")), "left_semi")
-    return with_id.dropDuplicates([id_col]).union(without.dropDuplicates([id_col]))
+    prints = durable(fingerprints(docs, id_col, text_col, size, digest=True), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    nodes = durable(prints.groupBy("fp").agg(F.min(first).alias("least")), "fingerprint-nodes")
+    linked = components(links(nodes.select("fp"), distance, crowd)).withColumnRenamed("node", "fp")
+    best = nodes.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    stay = best.select(F.concat_ws(":", "least.doc_id", "least.digest").alias("_row"))
+    row = F.concat_ws(":", F.col(f"`{id_col}`").cast("long"), _digest(F.col(f"`{text_col}`").cast("binary")))
+    return docs.withColumn("_row", row).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
