@@ -44,6 +44,18 @@ def test_repeated_rows_and_truncated_file(spark, tmp_path):
     assert [r.page_id for r in warc.read_archives(cut, 16).collect()] == [1]
 
 
+def test_records_before_a_break_are_read(spark, tmp_path):
+    records = [warc._record(i, "u", b"abc" * i, "d", None) for i in range(6)]
+    files = {"cut": (*records[:5], records[5][:-40]), "damaged": (*records[:3], b"?" * 99, *records[3:]), "whole": records}
+    for name, parts in files.items():
+        (tmp_path / name).write_bytes(b"".join(parts))
+    paths = [(str(tmp_path / name), (tmp_path / name).stat().st_size) for name in files]
+    manifest = spark.createDataFrame(paths, "path string, bytes long")
+    for frame in (warc.read_archives(manifest), warc.read_archives(manifest, 400)):
+        found = sorted((r.path.rpartition("/")[2], r.page_id) for r in frame.collect())
+        assert found == [("cut", i) for i in range(5)] + [("damaged", i) for i in range(3)] + [("whole", i) for i in range(6)]
+
+
 def test_headers_of_any_length(spark):
     urls = ["http://a/", "data:," + "x" * 200_000, "http://b/", "http://c/?q=" + " " * 30_000, "u", "http://d/" + "y" * 4_100]
     rows = [(i, url, f"page {i}") for i, url in enumerate(urls)]

@@ -183,7 +183,8 @@ def _tasks(manifest: DataFrame, block_bytes: int) -> int:
 def _candidates(blocks: DataFrame) -> DataFrame:
     """``(path, offset, exit)`` for each place in a block that reads like a record.
 
-    ``exit`` is where the chain of records from there leaves the block, found by following successors within the block.
+    ``exit`` is where the chain of records from there leaves the block, found by following successors within the block; null if it breaks
+    before. Places of records that are not whole are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +199,10 @@ def _candidates(blocks: DataFrame) -> DataFrame:
                 exits: dict[int, int | None] = {}
                 for place in reversed(places):
                     after = _successor(window, place)
-                    exits[place] = exits.get(after) if after is not None and after < row["stop"] else after
+                    if after is not None:
+                        exits[place] = exits.get(after) if after < row["stop"] else after
                 window.close()
-                kept = [(p, e) for p, e in exits.items() if e is not None]
+                kept = list(exits.items())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["path"]] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.int64()), pa.array([e for _, e in kept], pa.int64())],
                     ["path", "offset", "exit"],
@@ -218,7 +220,7 @@ def _entries(candidates: DataFrame) -> DataFrame:
     reached = durable(candidates.where("offset = 0").select("path", "offset"), "reached")
     jumps, count = durable(candidates, "jumps"), reached.count()
     while True:
-        ahead = reached.join(jumps, ["path", "offset"]).select("path", F.col("exit").alias("offset"))
+        ahead = reached.join(jumps.where("exit IS NOT NULL"), ["path", "offset"]).select("path", F.col("exit").alias("offset"))
         more = durable(reached.union(ahead).distinct(), "reached")
         now = more.count()
         if now == count:
@@ -237,12 +239,14 @@ def _number(name: str | None) -> int | None:
 
 
 def _parsed(window: _Window, offset: int, path: str) -> tuple[dict, int] | None:
-    """The row of the record at this offset, and where the next begins. Lengths and digests of responses are taken from their bytes."""
+    """The row of the record at this offset, and where the next begins; ``None`` if it is not whole. Lengths and digests of responses are taken from their bytes."""
     found = _header(window, offset)
     if found is None:
         return None
     fields, start = found
     length = int(fields["content-length"])
+    if start + length + 4 > window.size:
+        return None
     block = window.read(start, length)
     head, _, payload = block.partition(b"\r\n\r\n")
     row = {
