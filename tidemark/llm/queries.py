@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, hamming, lines, maintext, mixing, secrets, simhash, tokencount, toxicity, warc
+from tidemark.llm import decontaminate, hamming, lines, maintext, manifest, mixing, secrets, simhash, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -91,6 +91,19 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's leaf, roots and proof, and what the proof says of a leaf of which every seventh is tampered with."""
+    docs = table(spark, folder, "documents")
+    before, n_chars, text = [F.col(c) for c in ("doc_id", "source", "lang")], F.col("n_chars"), F.col("text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    more = manifest.leaf_digest(*before, n_chars.cast("decimal(20,0)") + 1, text)
+    found = manifest.manifest(docs, "doc_id", "lang", [*before, n_chars, text], F.when(tampered, more))
+    folded = manifest.fold(F.coalesce("changed", "leaf"), F.col("path"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: build for name, build in globals().items() if name.startswith("op") and callable(build)}
 
@@ -119,4 +132,71 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN bytes >= 1000 AND original <> page_id THEN original END AS refers_to
         FROM originals
     """,
+    "op13_merkle_manifest": """
+        WITH RECURSIVE steps AS (
+            SELECT i, 0 AS step, i::UBIGINT AS c FROM range(256) t(i)
+            UNION ALL
+            SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM steps WHERE step < 8
+        ), crc_table AS (
+            SELECT i, c FROM steps WHERE step = 8
+        ), crc AS (
+            SELECT doc_id, 1 AS digit, 4294967295::UBIGINT AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+            UNION ALL
+            SELECT doc_id, digit + 1, xor(crc.c >> 8, t.c)::UBIGINT FROM crc
+            JOIN crc_table t ON t.i = xor(crc.c & 255::UBIGINT, ascii(substr(doc_id::VARCHAR, digit, 1))::UBIGINT)
+            WHERE digit <= length(doc_id::VARCHAR)
+        ), tampered AS (
+            SELECT doc_id FROM crc WHERE digit = length(doc_id::VARCHAR) + 1 AND xor(c, 4294967295::UBIGINT) % 7 = 0
+        ), fields AS (
+            SELECT d.doc_id, d.lang, n_chars, t.doc_id IS NOT NULL AS changed,
+                coalesce(strlen(d.doc_id::VARCHAR) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                    || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                coalesce(strlen(text) || ':' || text, '-') AS tail
+            FROM documents d LEFT JOIN tampered t ON t.doc_id = d.doc_id
+        ), digests AS (
+            SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                CASE WHEN changed THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS other
+            FROM fields
+        ), leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                count(*) OVER (PARTITION BY lang) AS size FROM digests
+        ), nodes AS (
+            SELECT lang, 0 AS level, pos AS i, leaf AS node, size FROM leaves
+            UNION ALL
+            SELECT lang, level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (size + 1) // 2
+            FROM nodes WHERE size > 1 GROUP BY lang, level, i // 2, size
+        ), subroots AS (
+            SELECT lang, node, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS size
+            FROM nodes WHERE size = 1
+        ), top_nodes AS (
+            SELECT 0 AS level, pos AS i, node, size FROM subroots
+            UNION ALL
+            SELECT level + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (size + 1) // 2
+            FROM top_nodes WHERE size > 1 GROUP BY level, i // 2, size
+        ), siblings AS (
+            SELECT lang, level, i, node FROM nodes WHERE size > 1
+        ), folds AS (
+            SELECT l.lang, l.pos AS leaf_pos, 0 AS level, l.pos AS i, l.size, coalesce(l.other, l.leaf) AS node, '' AS proof FROM leaves l
+            UNION ALL
+            SELECT f.lang, f.leaf_pos, f.level + 1, f.i // 2, (f.size + 1) // 2,
+                sha256(CASE WHEN f.i % 2 = 1 THEN s.node || f.node ELSE f.node || coalesce(s.node, '') END), f.proof || coalesce(s.node, '')
+            FROM folds f LEFT JOIN siblings s
+                ON s.lang IS NOT DISTINCT FROM f.lang AND s.level = f.level AND s.i = f.i + 1 - 2 * (f.i % 2)
+            WHERE f.size > 1
+        ), top_folds AS (
+            SELECT f.lang, f.leaf_pos, 0 AS level, s.pos AS i, s.size, f.node, f.proof
+            FROM folds f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang WHERE f.size = 1
+            UNION ALL
+            SELECT f.lang, f.leaf_pos, f.level + 1, f.i // 2, (f.size + 1) // 2,
+                sha256(CASE WHEN f.i % 2 = 1 THEN s.node || f.node ELSE f.node || coalesce(s.node, '') END), f.proof || coalesce(s.node, '')
+            FROM top_folds f LEFT JOIN top_nodes s ON s.size > 1 AND s.level = f.level AND s.i = f.i + 1 - 2 * (f.i % 2)
+            WHERE f.size > 1
+        )
+        SELECT l.doc_id, l.leaf, s.node AS subroot, r.node AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root,
+            f.node = r.node AS verified
+        FROM leaves l
+        JOIN top_folds f ON f.lang IS NOT DISTINCT FROM l.lang AND f.leaf_pos = l.pos AND f.size = 1
+        JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+        JOIN top_nodes r ON r.size = 1
+    """,
 }
