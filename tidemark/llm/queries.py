@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, hamming, lines, maintext, manifest, mixing, secrets, simhash, tokencount, toxicity, warc
+from tidemark.functions import let
+from tidemark.llm import decontaminate, hamming, lines, maintext, manifest, mixing, periods, secrets, simhash, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -91,6 +92,41 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def _planted(doc_id, text):
+    """The text with a periodic tail where the digits of a document's id hash to a multiple of ten."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def tail(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = F.floor((n - a) / (3 + g % 8)) + 1
+        told = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.array_join(told, " ")
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    planted = let(words, lambda w: F.when(F.size(w) > 0, tail(w)).otherwise(text))
+    return F.when((h % 10 == 0) & text.isNotNull(), planted).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words in each document, a tenth of which get a periodic tail first, and what is left without repeats."""
+    docs = table(spark, folder, "documents")
+    found = periods.periodic_runs(docs.select("doc_id", _planted(F.col("doc_id"), F.col("text")).alias("text")))
+
+    def better(best, x):
+        return F.when(best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"]), x).otherwise(best)
+
+    listed = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])), "\n")
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), better)
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's leaf, roots and proof, and what the proof says of a leaf of which every seventh is tampered with."""
     docs = table(spark, folder, "documents")
