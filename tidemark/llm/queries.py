@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import let
-from tidemark.llm import decontaminate, hamming, lines, maintext, manifest, mixing, periods, secrets, simhash, tokencount, toxicity, warc
+from tidemark.llm import decontaminate, hamming, jaccard, lines, maintext, manifest, mixing, periods, secrets, simhash, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -127,6 +127,11 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingles, links and component of each document by the Jaccard coefficient of its 3-word shingles."""
+    return jaccard.jaccard_join(table(spark, folder, "documents"), size=3, share=90)
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's leaf, roots and proof, and what the proof says of a leaf of which every seventh is tampered with."""
     docs = table(spark, folder, "documents")
@@ -168,6 +173,35 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN bytes >= 1000 AND original <> page_id THEN original END AS refers_to
         FROM originals
     """,
+    "op12_ngram_jaccard_join": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'
+            ) AS w FROM documents
+        ), shingles AS (
+            SELECT doc_id, unnest(list_distinct(CASE
+                WHEN len(w) >= 3 THEN [array_to_string(w[i : i + 2], ' ') FOR i IN range(1, len(w) - 1)]
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingle FROM words
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id
+        ), links AS (
+            SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b
+            WHERE 100 * c.n >= 90 * (x.n + y.n - c.n)
+        ), reached AS (
+            SELECT a AS doc_id, a AS other FROM links
+            UNION
+            SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+        ), least AS (
+            SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+        ), degrees AS (
+            SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+        FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id) LEFT JOIN degrees USING (doc_id)
+    """,
     "op13_merkle_manifest": """
         WITH RECURSIVE steps AS (
             SELECT i, 0 AS step, i::UBIGINT AS c FROM range(256) t(i)
