@@ -27,6 +27,8 @@ LEAF, LEAF_SHINGLES = 128, 1 << 20
 PIVOTS = 16
 #: Sizes from one class to the next.
 GROWTH = 1.5
+#: At most so many texts are sought by a broadcast of their digests (16 bytes each).
+BROADCAST_TEXTS = 1_000_000
 #: Bytes of text whose words are hashed at once; a longer text is taken alone.
 CHUNK = 1 << 21
 
@@ -150,12 +152,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
 def _areas(rows: DataFrame) -> DataFrame:
     """``(k1, area)`` of the sets that share a part with another set; sets of different areas aren't linked.
 
-    A part's key is reduced to its least and greatest set before the shuffle, so copies of one text count once; a key with very
-    many sets is met by its rows in a join that Spark can split.
+    Copies of one text count once from each task; one shuffle serves both the least and greatest set of each key and the rows that meet
+    them, and nothing is kept for a key but these two.
     """
-    named = rows.select("k1", F.explode("parts").alias("key"))
+    named = rows.select("k1", F.explode("parts").alias("key")).repartition("key")
     shared = named.groupBy("key").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least <> most")
-    met = named.join(shared.select("key", "least"), "key").select("k1", "least").distinct()
+    met = named.join(shared.hint("shuffle_hash"), "key").select("k1", "least").distinct()
     return components(met).select(F.col("node").alias("k1"), F.col("root").alias("area"))
 
 
@@ -170,6 +172,8 @@ def _sets(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, size:
             elements = pa.array([s.tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), elements], ["k1", "k2", "elements"])
 
+    if chosen.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        chosen = F.broadcast(chosen)
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).select("text", *_digests(F.col("text")))
     first = texts.join(chosen, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
     return first.select("text").mapInArrow(run, "k1 long, k2 long, elements binary")
