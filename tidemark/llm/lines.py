@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,10 +16,23 @@ from tidemark.session import durable
 SHINGLE = 8
 #: Lines as alike as this, by the Jaccard coefficient of their shingles, are one.
 ALIKE = 0.8
-#: A pair at 0.8 shares one of seven bands of three minima with probability 0.993, one at 0.85 with 0.9987.
-BANDS, ROWS = 7, 3
+#: Minima of a signature, the points of the affine plane of order three; a band is one of its twelve lines: any two minima share a band.
+POINTS = 9
+BANDS = [
+    *[tuple(3 * x + (slope * x + start) % 3 for x in range(3)) for slope in range(3) for start in range(3)],
+    *[tuple(3 * x + y for y in range(3)) for x in range(3)],
+]
+#: A pair at 0.8 agrees in all three minima of some band with probability 0.990, one at 0.85 with 0.9973, one at 0.9 with 0.9996.
+#: Characters of a line that are cut into shingles at once, and shingles of one generated row.
+PIECE, BLOCK = 64, 8
+#: Longs of the bitmap that bounds how much two lines have in common.
+WORDS = 16
+#: Lines of a bucket that are compared with all others in the second round.
+CROWD = 512
 #: At most so many lines to verify are sought by a broadcast of their digests (8 bytes each).
 BROADCAST_LINES = 2_000_000
+#: Only lines with more bytes than this are looked at for repeats within.
+LONG_LINE = 4096
 
 
 def _with_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,22 +69,32 @@ def _shingles(line: Column) -> Column:
 def _signatures(lines: DataFrame) -> DataFrame:
     """``(d1, m0, m1, ...)`` for each different line.
 
-    The shingles of a line are a generated row each, hashed once; a minimum is that of the hash with some bits turned. Tasks
-    merge what they have read before the shuffle, so a line that stands everywhere is one row from each.
+    A line is cut into overlapping pieces, so that characters are counted from the start of a piece only, and a generated row holds the
+    hashes of ``BLOCK`` shingles; a minimum is that of the hash with some bits turned. Tasks merge what they have read before the
+    shuffle, so a line that stands everywhere is one row from each.
     """
     chosen = random.Random(8)
-    turns = [chosen.getrandbits(32) - (1 << 31) for _ in range(BANDS * ROWS)]
-    units = lines.select(F.xxhash64("line").alias("d1"), F.encode("line", "UTF-16BE").alias("units"))
-    cut = units.select("d1", "units", F.explode(F.sequence(F.lit(0), _last_start(F.col("units")))).alias("at"))
-    hashed = cut.select("d1", F.hash(_shingle(F.col("units"), F.col("at"))).alias("h"))
-    return hashed.groupBy("d1").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(turn).cast("int"))).alias(f"m{i}") for i, turn in enumerate(turns)])
+    turns = [chosen.getrandbits(32) - (1 << 31) for _ in range(POINTS)]
+    last = F.greatest(F.char_length("line") - SHINGLE, F.lit(0))
+    starts = lines.select(F.xxhash64("line").alias("d1"), "line", F.explode(F.sequence(F.lit(1), last + 1, F.lit(PIECE))).alias("at"))
+    pieces = starts.select("d1", F.substring("line", F.col("at"), F.lit(PIECE + SHINGLE - 1)).alias("piece"))
+    last = F.greatest(F.char_length("piece") - SHINGLE, F.lit(0))
+    blocks = pieces.select("d1", "piece", last.alias("last"), F.explode(F.sequence(F.lit(0), last, F.lit(BLOCK))).alias("at"))
+    places = [F.least(F.col("at") + k, F.col("last")) + 1 for k in range(BLOCK)]  # the last shingle again, where there are fewer
+    hashed = blocks.select("d1", *[F.hash(F.substring("piece", place, F.lit(SHINGLE))).alias(f"h{k}") for k, place in enumerate(places)])
+
+    def least(turn: int) -> Column:
+        return F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(turn).cast("int")) for k in range(BLOCK)]))
+
+    return hashed.groupBy("d1").agg(*[least(turn).alias(f"m{i}") for i, turn in enumerate(turns)])
 
 
 def _buckets(signatures: DataFrame) -> DataFrame:
     """``(key, d1, n)``: lines that share a band with others; ``n`` lines have the key."""
-    bands = [F.xxhash64(F.lit(b), *[f"m{i}" for i in range(b * ROWS, (b + 1) * ROWS)]) for b in range(BANDS)]
-    rows = signatures.select("d1", F.explode(F.array(*bands)).alias("key"))
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "d1", "n")
+    bands = [F.xxhash64(F.lit(b), *[f"m{i}" for i in band]) for b, band in enumerate(BANDS)]
+    rows = signatures.select("d1", F.explode(F.array(*bands)).alias("key")).repartition("key")  # one shuffle serves both sides of the join
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("d1").alias("least"), F.max("d1").alias("most"))
+    return rows.join(shared.where("least <> most").hint("shuffle_hash"), "key").select("key", "d1", "n")
 
 
 def _texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
@@ -83,19 +107,39 @@ def _texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     if first.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
         first = F.broadcast(first)
     told = lines.select(*_digests(F.col("line")), "line").join(first, "d1", "left_semi").dropDuplicates(["d1", "d2"])
-    told = told.withColumn("set", _shingles(F.col("line")))
-    repeats = F.size("set") * 8 <= F.octet_length("line")
+    told = told.withColumn("set", F.when(F.octet_length("line") > LONG_LINE, _shingles(F.col("line"))))
+    repeats = F.col("set").isNotNull() & (F.size("set") * 8 <= F.octet_length("line"))
     return told.select(
         F.struct("d1", "d2").alias("id"), "d1", F.when(~repeats, F.col("line")).alias("line"), F.when(repeats, F.col("set")).alias("set")
     )
 
 
+def _prints(texts: DataFrame) -> DataFrame:
+    """``(id, n, w0, w1, ...)``: at least the number of the line's shingles, and a bitmap in which each of them sets a bit."""
+    units = texts.where("set IS NULL").select("id", F.encode("line", "UTF-16BE").alias("units"))
+    cut = units.select("id", "units", F.explode(F.sequence(F.lit(0), _last_start(F.col("units")))).alias("at"))
+    hashed = cut.select("id", F.xxhash64(_shingle(F.col("units"), F.col("at"))).alias("h"))
+    hashed = hashed.union(texts.where("set IS NOT NULL").select("id", F.explode("set")))
+    split = hashed.select("id", F.pmod(F.shiftrightunsigned("h", 6), F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit"))
+    words = [F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
+    return split.groupBy("id").agg(F.count("*").alias("n"), *words)
+
+
+def _may_be_alike() -> Column:
+    """Whether the bitmaps of lines a and b allow a coefficient of ``ALIKE``: a bit that only one line has set is a shingle that the other lacks."""
+    def lacking(x: str, y: str) -> Column:
+        return reduce(lambda s, i: s + F.bit_count(F.col(f"{x}.w{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.w{i}")))), range(WORDS), F.lit(0))
+
+    only_a, only_b = lacking("a", "b"), lacking("b", "a")
+    n_a, n_b = F.col("a.n"), F.col("b.n")
+    return (n_a - only_a >= ALIKE * (n_a + only_b)) & (n_b - only_b >= ALIKE * (n_b + only_a))
+
+
 def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose exact Jaccard coefficient is at least ``ALIKE``, each once.
+    """The pairs (a, b) of ``pairs`` whose exact Jaccard coefficient is at least ``ALIKE``.
 
     Few lines stand on side a, often many times: their texts travel once and become sets where the pairs meet them.
     """
-    pairs = pairs.select("a", "b").distinct()
     lines = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("set").alias("set_b"))
     sides = texts.withColumnRenamed("id", "a").join(pairs.select("a").distinct(), "a", "left_semi").repartition(F.col("a"))
     sides = sides.select("a", F.coalesce("set", _shingles(F.col("line"))).alias("set_a"))
@@ -106,32 +150,44 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _joined(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(node, root)``: components of the lines ``(key, id, degree)`` over the links between lines alike in one bucket. Exact.
+    """``(node, root)``: components of the lines ``(key, id, degree, n, w0, ...)`` over the links between lines alike in one bucket. Exact.
 
     In each round the lines of each bucket with the highest degree, the pivots, are compared with all others of the bucket that are not known to be in their
     component, and leave the bucket; then components are formed anew, and buckets within one component are done with. So no
     two lines stay uncompared unless links join them anyway, and a crowd of lines alike costs one
     comparison each, not one for each pair. The degree is how many lines one meets in all its buckets: the original of many
-    copies meets most, and so joins them at once. Pivots are four times as many in each round, for buckets whose lines have little in common.
+    copies meets most, and so joins them at once. After one pivot come ``CROWD``, then four times as many in each round, for buckets whose lines have
+    little in common. Sizes and bitmaps rule out most pairs before a text is fetched. Components are formed of those of the round before.
     """
-    links: DataFrame | None = None
-    rest = met.select("key", "id", "degree", F.col("id").alias("root"))
+    known: DataFrame | None = None
+    rest = met.withColumn("root", F.col("id"))
     pivots = 1
     while True:
         order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id"))
-        chosen = rest.withColumn("place", order).where(F.col("place") <= pivots).select("key", F.col("id").alias("a"), F.col("root").alias("root_a"))
-        chosen = durable(chosen, "pivots")
-        against = chosen.join(rest.select("key", F.col("id").alias("b"), F.col("root").alias("root_b")), "key")
-        found = durable(_alike(against.where("root_a <> root_b"), texts), "line-links")
-        links = found if links is None else durable(links.union(found), "line-links")
-        joined = durable(components(links), "line-components")
-        left = rest.drop("root").join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
-        left = left.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        chosen = durable(rest.withColumn("place", order).where(F.col("place") <= pivots).drop("place"), "pivots")
+        against = chosen.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _may_be_alike())
+        pairs = against.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.root").alias("root_a"), F.col("b.root").alias("root_b"))
+        pairs = durable(pairs.dropDuplicates(["a", "b"]), "line-pairs")
+        found = _alike(pairs.select("a", "b"), texts).join(pairs, ["a", "b"]).select("root_a", "root_b").distinct()
+        found = durable(found, "line-links")
+        fresh = not found.isEmpty()
+        if fresh:
+            merged = components(found)
+            if known is None:
+                known = durable(merged, "line-components")
+            else:  # nodes of this round are the roots of the last one
+                after = merged.select(F.col("node").alias("root"), F.col("root").alias("new"))
+                told = known.join(after, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+                lone = merged.join(known.select("node"), "node", "left_anti")
+                known = durable(told.union(lone), "line-components")
+        left = rest.join(chosen.select("key", "id"), ["key", "id"], "left_anti")
+        if fresh:
+            left = left.drop("root").join(known.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         spread = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        rest = durable(left.join(spread.select("key"), "key", "left_semi").select("key", "id", "degree", "root"), "crowds")
-        if not rest.limit(1).count():
-            return joined
-        pivots *= 4
+        rest = durable(left.join(spread.select("key"), "key", "left_semi").select(*rest.columns), "crowds")
+        if rest.isEmpty():
+            return known if known is not None else met.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
+        pivots = max(CROWD, 4 * pivots)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +199,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = durable(_buckets(_signatures(lines)), "line-buckets")
     texts = durable(_texts_of(buckets, lines), "line-texts")
     degrees = buckets.groupBy("d1").agg(F.sum("n").alias("degree"))
-    met = buckets.join(texts.select("id", "d1"), "d1").join(degrees, "d1").select("key", "id", "degree")
+    prints = durable(_prints(texts), "line-prints").withColumn("d1", F.col("id.d1"))
+    met = buckets.join(degrees, "d1").select("key", "d1", "degree").join(prints, "d1").drop("d1")
     linked = _joined(durable(met, "line-met"), texts).select("node.d1", "node.d2", "root")
     stated = lines.select("doc_id", *_digests(F.col("line"))).groupBy("d1", "d2")
     stated = stated.agg(F.min("doc_id").alias("owner"), F.count("*").alias("times")).join(linked, ["d1", "d2"], "left")
