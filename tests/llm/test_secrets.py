@@ -72,3 +72,23 @@ def test_same_as_plain_patterns(spark):
 
 def test_nothing(spark):
     assert spans(spark, []) == []
+
+
+def test_long_runs_take_linear_time():
+    """Letters that end in what is no word, a long identifier, and many digests beside many runs."""
+    import time
+
+    began = time.time()
+    for run in ("gattaca" * 1500 + "7x", "A" * 10_000 + "b0c", "0a" * 5000, "ab-" * 4000 + "7x"):
+        assert secrets._IDENTIFIER.fullmatch(run) is None
+        secrets.random_spans(run, [], secrets.VOCABULARY, 20, 2.0)
+    assert secrets._IDENTIFIER.fullmatch("some/pathName-with_HTTPServer-2024/x")
+    text = " ".join(f"{i:064x} k{i:x}Zq9XwV7tRb2LmN4pHs8" for i in range(2000))
+    base = secrets.base_spans(text)
+    assert len(base) == 2000 and len(secrets.random_spans(text, base, secrets.VOCABULARY, 20, 2.0)) > 1000
+    assert time.time() - began < 20
+
+
+def test_taken_ranges():
+    taken = secrets._Taken([("a", 5, 9), ("b", 0, 3), ("c", 8, 12)])
+    assert [taken.meets(*x) for x in ((3, 5), (2, 4), (4, 6), (11, 20), (12, 20), (0, 1))] == [False, True, True, True, False, True]

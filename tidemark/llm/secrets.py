@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +32,8 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 _DIGEST = re.compile("|".join(f"(?:[0-9a-fA-F]{{{n}}})" for n in DIGEST_LENGTHS))
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-#: Words, acronyms and numbers joined by separators or by a change of case.
-_IDENTIFIER = re.compile(r"(?:[+/_=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Za-z](?![A-Za-z0-9])|[0-9]+(?![A-Za-z])))+[+/_=-]*")
+#: Words, acronyms and numbers joined by separators or by a change of case. Possessive, as no other split of a run of letters could match instead.
+_IDENTIFIER = re.compile(r"(?:[+/_=-]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[A-Za-z](?![A-Za-z0-9])|[0-9]++(?![A-Za-z])))++[+/_=-]*+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: What stands between separators, and digests and UUIDs that are whole parts.
 _PART = re.compile(r"[A-Za-z0-9]+")
@@ -67,7 +68,24 @@ def is_known(run: str, path: str = VOCABULARY, ratio: float = 2.0) -> bool:
     return bool(_DIGEST.fullmatch(run) or _UUID.fullmatch(run)) or is_worded(run, path, ratio)
 
 
-def _stretches(text: str, start: int, end: int, taken: list[tuple[str, int, int]], path: str, ratio: float) -> Iterator[tuple[int, int]]:
+class _Taken:
+    """What is already taken of a text, as disjoint ranges in order."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts, self.ends = [], []
+        for _, start, end in sorted(spans, key=lambda x: x[1]):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end) - 1
+        return at >= 0 and self.ends[at] > start
+
+
+def _stretches(text: str, start: int, end: int, taken: _Taken, path: str, ratio: float) -> Iterator[tuple[int, int]]:
     """Spans within a run that begin and end with a part that is no word, and whose letters stand mostly in such parts.
 
     Parts stand between separators. Digests, UUIDs and what is already taken bound a stretch, words only if they outweigh it, so a
@@ -78,8 +96,7 @@ def _stretches(text: str, start: int, end: int, taken: list[tuple[str, int, int]
     for m in [*_WHOLE.finditer(text, start, end), None]:
         for part in _PART.finditer(text, at, m.start() if m else end):
             s, e = part.span()
-            met = any(x < e and s < y for _, x, y in taken)
-            parts.append((s, e, 0 if met else s - e if is_worded(part[0], path, ratio) else e - s))
+            parts.append((s, e, 0 if taken.meets(s, e) else s - e if is_worded(part[0], path, ratio) else e - s))
         if m:
             parts.append((*m.span(), 0))
             at = m.end()
@@ -120,10 +137,10 @@ def random_spans(text: str, taken: list[tuple[str, int, int]], path: str, shorte
     """
     if max(map(len, text.split()), default=0) < shortest:
         return []
-    found = []
+    found, met = [], _Taken(taken)
 
     def is_random(start: int, end: int) -> bool:
-        if end - start < shortest or any(s < end and start < e for _, s, e in taken):
+        if end - start < shortest or met.meets(start, end):
             return False
         part = text[start:end]
         return end - start <= ratio * len(encoding(path).encode_ordinary(part)) and not is_known(part, path, ratio)
@@ -132,7 +149,7 @@ def random_spans(text: str, taken: list[tuple[str, int, int]], path: str, shorte
         start, end = run.span()
         if end - start < shortest:
             continue
-        places = [(start, end)] if is_random(start, end) else _stretches(text, start, end, taken, path, ratio)
+        places = [(start, end)] if is_random(start, end) else _stretches(text, start, end, met, path, ratio)
         found += [("random", s, e) for s, e in places if is_random(s, e)]
     return found
 
