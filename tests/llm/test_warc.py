@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from conftest import SMALL
 from tidemark.llm import warc
@@ -74,3 +75,17 @@ def test_given_pages(spark):
     folder = work_folder(spark, "archive")
     found = {r.page_id: r.payload_digest for r in warc.read_archives(warc.write_archives(pages, folder), 4096).collect()}
     assert found == {r.page_id: hashlib.sha1((r.html or "").encode()).hexdigest() for r in pages.collect()}
+
+
+def test_any_header_values_in_payloads(spark):
+    """What reads like a record but for its length, among ordinary pages."""
+    rng = random.Random(9)
+    lengths = ["²", "٣", "-5", "+5", "5 5", "", "9" * 5000, "1" * 18, "0x10", " 7", "7\t", "1e3", "５"]
+    rows = []
+    for i, length in enumerate(lengths * 3):
+        more = "".join(rng.choice("ab:\r\n \x00é") for _ in range(rng.randrange(60)))
+        rows.append((i, "http://a/", f"before WARC/1.1\r\nWARC-Type: response\r\n{more}\r\nContent-Length: {length}\r\n\r\nabc\r\n\r\n" * rng.randint(1, 3)))
+    for block_bytes in (100, 1 << 23):
+        _, found = trip(spark, rows, block_bytes)
+        digests = {r.page_id: r.payload_digest for r in found}
+        assert digests == {i: hashlib.sha1(html.encode()).hexdigest() for i, _, html in rows}

@@ -117,6 +117,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
 # ---------------------------------------------------------------- reading
 
 
+#: A length that a record can have; other digits, signs and longer numbers stand in no record of an archive.
+_LENGTH = re.compile("[0-9]{1,18}")
+
+
 class _Window:
     """Ranged reads of one archive, some bytes ahead at a time."""
 
@@ -152,7 +156,7 @@ def _header(window: _Window, offset: int) -> tuple[dict[str, str], int] | None:
             fields[key.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
             done = stop + 2
         if stop == done:
-            return (fields, offset + done + 2) if fields.get("content-length", "").isdigit() else None
+            return (fields, offset + done + 2) if _LENGTH.fullmatch(fields.get("content-length", "")) else None
         if offset + length >= window.size:
             return None
         length *= 16
