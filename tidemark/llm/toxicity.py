@@ -62,11 +62,11 @@ def held_out(doc_id: Column) -> Column:
 def _chosen_labels(labels: DataFrame, label_col: str, sample: int) -> tuple[DataFrame, float]:
     """``(doc_id, y)`` of at most ``sample`` rows to train on, half of either class if there are enough, and the share of ones in all.
 
-    Rows with the smallest hashes of the id are taken, so that reruns agree. Null ids and labels are left out, of several labels of an id the
-    largest counts.
+    Rows with the smallest hashes of the id are taken, so that reruns agree. Null ids, null labels and labels other than 0 and 1 are left out, of
+    several labels of an id the largest counts.
     """
     known = labels.select(F.col("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).dropna()
-    known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = known.where(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     share = known.agg(F.avg("y")).first()[0] or 0.0
     order = F.xxhash64("doc_id")
     half = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(sample // 2) for y in (0, 1)]
