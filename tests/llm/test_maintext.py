@@ -106,3 +106,52 @@ def test_weights_come_from_labelled_pages(spark):
     learnt = maintext.weights(pages)
     assert learnt["word in div.teaser"] < 0 < learnt["word in article"]
     assert maintext.main_text(page.replace("article", "section"), maintext.Scores(learnt)) == "words of the section"
+
+
+@pytest.mark.parametrize("name", ["alert-levels", "menu-item", "related-work", "hidden-gem", "social-history", "form-of-verbs"])
+def test_names_with_other_words_cut_nothing(name):
+    body = f"<article><h1>Head</h1><p>one two</p><div class='{name}'><p>three four</p></div><p id={name}>five</p></article>"
+    assert maintext.main_text(FRAME.format(body), maintext.Scores()) == "Head\none two\nthree four\nfive"
+
+
+def test_suspects_are_cut_by_their_learnt_score():
+    body = "<article><h1>Head</h1><p>one two three four five six</p><div class='related-posts'>see this</div><p>seven</p></article>"
+    learnt = maintext.Scores({"word in div.related-posts": -2.0})
+    assert maintext.main_text(FRAME.format(body), learnt) == "Head\none two three four five six\nseven"
+
+
+def test_wide_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    n = 100_000
+    for page in ("<b>" * n + "</q>" * n, "<u><div>" + "<i>" * n + "</u>" * n, "<div>" + "<i>" * n + "<h2>x</h2>" * n, "<a " * n, '<a title="' * (n + 1), "<!x" * n):
+        maintext.main_text(FRAME.format("<article><p>one two</p></article>") + page, maintext.Scores())
+    assert time.time() - began < 60
+
+
+def test_unclosed_tags_swallow_the_rest():
+    assert maintext.main_text("<article><p>one two three</p></article><a href=x four", maintext.Scores()) == "one two three"
+
+
+def plain_range(scores):
+    """The best contiguous range by definition: the largest sum, then the first start and the first end."""
+    best, place = 0.0, (0, 0)
+    for i in range(len(scores)):
+        total = 0.0
+        for j in range(i, len(scores)):
+            total += scores[j]
+            if total > best:
+                best, place = total, (i, j + 1)
+    return best, place
+
+
+def test_best_range_is_that_of_the_definition():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(400):
+        scores = [float(rng.randint(-4, 4)) for _ in range(rng.randint(0, 30))]
+        best, _ = plain_range(scores)
+        start, end = maintext.best_range(scores)
+        assert sum(scores[start:end]) == best and (best > 0 or (start, end) == (0, 0))

@@ -40,7 +40,7 @@ CLOSES = {
 INLINE_ENDS = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 LABELS = frozenset(("article", "main"))
 NAMED = frozenset(("article", "main", "section", "body"))
-#: Elements and words in class, id or role that are never part of an article.
+#: Elements that are never part of an article, and words of which names (class, id or role) of such elements consist.
 OUTSIDE = frozenset("head nav header footer aside form menu dialog button fieldset search".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs"
@@ -52,8 +52,8 @@ OUTSIDE_WORDS = frozenset(
 _TOKEN = re.compile(
     r"(?P<note><!--.*?(?:--!?>|\Z))"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|(?P<odd><[!?/][^>]*>)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)"
+    r"|(?P<odd><[!?/][^>]*+(?:>|\Z))"
     r"|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -96,6 +96,7 @@ class Page:
 
     One pass over the markup with the open elements on a stack: implied end tags are supplied, depth costs only memory. Raw elements
     and comments are tags without text, and so are embedded elements that have an end tag. One without holds what follows like any other.
+    A tag or quote that never ends swallows the rest. Where elements are open is kept by tag, so no tag costs more for the depth it stands in.
     """
 
     def __init__(self, source: str):
@@ -105,11 +106,12 @@ class Page:
 
     def _parse(self, source: str, holders: frozenset[int]) -> None:
         self._holders = holders
-        self._never, self._named_outside, self._marked = [False], set(), {}
+        self._never, self._named_outside, self._marked, self.suspects = [False], set(), {}, []
         self.items: list[Token] = []
         self.parent, self.last, self.whole, self._sealed = [0], [0], [True], [False]
         self._stack = [Open("", "top", False, False, 0)]
         self._block, self._before = 0, {}
+        self._at, self._blocks, self._bounds = defaultdict(list), [0], [0]  # depths of the open elements by tag, of blocks, of bounds of a p
         for m in _TOKEN.finditer(source):
             if m["text"] is not None:
                 self._add("word in " + self._stack[-1].key, m["text"], len(m["text"].split()))
@@ -159,29 +161,27 @@ class Page:
         self.items.append(Token(key, text, words, self._block, top.label, top.outside, top.number))
 
     def _close(self, depth: int) -> None:
-        for element in self._stack[depth:]:
+        for element in reversed(self._stack[depth:]):
             self.last[element.number] = len(self.last) - 1
-        del self._stack[depth:]
+            for depths in (self._at[element.tag], self._blocks, self._bounds):
+                if depths and depths[-1] == len(self._stack) - 1:
+                    depths.pop()
+            self._stack.pop()
 
     def _imply_ends(self, names: set[str], bounds: set[str] | frozenset[str]) -> None:
         """Close the innermost open element of these names, and all within it, unless a bound stands before."""
-        for depth in range(len(self._stack) - 1, 0, -1):
-            if self._stack[depth].tag in names:
-                self._close(depth)
-                return
-            if self._stack[depth].tag in bounds:
-                return
+        depth = max((self._at[name][-1] for name in names if self._at[name]), default=0)
+        bound = self._bounds[-1] if bounds is NOT_P else max((self._at[name][-1] for name in bounds if self._at[name]), default=0)
+        if depth > bound:
+            self._close(depth)
 
     def _end(self, tag: str) -> None:
-        for depth in range(len(self._stack) - 1, 0, -1):
-            if self._stack[depth].tag == tag:
-                if tag in EMBEDDED:
-                    self._sealed[self._stack[depth].number] = True
-                    self._block = self._before[self._stack[depth].number]
-                self._close(depth)
-                break
-            if tag in INLINE_ENDS and self._stack[depth].tag in BLOCK:
-                break  # a stray inline end tag closes no block
+        depth = self._at[tag][-1] if self._at[tag] else 0
+        if depth and (tag not in INLINE_ENDS or depth > self._blocks[-1]):  # a stray inline end tag closes no block
+            if tag in EMBEDDED:
+                self._sealed[self._stack[depth].number] = True
+                self._block = self._before[self._stack[depth].number]
+            self._close(depth)
         self._block += tag in BLOCK
         self._add("tag /" + tag)
 
@@ -214,7 +214,15 @@ class Page:
                     self._marked[number] = tag
                 if is_outside(tag, names):
                     self._named_outside.add(number)
-            self._stack.append(Open(tag, own if named else top.key, outside, label, len(self.parent) - 1))
+            depth = len(self._stack)
+            self._at[tag].append(depth)
+            if tag in BLOCK:
+                self._blocks.append(depth)
+            if tag in NOT_P:
+                self._bounds.append(depth)
+            if names and not outside and not OUTSIDE_WORDS.isdisjoint(_NAME_WORDS.findall(_NO_SIGN.sub(" ", names))):
+                self.suspects.append(number)
+            self._stack.append(Open(tag, own if named else top.key, outside, label, number))
             if tag in EMBEDDED:
                 self._before[len(self.parent) - 1] = self._block
                 return  # its end tag counts
@@ -235,12 +243,16 @@ def _names(rest: str) -> str:
 
 @lru_cache(maxsize=4096)
 def is_outside(tag: str, names: str) -> bool:
-    """Whether no article has the element. Names of the whole page and of holders, negated ones and those of layouts are no sign."""
+    """Whether no article has the element: by its tag, or a name of it that consists of such words alone.
+
+    Names of the whole page and of holders, negated ones and those of layouts are no sign. A name with other words in it counts by its learnt weight only.
+    """
     if tag in OUTSIDE or tag in RAW:
         return True
     if tag in ("html", "body") or tag.endswith(HOLDER):
         return False
-    return not OUTSIDE_WORDS.isdisjoint(_NAME_WORDS.findall(_NO_SIGN.sub(" ", names)))
+    told = (_NAME_WORDS.findall(name) for name in _NO_SIGN.sub(" ", names).split())
+    return any(words and OUTSIDE_WORDS.issuperset(words) for words in told)
 
 
 # ---------------------------------------------------------------- weights
@@ -323,24 +335,43 @@ def main_text(page: str | None, scores: Scores) -> str:
 
     The best range is widened to the whole of the innermost named element that holds all of it (unless that is the
     page), so that an aside in the article doesn't cost a short end; what stands in elements that no article
-    has is then left out.
+    has is then left out, and so are elements with a word in their names that speaks against them, if their own score is negative.
     """
     tree = Page(page or "")
     items = tree.items
-    start, end = best_range([scores[t.key] * (t.words if t.text is not None else 1) for t in items])
+    values = [scores[t.key] * (t.words if t.text is not None else 1) for t in items]
+    start, end = best_range(values)
     kept = [t.element for t in items[start:end] if t.words and not t.outside]
     if not kept:
         return ""
     holder = tree.holder(min(kept), max(kept))
     inside = items[start:end] if tree.whole[holder] else [t for t in items if holder <= t.element <= tree.last[holder]]
+    cut = _cut(tree, values, min(kept), max(kept))
     blocks: dict[int, list[str]] = {}
     for t in inside:
-        if t.text is not None and not t.outside:
+        if t.text is not None and not t.outside and t.element not in cut:
             blocks.setdefault(t.block, []).append(t.text)
     lines = (" ".join(markup.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
 
+def _cut(tree: Page, values: list[float], first: int, last: int) -> set[int]:
+    """The elements within suspects whose own score is negative, unless these hold the best range, from element ``first`` to ``last``."""
+    if not tree.suspects:
+        return set()
+    total = [0.0] * (len(tree.parent) + 1)
+    for t, value in zip(tree.items, values):
+        total[t.element + 1] += value
+    for number in range(len(tree.parent)):
+        total[number + 1] += total[number]
+    cut: set[int] = set()
+    for number in tree.suspects:
+        holds = number <= first and last <= tree.last[number]
+        if number not in cut and not holds and total[tree.last[number] + 1] - total[number] < 0:
+            cut.update(range(number, tree.last[number] + 1))
+    return cut
+
+
 def extract(
     pages: DataFrame, scores: dict[str, float] | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
