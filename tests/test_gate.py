@@ -186,7 +186,7 @@ def test_stream_takes_each_file_once(spark, store):
     incoming, progress = work_folder(spark, "incoming"), work_folder(spark, "progress")
 
     def arrive(run_id, rows):
-        gate.finish_run(store, run_id, "a", rows.count())
+        gate.finish_run(store, run_id, "a", rows.select("id").distinct().count())
         rows.withColumn("scrape_run_id", F.lit(run_id).cast("long")).select(*model.STAGING.names).write.mode(
             "append"
         ).parquet(incoming)
@@ -208,13 +208,13 @@ def delivery(run_id, rows):
 
 def test_a_run_in_two_deliveries_is_whole(spark, store):
     gate.import_run(store, project_rows(spark, 20), 1, ["source_url"])
-    gate.finish_run(store, 2, "a", 30)
+    gate.finish_run(store, 2, "a", 25)
     gate.deliver(store, delivery(2, project_rows(spark, 20, first=10)), 1)
     assert states(gate.run_gate(store, THRESHOLDS))[2] == "scraped"
     for _ in range(2):  # the second delivery repeats ids of the first, and comes twice
         gate.deliver(store, delivery(2, project_rows(spark, 10, first=25)), 2)
     status = {r.run_id: r for r in gate.run_gate(store, THRESHOLDS).collect()}
-    assert (status[2].status, status[2].n_scraped, status[2].n_promoted) == ("promoted", 30, 25)
+    assert (status[2].status, status[2].n_scraped, status[2].n_promoted) == ("promoted", 25, 25)
     assert store.staging().filter("scrape_run_id = 2").count() == 25 and store.serving().count() == 35
 
 
@@ -228,3 +228,86 @@ def test_late_rows_are_refused_where_one_can_see_them(spark, store):
     gate.deliver(store, delivery(2, project_rows(spark, 3, first=90)), 2)
     assert store.refused().count() == 3 and store.staging().filter("scrape_run_id = 2").count() == 20
     assert store.serving().count() == 30
+
+
+def test_a_repeated_delivery_under_a_new_number_leaves_the_run_waiting(spark, store):
+    """A collector's retry brings the same 20 ids again; the missing 10 still count as missing and are promoted when they come."""
+    gate.import_run(store, project_rows(spark, 20), 1, ["source_url"])
+    gate.finish_run(store, 2, "a", 30)
+    for number in (1, 2):
+        gate.deliver(store, delivery(2, project_rows(spark, 20, first=10)), number)
+    assert states(gate.run_gate(store, THRESHOLDS))[2] == "scraped"
+    gate.deliver(store, delivery(2, project_rows(spark, 10, first=30)), 3)
+    status = {r.run_id: r for r in gate.run_gate(store, THRESHOLDS).collect()}
+    assert (status[2].status, status[2].n_promoted) == ("promoted", 30)
+    assert store.refused().count() == 0 and store.serving().count() == 40
+
+
+def test_equal_ids_with_other_texts_are_picked_alike(spark):
+    rows = delivery(2, project_rows(spark, 5)).unionByName(delivery(2, project_rows(spark, 5, description="other")))
+    picked = []
+    for frame in (rows, rows.orderBy(F.desc("description")).repartition(3)):
+        own = Store(spark, work_folder(spark, "store"))
+        gate.deliver(own, frame, 1)
+        picked.append({r.id: r.description for r in own.staging().collect()})
+    assert picked[0] == picked[1] and len(picked[0]) == 5
+
+
+def events(spark, run_id, *slugs, source="a", name="E", day="2024-05-01"):
+    rows = [(source, slug, name, "https://e/" + slug, run_id) for slug in slugs]
+    frame = spark.createDataFrame(rows, "source string, slug string, name string, url string, scrape_run_id long")
+    return frame.withColumn("hackathon_date", F.lit(day).cast("date"))
+
+
+def names(store):
+    return {(r.source, r.slug): (r.name, str(r.hackathon_date)) for r in store.hackathons().collect()}
+
+
+def test_events_are_promoted_with_their_projects(spark, store):
+    gate.import_run(store, project_rows(spark, 20), 1, ["source_url"], events(spark, 1, "x", "y").drop("scrape_run_id"))
+    assert names(store) == {("a", "x"): ("E", "2024-05-01"), ("a", "y"): ("E", "2024-05-01")}
+    stage(store, 2, project_rows(spark, 20, first=10))
+    store.stage_events(events(spark, 2, "y", "z", name="new", day=None).unionByName(events(spark, 2, "z", name="later")))
+    stage(store, 3, project_rows(spark, 20, description=None))
+    store.stage_events(events(spark, 3, "x", "w", name="broken"))
+    assert states(gate.run_gate(store, THRESHOLDS)) == {1: "promoted", 2: "promoted", 3: "rejected"}
+    found = names(store)
+    assert set(found) == {("a", s) for s in "xyz"} and found["a", "x"] == ("E", "2024-05-01")
+    assert found["a", "y"] == ("new", "2024-05-01")  # a known date is never lost
+
+
+@pytest.mark.parametrize("broken", ["events", "publish", "log"])
+def test_a_promotion_that_breaks_off_shows_nothing_or_all(spark, store, monkeypatch, broken):
+    gate.import_run(store, project_rows(spark, 20), 1, ["source_url"], events(spark, 1, "x").drop("scrape_run_id"))
+    stage(store, 2, project_rows(spark, 20, first=10))
+    store.stage_events(events(spark, 2, "x", "y", name="new"))
+
+    def fails(*args, **kwargs):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        write, log = Store.write_snapshots, Store.log_states
+        if broken == "events":
+            patch.setattr(Store, "write_snapshots", lambda self, rows, table, *more: fails() if table == "events" else write(self, rows, table, *more))
+        elif broken == "publish":
+            patch.setattr(Store, "publish", fails)
+        else:
+            patch.setattr(Store, "log_states", lambda self, told: fails() if told[0]["status"] == "promoted" else log(self, told))
+        with pytest.raises(OSError):
+            gate.run_gate(store, THRESHOLDS)
+    seen = (store.serving().count(), len(names(store)))
+    assert seen == ((30, 2) if broken == "log" else (20, 1))
+    assert states(gate.run_gate(store, THRESHOLDS))[2] == "promoted"
+    assert (store.serving().count(), names(store)["a", "x"][0], len(names(store))) == (30, "new", 2)
+
+
+def test_raw_tags_are_replaced_whole_and_added_once(spark, store):
+    schema = "project_id string, tech_name string, tech_slug string, source string"
+    store.replace_raw_tags(spark.createDataFrame([("p", "A", "a", "s1"), ("q", "B", "b", "s2")], schema))
+    store.replace_raw_tags(spark.createDataFrame([("p", "C", "c", "s1")], schema))
+    assert [tuple(r) for r in store.raw_tags().collect()] == [("p", "C", "c", "s1")]
+    for _ in range(2):
+        store.add_raw_tags(spark.createDataFrame([("p", "C", "other", "s1"), ("q", "B", "b2", "s2"), ("q", "B", "b1", "s2")], schema))
+    assert sorted(tuple(r) for r in store.raw_tags().collect()) == [("p", "C", "c", "s1"), ("q", "B", "b1", "s2")]
+    store.replace_raw_tags(spark.createDataFrame([], schema))
+    assert store.raw_tags().count() == 0

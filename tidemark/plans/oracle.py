@@ -318,8 +318,8 @@ def _check_ctes(first_time: bool = False) -> dict[str, str]:
     return ctes
 
 
-def _checks(body: str, first_time: bool = False) -> str:
-    return _with("serving", "staging", "runs", body=body, **_check_ctes(first_time))
+def _checks(body: str, first_time: bool = False, more: tuple[str, ...] = ()) -> str:
+    return _with("serving", "staging", "runs", *more, body=body, **_check_ctes(first_time))
 
 
 _FAILED = "coalesce(string_agg(check_name, ', ' ORDER BY check_name) FILTER (WHERE NOT passed), '')"
@@ -585,6 +585,13 @@ def statements() -> dict[str, str]:
         FROM (SELECT * FROM hackathons WHERE yr <= 1999) k FULL OUTER JOIN
              (SELECT source, slug, name || ' final' AS name, CASE WHEN yr > 1999 THEN hackathon_date END AS hackathon_date,
                      url || '/moved' AS url FROM hackathons WHERE yr >= 1999) b ON k.source = b.source AND k.slug = b.slug""")
+    s["promote_events"] = _checks(f"""SELECT coalesce(b.source, k.source) AS source, coalesce(b.slug, k.slug) AS slug,
+        coalesce(b.name, k.name) AS name, {_day('coalesce(b.hackathon_date, k.hackathon_date)')} AS hackathon_date, coalesce(k.url, b.url) AS url
+        FROM (SELECT * FROM hackathons WHERE yr <= 1999) k FULL OUTER JOIN
+             (SELECT source, slug, name || ' final' AS name, CASE WHEN yr > 1999 THEN hackathon_date END AS hackathon_date,
+                     url || '/moved' AS url FROM hackathons WHERE yr >= 1999 AND source IN (SELECT source FROM (
+                         SELECT scrape_run_id, source FROM checks GROUP BY ALL HAVING bool_and(passed)))) b
+        ON k.source = b.source AND k.slug = b.slug""", more=("hackathons",))
     s["embed_writeback"] = _with("docs", body="""SELECT id, embedding IS NOT NULL AND NOT is_winner AS written,
         embedding IS NOT NULL AND NOT is_winner AS has_embedding FROM docs""")
 
@@ -640,7 +647,7 @@ def statements() -> dict[str, str]:
         min({n: l_linenumber, s: lower(p_type)}).s AS tech_slug FROM dated JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
         WHERE o_orderpriority <> '5-LOW' GROUP BY 1, 2, 3""")
     s["raw_tags_load"] = f"""SELECT source, count(*) AS n, count(DISTINCT project_id) AS n_projects
-        FROM ({s["raw_tags"]}) WHERE tech_slug < 'n' GROUP BY source"""
+        FROM ({s["raw_tags"]}) WHERE tech_slug < 'n' AND source <> '{tables.SOURCES[0]}' OR tech_slug < 'f' GROUP BY source"""
     s["excerpt"] = _with("docs", body=_excerpt())
     s["parse_date_range"] = f"""SELECT o_orderkey, CASE WHEN o_orderpriority <> '1-URGENT' THEN {_day('o_orderdate')} END AS day FROM orders"""
     s["parse_iso_date"] = f"SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN {_day('o_orderdate')} END AS day FROM orders"

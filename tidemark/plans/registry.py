@@ -490,6 +490,28 @@ def hackathon_upsert(spark, folder):
     return lifecycle.hackathon_upsert(known, moved, now)
 
 
+@query
+def promote_events(spark, folder):
+    """Events of the store after the gate has promoted the good runs: each stages renamed and moved events from the last imported year on."""
+    store = Store(spark, work_folder(spark, "events"))
+    events = tables.hackathons(spark, folder).withColumn("year", F.year("scraped_at"))
+    now = F.lit("2002-06-01 00:00:00").cast("timestamp")
+    known = events.filter(F.col("year") <= tables.LAST_IMPORTED_YEAR)
+    gate.import_run(store, tables.serving(spark, folder), tables.IMPORT_RUN, ["order_key"], known, now)
+    runs = tables.staging(spark, folder).filter(F.col("scrape_run_id") != tables.IMPORT_RUN)
+    store.stage(runs.select(*gate.model.STAGING.names))
+    seen = events.filter(F.col("year") >= tables.FIRST_STAGED_YEAR).select(
+        "source", "slug", F.concat("name", F.lit(" final")).alias("name"),
+        F.when(F.col("year") > tables.LAST_IMPORTED_YEAR, F.col("hackathon_date")).alias("hackathon_date"),
+        F.concat("url", F.lit("/moved")).alias("url"),
+    )
+    told = runs.select("scrape_run_id", "source").distinct()
+    store.stage_events(seen.join(told, "source"))
+    store.log_states([{"run_id": r[0], "seq": 0, "source": r[1], "kind": "scrape", "status": "scraped"} for r in told.collect()])  # a row for each run
+    gate.run_gate(store, load_thresholds(), now=now)
+    return store.hackathons().drop("scraped_at")
+
+
 @query
 def embed_writeback(spark, folder):
     documents = tables.documents(spark, folder)
@@ -658,11 +680,13 @@ def raw_tags(spark, folder):
 
 @query
 def raw_tags_load(spark, folder):
-    """The store after two imports; the second has only the tags that begin with a letter up to m, of all sources."""
+    """The store after two imports and a collection. The second import has the tags that begin with a letter up to m, and none of one
+    source, which is emptied; the collection brings those with a letter up to e of all sources."""
     store = Store(spark, work_folder(spark, "tags"))
     tags = durable(_raw_tags(spark, folder), "raw-tags")
     store.replace_raw_tags(tags)
-    store.replace_raw_tags(tags.filter(F.col("tech_slug") < "n"))
+    store.replace_raw_tags(tags.filter((F.col("tech_slug") < "n") & (F.col("source") != tables.SOURCES[0])))
+    store.add_raw_tags(tags.filter(F.col("tech_slug") < "f"))
     return store.raw_tags().groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("project_id").alias("n_projects"))
 
 
@@ -850,14 +874,16 @@ def redact_pages(spark, folder):
 # --- streams ---------------------------------------------------------------------------------
 
 
-def _incoming(spark, folder, work):
-    """Staged runs as files that a stream picks up; each run is dealt over two files."""
+def _deliveries(spark, folder, work):
+    """Staged runs, dealt over two folders as they arrive one after the other, with the tasks that the rows already have."""
     rows = tables.staging(spark, folder).filter(F.col("scrape_run_id") != tables.IMPORT_RUN)
     rows = durable(rows.select(*gate.model.STAGING.names), "staged-runs")
-    for half in (0, 1):
-        mine = rows.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == half)
-        mine.coalesce(1).write.mode("append").parquet(f"{work}/incoming")
-    return rows
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+
+    def arrive(part: int) -> None:
+        rows.filter(half == part).write.mode("append").parquet(f"{work}/incoming")
+
+    return rows, arrive
 
 
 @query
@@ -865,12 +891,12 @@ def stream_gate(spark, folder):
     work = work_folder(spark, "gate")
     store = Store(spark, f"{work}/store")
     gate.import_run(store, tables.serving(spark, folder), tables.IMPORT_RUN, ["order_key"])
-    rows = _incoming(spark, folder, work)
-    for run in rows.groupBy("scrape_run_id", "source").count().collect():  # one row for each run
-        gate.finish_run(store, run.scrape_run_id, run.source, run["count"])
-    gate.stream_gate(
-        spark, f"{work}/incoming", store, load_thresholds(), f"{work}/progress", files_per_batch=1
-    ).awaitTermination()
+    rows, arrive = _deliveries(spark, folder, work)
+    for run in rows.groupBy("scrape_run_id", "source").agg(F.countDistinct("id").alias("n")).collect():  # one row for each run
+        gate.finish_run(store, run.scrape_run_id, run.source, run.n)
+    for part in (0, 1):
+        arrive(part)
+        gate.stream_gate(spark, f"{work}/incoming", store, load_thresholds(), f"{work}/progress").awaitTermination()
     status = quality.run_status(store.events())
     served = store.serving().groupBy("source").agg(F.count("*").alias("n_serving"))
     return status.join(served, "source", "left").select("run_id", "status", "n_scraped", "n_promoted", "n_serving")
@@ -879,6 +905,8 @@ def stream_gate(spark, folder):
 @query
 def stream_dedup(spark, folder):
     work = work_folder(spark, "dedup")
-    _incoming(spark, folder, work)
+    _, arrive = _deliveries(spark, folder, work)
+    for part in (0, 1):
+        arrive(part)
     gate.stream_dedup(spark, f"{work}/incoming", f"{work}/unique", f"{work}/progress").awaitTermination()
     return spark.read.parquet(f"{work}/unique").groupBy("source").agg(F.count("*").alias("n"))
