@@ -23,12 +23,10 @@ BANDS = [
     *[tuple(3 * x + y for y in range(3)) for x in range(3)],
 ]
 #: A pair at 0.8 agrees in all three minima of some band with probability 0.990, one at 0.85 with 0.9973, one at 0.9 with 0.9996.
-#: Characters of a line that are cut into shingles at once, and shingles of one generated row.
-PIECE, BLOCK = 64, 8
+#: Shingles of one generated row.
+BLOCK = 8
 #: Longs of the bitmap that bounds how much two lines have in common.
 WORDS = 16
-#: Lines of a bucket that are compared with all others in the second round.
-CROWD = 512
 #: At most so many lines to verify are sought by a broadcast of their digests (8 bytes each).
 BROADCAST_LINES = 2_000_000
 #: Only lines with more bytes than this are looked at for repeats within.
@@ -69,19 +67,16 @@ def _shingles(line: Column) -> Column:
 def _signatures(lines: DataFrame) -> DataFrame:
     """``(d1, m0, m1, ...)`` for each different line.
 
-    A line is cut into overlapping pieces, so that characters are counted from the start of a piece only, and a generated row holds the
-    hashes of ``BLOCK`` shingles; a minimum is that of the hash with some bits turned. Tasks merge what they have read before the
-    shuffle, so a line that stands everywhere is one row from each.
+    A generated row holds the hashes of ``BLOCK`` shingles; a minimum is that of the hash with some bits turned. Tasks merge what they
+    have read before the shuffle, so a line that stands everywhere is one row from each.
     """
     chosen = random.Random(8)
     turns = [chosen.getrandbits(32) - (1 << 31) for _ in range(POINTS)]
-    last = F.greatest(F.char_length("line") - SHINGLE, F.lit(0))
-    starts = lines.select(F.xxhash64("line").alias("d1"), "line", F.explode(F.sequence(F.lit(1), last + 1, F.lit(PIECE))).alias("at"))
-    pieces = starts.select("d1", F.substring("line", F.col("at"), F.lit(PIECE + SHINGLE - 1)).alias("piece"))
-    last = F.greatest(F.char_length("piece") - SHINGLE, F.lit(0))
-    blocks = pieces.select("d1", "piece", last.alias("last"), F.explode(F.sequence(F.lit(0), last, F.lit(BLOCK))).alias("at"))
-    places = [F.least(F.col("at") + k, F.col("last")) + 1 for k in range(BLOCK)]  # the last shingle again, where there are fewer
-    hashed = blocks.select("d1", *[F.hash(F.substring("piece", place, F.lit(SHINGLE))).alias(f"h{k}") for k, place in enumerate(places)])
+    units = lines.select(F.xxhash64("line").alias("d1"), F.encode("line", "UTF-16BE").alias("units"))
+    last = _last_start(F.col("units"))
+    blocks = units.select("d1", "units", last.alias("last"), F.explode(F.sequence(F.lit(0), last, F.lit(BLOCK))).alias("at"))
+    places = [F.least(F.col("at") + k, F.col("last")) for k in range(BLOCK)]  # the last shingle again, where there are fewer
+    hashed = blocks.select("d1", *[F.hash(_shingle(F.col("units"), place)).alias(f"h{k}") for k, place in enumerate(places)])
 
     def least(turn: int) -> Column:
         return F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(turn).cast("int")) for k in range(BLOCK)]))
@@ -156,8 +151,7 @@ def _joined(met: DataFrame, texts: DataFrame) -> DataFrame:
     component, and leave the bucket; then components are formed anew, and buckets within one component are done with. So no
     two lines stay uncompared unless links join them anyway, and a crowd of lines alike costs one
     comparison each, not one for each pair. The degree is how many lines one meets in all its buckets: the original of many
-    copies meets most, and so joins them at once. After one pivot come ``CROWD``, then four times as many in each round, for buckets whose lines have
-    little in common. Sizes and bitmaps rule out most pairs before a text is fetched. Components are formed of those of the round before.
+    copies meets most, and so joins them at once. Pivots are four times as many in each round, for buckets whose lines have little in common. Sizes and bitmaps rule out most pairs before a text is fetched. Components are formed of those of the round before.
     """
     known: DataFrame | None = None
     rest = met.withColumn("root", F.col("id"))
@@ -187,7 +181,7 @@ def _joined(met: DataFrame, texts: DataFrame) -> DataFrame:
         rest = durable(left.join(spread.select("key"), "key", "left_semi").select(*rest.columns), "crowds")
         if rest.isEmpty():
             return known if known is not None else met.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
-        pivots = max(CROWD, 4 * pivots)
+        pivots *= 4
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
