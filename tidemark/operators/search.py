@@ -281,7 +281,11 @@ def lexical_topk(
     One pass decides both: strict rows sort first, so the relaxed ones survive only if the top ``k``
     holds no strict row. Columns ``id``, ``lexical_rank`` and ``rank``.
     """
-    matches = (cover_density_matches if cover_density else lexical_matches)(documents, query, forms)
+    return best_matches((cover_density_matches if cover_density else lexical_matches)(documents, query, forms), k)
+
+
+def best_matches(matches: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` rows of ``(id, strict, lexical_rank)``, relaxed ones only where none is strict."""
     order = [F.desc("strict"), F.desc("lexical_rank"), F.asc("id")]
     best = matches.orderBy(*order).limit(k)
     top = Window.orderBy(*order)  # over at most k rows
@@ -375,15 +379,19 @@ def hybrid_search(
     excerpt_chars: int = 600,
     cover_density: bool = False,
     terms: DataFrame | None = None,
+    lexical: DataFrame | None = None,
 ) -> DataFrame:
     """Fused ranking of the rows that satisfy ``condition``; lexical only without a vector.
 
-    With ``terms`` (a :func:`lexicon`) query words also match the words of the same stem.
+    With ``terms`` (a :func:`lexicon`) query words also match the words of the same stem. ``lexical`` gives the lexical arm ready made (``id``,
+    ``rank``), as a stored index finds it.
     """
     scope = documents if condition is None else documents.filter(condition)
-    query = parse_query(typed)
-    forms = word_forms(terms, query) if terms is not None else None
-    lexical = lexical_topk(scope, query, CANDIDATES, cover_density, forms).select("id", F.col("rank").alias("r_lex"))
+    if lexical is None:
+        query = parse_query(typed)
+        forms = word_forms(terms, query) if terms is not None else None
+        lexical = lexical_topk(scope, query, CANDIDATES, cover_density, forms)
+    lexical = lexical.select("id", F.col("rank").alias("r_lex"))
     nearest = nearest_topk(scope, query_vector, CANDIDATES).select("id", F.col("rank").alias("r_vec"))
 
     def share(rank: str) -> Column:

@@ -523,6 +523,7 @@ def statements() -> dict[str, str]:
         FROM ({pieces}) WHERE term NOT IN ({_list(search.STOP_WORDS)}) GROUP BY field, term""", words=_word_lists())
     for key, typed in (("lexical_search", SEARCH_TEXT), ("lexical_search_relaxed", RELAXED_TEXT), ("lexical_search_excluding", EXCLUDING_TEXT)):
         s[key] = _with("docs", body=f"SELECT id, {_r('lexical_rank')} AS lexical_rank, rank FROM lexical", **_lexical(typed))
+        s[key.replace("lexical", "index")] = s[key]
     s["hybrid_search"] = _hybrid()
     s["hybrid_search_filtered"] = _hybrid(scope="source IN ('src1', 'src7', 'src14') AND is_winner")
     s["hybrid_search_no_vector"] = _hybrid(with_vector=False)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tidemark.config import load_thresholds
 from tidemark.functions import manifests, tags, text, vectors
 from tidemark.operators import catalog, enrich, export, lifecycle, normalize, quality, search, trends
+from tidemark.operators import postings as stored
 from tidemark.session import durable, work_folder
 from tidemark.sources import captures, pages, payloads, tables
 from tidemark.sources.storage import Store
@@ -307,6 +308,45 @@ def lexical_search_stemmed(spark, folder):
     return search.lexical_topk(documents, parsed, search.CANDIDATES, forms=forms)
 
 
+@tables.view
+def _index(spark, folder):
+    """The postings of the corpus, stored once for each session and folder."""
+    index = stored.Index(spark, work_folder(spark, "index"))
+    index.extend(tables.documents(spark, folder))
+    return index
+
+
+def _indexed(spark, folder, typed, stemmed):
+    return stored.lexical_topk(_index(spark, folder), search.parse_query(typed), search.CANDIDATES, stemmed)
+
+
+@query
+def index_search(spark, folder):
+    return _indexed(spark, folder, SEARCH_TEXT, stemmed=False)
+
+
+@query
+def index_search_relaxed(spark, folder):
+    return _indexed(spark, folder, RELAXED_TEXT, stemmed=False)
+
+
+@query
+def index_search_excluding(spark, folder):
+    return _indexed(spark, folder, EXCLUDING_TEXT, stemmed=False)
+
+
+@query
+def index_search_stemmed(spark, folder):
+    return _indexed(spark, folder, SEARCH_TEXT, stemmed=True)
+
+
+@query
+def hybrid_search_stemmed(spark, folder):
+    documents = tables.documents(spark, folder)
+    lexical = _indexed(spark, folder, SEARCH_TEXT, stemmed=True)
+    return search.hybrid_search(documents, SEARCH_TEXT, search.vector_of(documents, QUERY_DOCUMENT), lexical=lexical)
+
+
 @query
 def hybrid_search(spark, folder):
     documents = tables.documents(spark, folder)
