@@ -1,6 +1,7 @@
 """The stored index against the search that reads the texts."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,9 +60,9 @@ def test_a_query_reads_the_buckets_of_its_words(both):
     _, index = both
     plan = postings.matches(index, search.parse_query("sea sky"))._jdf.queryExecution().executedPlan().toString()
     buckets = {index._bucket(porter_stem(w)) for w in ("sea", "sky")}
-    assert "PartitionFilters: [bucket" in plan and all(str(b) in plan for b in buckets)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan), plan
     files = index.postings(["sea", "sky"], True).select(F.input_file_name().alias("f")).distinct().collect()
-    assert {int(r.f.split("bucket=")[1].split("/")[0]) for r in files} <= buckets and "description" not in plan
+    assert {int(r.f.split("bucket=")[1].split("/")[0]) for r in files} <= buckets and plan.count("FileScan") == 1
 
 
 def test_each_word_is_stemmed_once(both):
