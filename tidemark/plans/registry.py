@@ -442,6 +442,7 @@ def gate_outcome(spark, folder):
 
 @query
 def constraint_checks(spark, folder):
+    """All rows are checked; four of the five sources are declared known, so that the rule for sources has violations to count."""
     projects = tables.projects(spark, folder)
     return quality.constraint_checks(projects, tables.hackathons(spark, folder), tables.SOURCES[:4])
 
