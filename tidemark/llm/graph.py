@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.session import durable
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of the frame has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     """Number of edges and an order-free checksum of them."""
     row = edges.agg(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import let
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, unused
 from tidemark.session import durable
 
 #: Characters (UTF-16 units) of a shingle.
@@ -212,7 +212,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Lines are compared trimmed and in lower case; lines with a Jaccard coefficient of at least ``ALIKE`` are linked, and of each component
     one line stays where it stands first: in the document with the smallest id that has it. Blank lines stay. A null text stays
     null, a document may be left with blank lines or an empty text. Rows without an id come last; rows that share an id are one
-    document, and equal rows are treated alike. An empty table stays empty. The columns ``_row``, ``_gone`` and ``_id`` are reserved.
+    document, and equal rows are treated alike. An empty table stays empty.
     """
     classes = durable(line_classes(docs, id_col, text_col), "line-classes")
     places = _with_lines(docs, id_col, text_col).select("doc_id", "row", "pos", *_digests(F.col("line")))
@@ -220,15 +220,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     first = F.min(F.struct("row", "pos")).over(Window.partitionBy("doc_id", "d1", "d2"))  # the rows of one document only
     stays = F.col("kept") & F.col("doc_id").eqNullSafe(F.col("owner")) & (F.struct("row", "pos") == F.col("first"))
     gone = told.withColumn("first", first).where(~stays)
-    gone = gone.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("_gone"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_gone")
+    id_name, row_name, gone_name = (unused(docs, name) for name in ("_id", "_row", "_gone"))
+    gone = gone.groupBy("doc_id", "row").agg(F.collect_set("pos").alias(gone_name))
+    gone = gone.select(F.col("doc_id").alias(id_name), F.col("row").alias(row_name), gone_name)
     text = F.col(f"`{text_col}`").cast("string")
     row = F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(text, F.lit("")))
-    marked = docs.join(gone, (row == F.col("_row")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left")
+    marked = docs.join(gone, (row == F.col(row_name)) & F.col(f"`{id_col}`").eqNullSafe(F.col(id_name)), "left")
 
     def without_gone(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_name))
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     shorter = let(F.split(text, "\n", -1), without_gone)
-    return marked.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(shorter)).drop("_row", "_gone", "_id")
+    whole = F.col(f"`{text_col}`")
+    return marked.withColumn(text_col, F.when(F.col(gone_name).isNull(), whole).otherwise(shorter)).drop(row_name, gone_name, id_name)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, unused
 from tidemark.session import durable
 
 HALF = 0xFFFFFFFF
@@ -186,13 +186,14 @@ def keep_one(
     """One row of each component of near-duplicates; all columns of ``docs`` are kept.
 
     It is the row with the smallest id, and of those that share it the one with the smallest digest of its text; a row without an id stays
-    only where none of its component has one. Rows alike in id and text count as one. The column ``_row`` is reserved.
+    only where none of its component has one. Rows alike in id and text count as one.
     """
     prints = durable(fingerprints(docs, id_col, text_col, size, digest=True), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     nodes = durable(prints.groupBy("fp").agg(F.min(first).alias("least")), "fingerprint-nodes")
     linked = components(links(nodes.select("fp"), distance, crowd)).withColumnRenamed("node", "fp")
     best = nodes.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    stay = best.select(F.concat_ws(":", "least.doc_id", "least.digest").alias("_row"))
+    name = unused(docs, "_row")
+    stay = best.select(F.concat_ws(":", "least.doc_id", "least.digest").alias(name))
     row = F.concat_ws(":", F.col(f"`{id_col}`").cast("long"), _digest(F.col(f"`{text_col}`").cast("binary")))
-    return docs.withColumn("_row", row).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    return docs.withColumn(name, row).join(stay, name, "left_semi").dropDuplicates([name]).drop(name)
