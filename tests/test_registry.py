@@ -8,7 +8,7 @@ from conftest import SMALL
 
 # At this scale these have no rows to compare: all documents have a vector, and the event of the
 # leaderboard or the excluded word may be absent.
-MAY_BE_EMPTY = {"embed_queue", "embed_batches", "leaderboard", "lexical_search_excluding"}
+MAY_BE_EMPTY = {"embed_queue", "embed_batches", "leaderboard", "lexical_search_excluding", "index_search_excluding"}
 
 
 @pytest.fixture(scope="module")
