@@ -69,3 +69,22 @@ def test_each_word_is_stemmed_once(both):
     _, index = both
     terms = [r.term for r in index.lexicon().collect()]
     assert sorted(terms) == sorted(set(WORDS) - set(search.STOP_WORDS))
+
+
+def test_postings_are_made_where_the_text_is_read(spark):
+    """One shuffle, of blocks: a row for each word of a part, not for each word of a document."""
+    documents = corpus(spark, 2, 60).repartition(1)
+    index = postings.Index(spark, work_folder(spark, "index"), buckets=4)
+    index.extend(documents)
+    blocks = index._stored().collect()
+    want = search.postings(documents).groupBy("id", "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("pos")).collect()
+    found = index.postings(sorted(set(WORDS)), False).collect()
+    assert len(blocks) < len(want) / 2
+    assert sorted((r.id, r.field, r.term, r.pos) for r in found) == sorted((r.id, r.field, r.term, r.pos) for r in want)
+
+
+def test_documents_without_words(spark):
+    index = postings.Index(spark, work_folder(spark, "index"))
+    index.extend(spark.createDataFrame([(1, None, "the of", "..."), (2, None, None, None)], SCHEMA))
+    index.extend(spark.createDataFrame([], SCHEMA))
+    assert postings.lexical_topk(index, search.parse_query("sea"), 5).count() == 0 and index.lexicon().count() == 0

@@ -1,23 +1,76 @@
 """Stored postings: a query reads the buckets of its own words and no text.
 
-A posting is a word of a field of a document with all its positions there. Postings are stored by bucket, a hash of the word's
+A posting is a word of a field of a document with all its positions there. A document's postings are made where its text is read, and those of
+one word from the documents of a part travel and are stored as one row of plain numbers, a block. Blocks are stored by bucket, a hash of the word's
 English stem, and sorted by stem within, so that a query for words or stems prunes buckets by partition and row groups by
-statistics. Words are stemmed once each, when an index is built: distinct words meet their stems in a join, and an index that is
-extended stems only words it has not seen.
+statistics. Words are stemmed when an index is built, each distinct word of a part once.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.stem import porter_stem, stems
+from tidemark.functions.stem import porter_stem
 from tidemark.operators import search
 
+#: Words of texts whose postings make one block of each word; a longer text is taken alone.
+PART = 1 << 20
+#: Words whose stems a task remembers.
+REMEMBERED = 1 << 18
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in parts of about ``PART`` words."""
+    for batch in batches:
+        ends = np.cumsum(sum(pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:]))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (int(ends[start - 1]) if start else 0) + PART)))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of a part of rows ``(id, words of each field)``: ids and fields of its postings, where each starts in ``pos``, all positions."""
+    stem = lru_cache(REMEMBERED)(porter_stem)
+    stop_words = pa.array(search.STOP_WORDS)
+    for part in _parts(batches):
+        words, rows, fields, places = [], [], [], []
+        for number, lists in enumerate(part.columns[1:]):
+            lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            words.append(lists.flatten())
+            rows.append(np.repeat(np.arange(len(lists)), lengths))
+            fields.append(np.full(len(rows[-1]), number, np.int8))
+            places.append(np.arange(len(rows[-1])) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+        terms = pa.concat_arrays(words).dictionary_encode()
+        code, row, field, place = terms.indices.to_numpy(zero_copy_only=False), *map(np.concatenate, (rows, fields, places))
+        wanted = ~pc.is_in(terms.dictionary, value_set=stop_words).to_numpy(zero_copy_only=False)
+        kept = np.flatnonzero(wanted[code])
+        key = (code[kept].astype(np.int64) * part.num_rows + row[kept]) * len(words) + field[kept]
+        order = np.argsort(key, kind="stable")  # positions ascend within a field of a row
+        kept, key = kept[order], key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))  # a posting's first occurrence
+        holder = kept[first]
+        begin = np.flatnonzero(np.diff(code[holder], prepend=-1))  # a word's first posting
+        offsets = np.append(begin, len(first))
+        starts = first - np.repeat(first[begin], np.diff(offsets))
+        found = terms.dictionary.take(pa.array(code[holder[begin]])).to_pylist()
+        per_posting = [part.column(0).take(pa.array(row[holder])), pa.array(field[holder]), pa.array(starts, pa.int32())]
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values) for values in per_posting]
+        lists.append(pa.ListArray.from_arrays(pa.array(np.append(first[begin], len(kept)), pa.int32()), pa.array(place[kept], pa.int32())))
+        columns = [pa.array(found, pa.string()), pa.array(map(stem, found), pa.string()), *lists]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "stem", "ids", "fields", "starts", "pos"])
+
 
 @dataclass(frozen=True)
 class Index:
@@ -31,21 +84,25 @@ class Index:
     def _bucket(self, stem: str) -> int:
         return zlib.crc32(stem.encode()) % self.buckets
 
-    def _schema(self) -> str:
-        return f"id {self.id_type}, field string, term string, stem string, pos array<int>, bucket int"
+    def _block(self) -> str:
+        return f"term string, stem string, ids array<{self.id_type}>, fields array<tinyint>, starts array<int>, pos array<int>"
 
     # --- writing ---
 
     def extend(self, documents: DataFrame) -> None:
-        """Add the postings of documents that the index doesn't hold yet. Null texts have no words; stop words are left out."""
-        words = search.postings(documents).groupBy("id", "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
-        terms = words.select("term").distinct()
+        """Add the postings of documents that the index doesn't hold yet. Null texts have no words; stop words are left out.
+
+        One shuffle deals the blocks by bucket, and a bucket too large for one task goes to several.
+        """
+        words = documents.select(F.col("id").cast(self.id_type), *[search.tokens(F.col(name)).alias(name) for name in search.FIELD_WEIGHTS])
+        bucket = F.pmod(F.crc32(F.col("stem").cast("binary")), F.lit(self.buckets)).cast("int")
+        rows = words.mapInArrow(_blocks, self._block()).withColumn("bucket", bucket)
+        load = uuid.uuid4().hex
+        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "stem", "term").write.partitionBy("bucket").parquet(f"{self.folder}/postings/load={load}")
+        terms = self._stored().filter(F.col("load") == load).select("term", "stem").distinct()
         known = self.lexicon()
         fresh = terms if known is None else terms.join(known.select("term"), "term", "left_anti")
-        fresh.withColumn("stem", stems("term")).write.mode("append").parquet(f"{self.folder}/lexicon")
-        bucket = F.pmod(F.crc32(F.col("stem").cast("binary")), F.lit(self.buckets)).cast("int").alias("bucket")
-        rows = words.join(self.lexicon(), "term").select("id", "field", "term", "stem", "pos", bucket)
-        rows.repartition("bucket").sortWithinPartitions("bucket", "stem", "term").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/postings")
+        fresh.write.mode("append").parquet(f"{self.folder}/lexicon")
 
     def lexicon(self) -> DataFrame | None:
         """``(term, stem)`` of all words seen, or ``None`` before the first."""
@@ -56,12 +113,24 @@ class Index:
 
     # --- reading ---
 
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(f"{self._block()}, load string, bucket int").parquet(f"{self.folder}/postings")
+
     def postings(self, words: list[str], stemmed: bool) -> DataFrame:
-        """The postings of some words or, ``stemmed``, of all words with their stems."""
+        """The postings of some words or, ``stemmed``, of all words with their stems: ``id, field, term, stem, pos``."""
         wanted = {porter_stem(w) for w in words}
-        rows = self.spark.read.schema(self._schema()).parquet(f"{self.folder}/postings")
+        rows = self._stored()
         rows = rows.filter(F.col("bucket").isin(sorted({self._bucket(s) for s in wanted})) & F.col("stem").isin(sorted(wanted)))
-        return rows if stemmed else rows.filter(F.col("term").isin(words))
+        rows = rows if stemmed else rows.filter(F.col("term").isin(words))
+        names = F.array(*map(F.lit, search.FIELD_WEIGHTS))
+
+        def posting(i: Column) -> Column:
+            start = F.get("starts", i)
+            end = F.coalesce(F.get("starts", i + 1), F.size("pos"))
+            return F.struct(F.get("ids", i).alias("id"), F.get(names, F.get("fields", i)).alias("field"), F.slice("pos", start + 1, end - start).alias("pos"))
+
+        each = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), posting)
+        return rows.select("term", "stem", F.inline(each)).select("id", "field", "term", "stem", "pos")
 
 
 def matches(index: Index, query: search.Query, stemmed: bool = True, scope: DataFrame | None = None) -> DataFrame:

@@ -312,7 +312,7 @@ def lexical_search_stemmed(spark, folder):
 def _index(spark, folder):
     """The postings of the corpus, stored once for each session and folder."""
     index = stored.Index(spark, work_folder(spark, "index"))
-    index.extend(tables.documents(spark, folder))
+    index.extend(tables.texts(spark, folder))
     return index
 
 

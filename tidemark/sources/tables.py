@@ -287,26 +287,29 @@ def model_tags(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of the searchable corpus: documents without what other tables tell of them, so that reading them needs no join."""
+    lines = F.split("text", "\n")
+    return dealt(read(spark, folder, "documents")).select(
+        F.col("doc_id").alias("id"),
+        "source",
+        "lang",
+        F.try_element_at(lines, F.lit(1)).alias("title"),
+        F.try_element_at(lines, F.lit(2)).alias("short_description"),
+        F.col("text").alias("description"),
+    )
+
+
 @view
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Searchable corpus: documents with their vector (if any) and quality label."""
-    docs = dealt(read(spark, folder, "documents"))
     vectors = read(spark, folder, "embeddings").select("vec_id", "embedding")
     labels = read(spark, folder, "labels").select(F.col("doc_id").alias("label_doc"), "quality")
-    lines = F.split("text", "\n")
+    docs = texts(spark, folder)
     return (
-        docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left")
-        .join(labels, F.col("doc_id") == F.col("label_doc"), "left")
-        .select(
-            F.col("doc_id").alias("id"),
-            "source",
-            "lang",
-            F.try_element_at(lines, F.lit(1)).alias("title"),
-            F.try_element_at(lines, F.lit(2)).alias("short_description"),
-            F.col("text").alias("description"),
-            "embedding",
-            (F.coalesce("quality", F.lit(0)) == 1).alias("is_winner"),
-        )
+        docs.join(vectors, F.col("id") == F.col("vec_id"), "left")
+        .join(labels, F.col("id") == F.col("label_doc"), "left")
+        .select(*docs.columns, "embedding", (F.coalesce("quality", F.lit(0)) == 1).alias("is_winner"))
     )
 
 
