@@ -197,3 +197,19 @@ def test_limits_of_the_queues(docs):
     projects = docs.withColumn("source", F.lit("a"))
     assert catalog.extraction_batch(projects, limit=0).count() == 5
     assert [r.id for r in catalog.extraction_batch(projects, limit=2).collect()] == [1, 2]
+
+
+def test_hits_are_selected_before_documents_are_joined(spark):
+    """Of documents that are joined with other tables only the rows found are shuffled with their text."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        documents = tables.documents(spark, SMALL)
+        found = search.hybrid_search(documents, "thatin orre", None, limit=5)
+        ids = sorted(r.id for r in found.collect())
+        optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(ids) == 5
+    reads = [line for line in optimized.splitlines() if "Filter" in line and " IN (" in line]
+    assert reads and all("doc_id#" in line or "vec_id#" in line or "label_doc#" in line for line in reads), optimized

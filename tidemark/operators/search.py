@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tidemark import model
 from tidemark.functions import let, text, vectors
 from tidemark.functions.stem import porter_stem, stems
+from tidemark.session import small_frame
 
 # Fusion constant, candidates per arm, field weights (title, short, long text), and
 # the English words that carry no meaning in a query.
@@ -401,8 +402,9 @@ def hybrid_search(
         "id", (share("r_vec") + share("r_lex")).alias("score")
     )
     top = fused.orderBy(F.desc("score"), F.asc("id")).limit(limit)
-    # At most ``limit`` rows on this side: the corpus is scanned for them without a shuffle.
-    hits = documents.join(F.broadcast(top), "id")
+    # At most ``limit`` rows reach the driver. Their ids select the rows below the joins that ``documents`` may be made of, so no text is shuffled for them.
+    best = top.collect()
+    hits = documents.filter(F.col("id").isin([row.id for row in best])).join(F.broadcast(small_frame(documents.sparkSession, best, top.schema)), "id")
     summary = text.excerpt(F.col("description"), F.col("short_description"), excerpt_chars)
     shown = [c for c in model.HIT_COLUMNS if c in documents.columns and "description" not in c]
     return hits.select(
