@@ -108,3 +108,23 @@ def test_texts_by_join(spark, monkeypatch):
     monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
     docs = spark.createDataFrame([(1, "some longer line of text here", "o", 1), (2, "some longer line of text here!", "o", 1)], SCHEMA)
     assert {r.doc_id: r.text for r in lines.dedup(docs).collect()} == {1: "some longer line of text here", 2: ""}
+
+
+def test_few_rounds_settle_a_bucket_of_unlike_lines(spark, monkeypatch):
+    """Rows of the first round hold no bitmaps, and the second has many pivots: lines that share a bucket and little else need few rounds."""
+    rounds, real = [], lines.durable
+
+    def counted(frame, name):
+        rounds.append((name, len(frame.columns)))
+        return real(frame, name)
+
+    monkeypatch.setattr(lines, "durable", counted)
+    monkeypatch.setattr(lines, "BANDS", [(0,)])
+    rng = random.Random(3)
+    start = "the same beginning of each line "
+    rows = [(i, "".join([start, *rng.choices("abcdefgh", k=20)])) for i in range(60)] + [(100, rows_ := start * 2), (101, rows_ + "!")]
+    docs = spark.createDataFrame([(*r, "o", 1) for r in rows], SCHEMA)
+    found = {r.doc_id: r.text for r in lines.dedup(docs).collect()}
+    assert [i for i, text in found.items() if not text] == [101]
+    assert sum(name == "ranked-lines" for name, _ in rounds) <= 1
+    assert dict(rounds)["line-stars"] == 4

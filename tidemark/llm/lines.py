@@ -29,6 +29,8 @@ BLOCK = 8
 WORDS = 16
 #: At most so many lines to verify are sought by a broadcast of their digests (8 bytes each).
 BROADCAST_LINES = 2_000_000
+#: Pivots of a bucket in the second round.
+PIVOTS = 64
 #: Only lines with more bytes than this are looked at for repeats within.
 LONG_LINE = 4096
 
@@ -131,10 +133,15 @@ def _may_be_alike() -> Column:
 
 
 def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose exact Jaccard coefficient is at least ``ALIKE``.
+    """The pairs (a, b) of ``pairs``, a stored table, whose exact Jaccard coefficient is at least ``ALIKE``.
 
-    Few lines stand on side a, often many times: their texts travel once and become sets where the pairs meet them.
+    Texts of other lines stay where they are: the digests wanted are broadcast if they are proven few, else joined. Few lines
+    stand on side a, often many times: their texts travel once and become sets where the pairs meet them.
     """
+    wanted = pairs.select(F.col("a.d1").alias("d1")).union(pairs.select(F.col("b.d1"))).distinct()
+    if wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        wanted = F.broadcast(wanted)
+    texts = texts.join(wanted, "d1", "left_semi")
     lines = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("set").alias("set_b"))
     sides = texts.withColumnRenamed("id", "a").join(pairs.select("a").distinct(), "a", "left_semi").repartition(F.col("a"))
     sides = sides.select("a", F.coalesce("set", _shingles(F.col("line"))).alias("set_a"))
@@ -144,44 +151,47 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(F.col("n") >= ALIKE * (F.col("n_a") + F.col("n_b") - F.col("n"))).select("a", "b")
 
 
-def _joined(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(node, root)``: components of the lines ``(key, id, degree, n, w0, ...)`` over the links between lines alike in one bucket. Exact.
+def _crowds(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows, with their ``root``, of the buckets whose lines aren't all of one component."""
+    told = rows.join(known.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    spread = told.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return told.join(spread.select("key"), "key", "left_semi")
+
+
+def _joined(met: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, root)``: components of the lines ``(key, id, degree)`` over the links between lines alike in one bucket. Exact.
 
     In each round the lines of each bucket with the highest degree, the pivots, are compared with all others of the bucket that are not known to be in their
     component, and leave the bucket; then components are formed anew, and buckets within one component are done with. So no
     two lines stay uncompared unless links join them anyway, and a crowd of lines alike costs one
     comparison each, not one for each pair. The degree is how many lines one meets in all its buckets: the original of many
-    copies meets most, and so joins them at once. Pivots are four times as many in each round, for buckets whose lines have little in common. Sizes and bitmaps rule out most pairs before a text is fetched. Components are formed of those of the round before.
+    copies meets most, and so joins them at once. The first round has one pivot a bucket and settles most of them, so its rows are digests only. What
+    is left carries its bitmaps and has ``PIVOTS`` pivots, then eight times as many in each round, for buckets whose lines have little in common.
+    Sizes and bitmaps rule out most pairs before a text is fetched.
     """
-    known: DataFrame | None = None
-    rest = met.withColumn("root", F.col("id"))
-    pivots = 1
-    while True:
+    rows = met.repartition("key")  # one shuffle serves both sides of the join
+    star = rows.groupBy("key").agg(F.min_by("id", F.struct(-F.col("degree"), F.col("id"))).alias("a"))
+    rest = durable(rows.join(star.hint("shuffle_hash"), "key").where("id <> a").select("key", "id", "degree", "a"), "line-stars")
+    pairs = rest.select("a", F.col("id").alias("b")).distinct().alias("p")
+    pairs = pairs.join(prints.alias("a"), F.col("p.a") == F.col("a.id")).join(prints.alias("b"), F.col("p.b") == F.col("b.id"))
+    pairs = durable(pairs.where(_may_be_alike()).select("p.a", "p.b"), "line-pairs")
+    known = durable(components(_alike(pairs, texts)), "line-components")
+    rest = durable(_crowds(rest.drop("a"), known).join(prints, "id"), "crowds")
+    columns, pivots = rest.columns, PIVOTS
+    while not rest.isEmpty():
         order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id"))
-        chosen = durable(rest.withColumn("place", order).where(F.col("place") <= pivots).drop("place"), "pivots")
-        against = chosen.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & _may_be_alike())
-        pairs = against.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.root").alias("root_a"), F.col("b.root").alias("root_b"))
-        pairs = durable(pairs.dropDuplicates(["a", "b"]), "line-pairs")
-        found = _alike(pairs.select("a", "b"), texts).join(pairs, ["a", "b"]).select("root_a", "root_b").distinct()
-        found = durable(found, "line-links")
-        fresh = not found.isEmpty()
-        if fresh:
-            merged = components(found)
-            if known is None:
-                known = durable(merged, "line-components")
-            else:  # nodes of this round are the roots of the last one
-                after = merged.select(F.col("node").alias("root"), F.col("root").alias("new"))
-                told = known.join(after, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-                lone = merged.join(known.select("node"), "node", "left_anti")
-                known = durable(told.union(lone), "line-components")
-        left = rest.join(chosen.select("key", "id"), ["key", "id"], "left_anti")
-        if fresh:
-            left = left.drop("root").join(known.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        spread = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        rest = durable(left.join(spread.select("key"), "key", "left_semi").select(*rest.columns), "crowds")
-        if rest.isEmpty():
-            return known if known is not None else met.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
-        pivots *= 4
+        ranked = durable(rest.withColumn("place", order), "ranked-lines")
+        chosen, others = ranked.where(F.col("place") <= pivots).alias("a"), ranked.alias("b")
+        meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.place") < F.col("b.place")) & (F.col("a.root") != F.col("b.root"))
+        pairs = chosen.join(others, meet & _may_be_alike()).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        pairs = durable(pairs.distinct(), "line-pairs")
+        links = durable(_alike(pairs, texts), "line-links")
+        left = ranked.where(F.col("place") > pivots).drop("place")
+        if not links.isEmpty():
+            known = durable(components(links.union(known)), "line-components")
+        rest = durable(_crowds(left.drop("root"), known).select(columns), "crowds")
+        pivots *= 8
+    return known
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,9 +203,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = durable(_buckets(_signatures(lines)), "line-buckets")
     texts = durable(_texts_of(buckets, lines), "line-texts")
     degrees = buckets.groupBy("d1").agg(F.sum("n").alias("degree"))
-    prints = durable(_prints(texts), "line-prints").withColumn("d1", F.col("id.d1"))
-    met = buckets.join(degrees, "d1").select("key", "d1", "degree").join(prints, "d1").drop("d1")
-    linked = _joined(durable(met, "line-met"), texts).select("node.d1", "node.d2", "root")
+    prints = durable(_prints(texts), "line-prints")
+    met = buckets.select("key", "d1").join(degrees, "d1").join(prints.select("id", F.col("id.d1").alias("d1")), "d1").drop("d1")
+    linked = _joined(met, prints, texts).select("node.d1", "node.d2", "root")
     stated = lines.select("doc_id", *_digests(F.col("line"))).groupBy("d1", "d2")
     stated = stated.agg(F.min("doc_id").alias("owner"), F.count("*").alias("times")).join(linked, ["d1", "d2"], "left")
     stated = durable(stated.where("times > 1 OR root IS NOT NULL"), "repeated-lines")

@@ -47,15 +47,15 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Each document with the lines that remain of it."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", F.col("text").alias("whole"))
-    found = lines.dedup(docs)
 
     def count(text):
         return F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1))
 
-    emptied = (F.col("text") == "") & (F.col("whole") != "")
-    kept = F.when(emptied, 0).otherwise(count(F.col("text")))
-    return found.select("doc_id", "text", count(F.col("whole")).alias("n_lines"), kept.alias("n_kept"))
+    text = F.col("text")
+    docs = table(spark, folder, "documents").select("doc_id", "text", count(text).alias("n_lines"), (text != "").alias("full"))
+    found = lines.dedup(docs)
+    emptied = (text == "") & F.col("full")
+    return found.select("doc_id", "text", "n_lines", F.when(emptied, 0).otherwise(count(text)).alias("n_kept"))
 
 
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
