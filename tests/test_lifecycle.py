@@ -164,3 +164,30 @@ def test_winners_only_view_has_no_contrast(spark):
     tested = trends.stack_ztest(trends.stack_lift(trends.stack_contrast(rows, winners_only=True))).first()
     assert tested.lift == pytest.approx(1.0) and tested.z is None and tested.significant is None
     assert trends.theme_detail(rows, "none").first().win_rate is None
+
+
+def test_only_rows_whose_key_repeats_travel_whole(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 3), (1, "b", 2), (2, "c", 1), (None, "d", 2), (None, "e", 1), (3, None, None)], "id int, v string, o int"
+    )
+    found = lifecycle.first_of_few(rows, ["id"], ["o"])
+    want = lifecycle.first_wins(rows, ["id"], ["o"])
+    assert found.columns == want.columns
+    assert sorted(found.collect(), key=str) == sorted(want.collect(), key=str)
+    single = lifecycle.first_of_few(rows.filter("id > 1"), ["id"], ["o"])
+    assert sorted(r.v or "" for r in single.collect()) == ["", "c"]
+    plan = single._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and plan.count("Aggregate") == 1  # that of the repeated rows
+
+
+def test_import_and_staging_share_one_stored_table(spark):
+    from conftest import SMALL
+    from tidemark.sources import tables
+
+    kept = tables.stored_projects(spark, SMALL)
+    assert kept is tables.stored_projects(spark, SMALL)
+    for stored, view in ((tables.staged(kept), tables.staging(spark, SMALL)), (tables.imported(kept, spark, SMALL), tables.serving(spark, SMALL))):
+        assert stored.columns == view.columns
+        assert "lineitem" not in stored._jdf.queryExecution().optimizedPlan().toString()
+        assert stored.select("id", "title", "description").exceptAll(view.select("id", "title", "description")).isEmpty()
+        assert stored.count() == view.count()

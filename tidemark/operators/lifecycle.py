@@ -7,10 +7,13 @@ to find the rows to insert.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import model
+from tidemark.session import durable
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -24,6 +27,15 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(first.alias("first")).select(*keys, "first.*")
 
 
+def first_of_few(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """As :func:`first_wins`, for stored rows of which few share a key: only the keys of all rows travel, and those rows whole whose key repeats."""
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in keys])
+    repeated = durable(repeated, "repeated-keys")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    chosen = first_wins(rows.join(repeated, same, "left_semi"), keys, order)
+    return rows.join(repeated, same, "left_anti").select(*chosen.columns).unionByName(chosen)
+
+
 def collisions(rows: DataFrame, keys: list[str]) -> DataFrame:
     """How many rows :func:`first_wins` drops."""
     per_key = rows.groupBy(*keys).agg(F.count("*").alias("n"))

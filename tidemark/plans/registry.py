@@ -538,8 +538,9 @@ def promote_events(spark, folder):
     events = tables.hackathons(spark, folder).withColumn("year", F.year("scraped_at"))
     now = F.lit("2002-06-01 00:00:00").cast("timestamp")
     known = events.filter(F.col("year") <= tables.LAST_IMPORTED_YEAR)
-    gate.import_run(store, tables.serving(spark, folder), tables.IMPORT_RUN, ["order_key"], known, now)
-    runs = tables.staging(spark, folder).filter(F.col("scrape_run_id") != tables.IMPORT_RUN)
+    projects = tables.stored_projects(spark, folder)
+    gate.import_run(store, tables.imported(projects, spark, folder), tables.IMPORT_RUN, ["order_key"], known, now)
+    runs = tables.staged(projects).filter(F.col("scrape_run_id") != tables.IMPORT_RUN)
     store.stage(runs.select(*gate.model.STAGING.names))
     seen = events.filter(F.col("year") >= tables.FIRST_STAGED_YEAR).select(
         "source", "slug", F.concat("name", F.lit(" final")).alias("name"),
@@ -917,8 +918,8 @@ def redact_pages(spark, folder):
 
 def _deliveries(spark, folder, work):
     """Staged runs, dealt over two folders as they arrive one after the other, with the tasks that the rows already have."""
-    rows = tables.staging(spark, folder).filter(F.col("scrape_run_id") != tables.IMPORT_RUN)
-    rows = durable(rows.select(*gate.model.STAGING.names), "staged-runs")
+    rows = tables.staged(tables.stored_projects(spark, folder)).filter(F.col("scrape_run_id") != tables.IMPORT_RUN)
+    rows = rows.select(*gate.model.STAGING.names)
     half = F.pmod(F.xxhash64("id"), F.lit(2))
 
     def arrive(part: int) -> None:
@@ -931,7 +932,7 @@ def _deliveries(spark, folder, work):
 def stream_gate(spark, folder):
     work = work_folder(spark, "gate")
     store = Store(spark, f"{work}/store")
-    gate.import_run(store, tables.serving(spark, folder), tables.IMPORT_RUN, ["order_key"])
+    gate.import_run(store, tables.imported(tables.stored_projects(spark, folder), spark, folder), tables.IMPORT_RUN, ["order_key"])
     rows, arrive = _deliveries(spark, folder, work)
     for run in rows.groupBy("scrape_run_id", "source").agg(F.countDistinct("id").alias("n")).collect():  # one row for each run
         gate.finish_run(store, run.scrape_run_id, run.source, run.n)

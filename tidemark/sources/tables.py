@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import text
 from tidemark.functions.tags import Theme, Vocabulary
-from tidemark.session import dealt
+from tidemark.session import dealt, durable
 
 # The closed list of sources of this catalogue and the run that collects each of them.
 SOURCE_RUNS = {"automobile": 2, "building": 3, "furniture": 4, "household": 5, "machinery": 6}
@@ -203,19 +203,34 @@ def hackathons(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@view
+def stored_projects(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus as a table in the shared folder, for jobs that import and stage it: its joins are made once."""
+    return durable(projects(spark, folder), "projects")
+
+
 @view
 def serving(spark: SparkSession, folder: str) -> DataFrame:
     """The promoted table: the imported years, with a vector where one is known for the key."""
+    return imported(projects(spark, folder), spark, folder)
+
+
+def imported(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """The promoted table, of the given projects."""
     vectors = read(spark, folder, "embeddings").select(
         F.col("vec_id").alias("order_key"), "embedding"
     )
-    imported = projects(spark, folder).filter(F.col("order_year") <= LAST_IMPORTED_YEAR)
-    return imported.join(vectors, "order_key", "left")
+    return rows.filter(F.col("order_year") <= LAST_IMPORTED_YEAR).join(vectors, "order_key", "left")
 
 
 @view
 def staging(spark: SparkSession, folder: str) -> DataFrame:
-    """Staged rows of all runs: the import, one collection per source, and a broken collection.
+    """Staged rows of all runs: the import, one collection per source, and a broken collection."""
+    return staged(projects(spark, folder))
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """Staged rows of all runs, of the given projects: the import, one collection per source, and a broken collection.
 
     Collections start in the last imported year, so they update some rows and insert others; texts
     of high-priority rows change.
@@ -226,8 +241,7 @@ def staging(spark: SparkSession, folder: str) -> DataFrame:
     runs += [F.when(late & (F.col("source") == SOURCES[0]), F.lit(BROKEN_RUN).cast("long"))]
     run = F.col("scrape_run_id")
     return (
-        projects(spark, folder)
-        .withColumn("scrape_run_id", F.explode(F.array_compact(F.array(*runs))))
+        rows.withColumn("scrape_run_id", F.explode(F.array_compact(F.array(*runs))))
         .withColumn(
             "title",
             F.when((run != IMPORT_RUN) & (F.col("raw_placement") == "2-HIGH"), F.concat("title", F.lit(" v2")))

@@ -9,12 +9,13 @@ from pyspark.sql import types as T
 from tidemark import model
 from tidemark.config import Thresholds
 from tidemark.operators import lifecycle, quality
+from tidemark.session import durable
 from tidemark.sources.storage import Store
 
 
 def import_run(store: Store, rows: DataFrame, run_id: int, order: list[str], events: DataFrame | None = None, now: Column | None = None) -> None:
     """First load: stage and promote all sources at once, without a baseline to compare with."""
-    unique = lifecycle.first_wins(rows, ["id"], order)
+    unique = lifecycle.first_of_few(rows, ["id"], order)
     store.stage(unique.withColumn("scrape_run_id", F.lit(run_id).cast("long")))
     if events is not None:
         store.stage_events(events.withColumn("scrape_run_id", F.lit(run_id).cast("long")))
@@ -125,10 +126,11 @@ def deliver(store: Store, batch: DataFrame, delivery: int) -> None:
     fresh = batch.join(closed, "scrape_run_id", "left_anti")
     whole = F.xxhash64(*[F.to_json(F.struct(c)) for c in sorted(fresh.columns)])
     order = ["scraped_at", "source_url", "title", "_digest"]
-    unique = lifecycle.first_wins(fresh.withColumn("_digest", whole), ["scrape_run_id", "id"], order)
+    unique = lifecycle.first_of_few(fresh.withColumn("_digest", whole), ["scrape_run_id", "id"], order)
     earlier = store._read("staging", T.StructType([*model.STAGING.fields, T.StructField("delivery", T.LongType())]))
     known = earlier.filter(F.col("scrape_run_id").isin(runs) & (F.col("delivery") != delivery)).select("scrape_run_id", "id")
-    added = unique.join(known, ["scrape_run_id", "id"], "left_anti")
+    again = durable(known.join(fresh.select("scrape_run_id", "id"), ["scrape_run_id", "id"], "left_semi"), "known-ids")  # few: whole rows don't travel for them
+    added = unique.join(again, ["scrape_run_id", "id"], "left_anti")
     keys = ["scrape_run_id", "source"]  # a delivery without new ids is on record, too
     new = added.groupBy(*keys).agg(F.count("*").alias("n"))
     brought = fresh.select(*keys).distinct().join(new, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
