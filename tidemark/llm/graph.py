@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.session import durable
@@ -16,12 +16,12 @@ def unused(frame: DataFrame, name: str) -> str:
     return name
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    """Number of edges and an order-free checksum of them."""
-    row = edges.agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
-    ).first()
-    return row.n, row.s
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a stored table, their number and an order-free checksum, both observed by the write itself."""
+    seen = Observation()
+    checksum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
+    table = durable(edges.observe(seen, F.count(F.lit(1)).alias("n"), checksum), "edges")
+    return table, (seen.get["n"], seen.get["s"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -52,9 +52,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = (F.col(f"`{c}`") for c in links.columns)
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges, last = durable(edges, "edges"), None
-    while (now := _fingerprint(edges)) != last:
+    (edges, now), last = _stored(edges), None
+    while now != last:
         last = now
-        edges = durable(_small_star(_large_star(edges)), "edges")
+        edges, now = _stored(_small_star(_large_star(edges)))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
