@@ -128,3 +128,27 @@ def test_few_rounds_settle_a_bucket_of_unlike_lines(spark, monkeypatch):
     assert [i for i, text in found.items() if not text] == [101]
     assert sum(name == "ranked-lines" for name, _ in rounds) <= 1
     assert dict(rounds)["line-stars"] == 4
+
+
+def test_pairs_of_a_crowd_are_made_once_and_bounded_by_exact_sizes(spark, monkeypatch):
+    """Lines that share many buckets and are not quite alike make each pair in one bucket only, and repeats within a line don't loosen the bound."""
+    made, real = [], lines.durable
+
+    def counted(frame, name):
+        found = real(frame, name)
+        if name == "line-pairs":
+            made.append([frame._jdf.queryExecution().toString().count("array_intersect") > 0, found.count(), found.distinct().count()])
+        return found
+
+    monkeypatch.setattr(lines, "durable", counted)
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(1000)]
+    start = rng.choices(words, k=40)
+    crowd = [" ".join(rng.choices(words, k=11) + start + ["la"] * 150) for _ in range(60)]
+    docs = spark.createDataFrame([(i, line, "o", 1) for i, line in enumerate(crowd)], SCHEMA)
+    owner, kept, _ = brute(list(enumerate(crowd)))
+    found = {r.doc_id: r.text for r in lines.dedup(docs).collect()}
+    assert {x for x in found.values() if x} == kept
+    later = made[1:]
+    assert later and all(once and rows == different for once, rows, different in later)
+    assert sum(rows for _, rows, _ in later) < 60 * 59 // 8

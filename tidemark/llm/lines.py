@@ -27,6 +27,8 @@ BANDS = [
 BLOCK = 8
 #: Longs of the bitmap that bounds how much two lines have in common.
 WORDS = 16
+#: Those of the lines left after the first round.
+FINE_WORDS = 32
 #: At most so many lines to verify are sought by a broadcast of their digests (8 bytes each).
 BROADCAST_LINES = 2_000_000
 #: Pivots of a bucket in the second round.
@@ -66,6 +68,16 @@ def _shingles(line: Column) -> Column:
     return let(F.encode(line, "UTF-16BE"), of)  # encoded once, not for each shingle
 
 
+def _starts() -> Column:
+    """Where the blocks of ``BLOCK`` shingles of a row start, the last shingle of which is ``last``: one generated row each."""
+    return F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(BLOCK)))
+
+
+def _places() -> list[Column]:
+    """The shingles of a block; the last one again, where there are fewer."""
+    return [F.least(F.col("at") + k, F.col("last")) for k in range(BLOCK)]
+
+
 def _signatures(lines: DataFrame) -> DataFrame:
     """``(d1, m0, m1, ...)`` for each different line.
 
@@ -75,10 +87,8 @@ def _signatures(lines: DataFrame) -> DataFrame:
     chosen = random.Random(8)
     turns = [chosen.getrandbits(32) - (1 << 31) for _ in range(POINTS)]
     units = lines.select(F.xxhash64("line").alias("d1"), F.encode("line", "UTF-16BE").alias("units"))
-    last = _last_start(F.col("units"))
-    blocks = units.select("d1", "units", last.alias("last"), F.explode(F.sequence(F.lit(0), last, F.lit(BLOCK))).alias("at"))
-    places = [F.least(F.col("at") + k, F.col("last")) for k in range(BLOCK)]  # the last shingle again, where there are fewer
-    hashed = blocks.select("d1", *[F.hash(_shingle(F.col("units"), place)).alias(f"h{k}") for k, place in enumerate(places)])
+    blocks = units.withColumn("last", _last_start(F.col("units"))).withColumn("at", _starts())
+    hashed = blocks.select("d1", *[F.hash(_shingle(F.col("units"), place)).alias(f"h{k}") for k, place in enumerate(_places())])
 
     def least(turn: int) -> Column:
         return F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(turn).cast("int")) for k in range(BLOCK)]))
@@ -103,7 +113,8 @@ def _texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     first = durable(wanted.select("d1").distinct(), "digests")
     if first.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
         first = F.broadcast(first)
-    told = lines.select(*_digests(F.col("line")), "line").join(first, "d1", "left_semi").dropDuplicates(["d1", "d2"])
+    d1, d2 = _digests(F.col("line"))
+    told = lines.select(d1, "line").join(first, "d1", "left_semi").select("d1", d2, "line").dropDuplicates(["d1", "d2"])
     told = told.withColumn("set", F.when(F.octet_length("line") > LONG_LINE, _shingles(F.col("line"))))
     repeats = F.col("set").isNotNull() & (F.size("set") * 8 <= F.octet_length("line"))
     return told.select(
@@ -111,35 +122,47 @@ def _texts_of(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def _prints(texts: DataFrame) -> DataFrame:
-    """``(id, n, w0, w1, ...)``: at least the number of the line's shingles, and a bitmap in which each of them sets a bit."""
-    units = texts.where("set IS NULL").select("id", F.encode("line", "UTF-16BE").alias("units"))
-    cut = units.select("id", "units", F.explode(F.sequence(F.lit(0), _last_start(F.col("units")))).alias("at"))
-    hashed = cut.select("id", F.xxhash64(_shingle(F.col("units"), F.col("at"))).alias("h"))
-    hashed = hashed.union(texts.where("set IS NOT NULL").select("id", F.explode("set")))
-    split = hashed.select("id", F.pmod(F.shiftrightunsigned("h", 6), F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit"))
-    words = [F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)]
-    return split.groupBy("id").agg(F.count("*").alias("n"), *words)
+def _prints(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """``(id, n, w0, w1, ...)``: at least the number of the line's shingles, and a bitmap in which each of them sets a bit.
 
+    Where the set of a line is given, ``n`` is exact; else shingles that repeat count again.
+    As for signatures, a generated row holds ``BLOCK`` shingles, so none of them is a row of its own.
+    """
+    last = F.when(F.col("set").isNotNull(), F.size("set") - 1).otherwise(_last_start(F.encode("line", "UTF-16BE")))
+    blocks = texts.select("id", "set", F.encode("line", "UTF-16BE").alias("units"), last.alias("last")).withColumn("at", _starts())
+    hashes = [F.coalesce(F.get("set", place), F.xxhash64(_shingle(F.col("units"), place))).alias(f"h{k}") for k, place in enumerate(_places())]
+    split = blocks.select("id", "last", *hashes).select(
+        "id", "last",
+        *[F.shiftrightunsigned(f"h{k}", 6).bitwiseAND(F.lit(words - 1)).cast("int").alias(f"word{k}") for k in range(BLOCK)],
+        *[F.expr(f"shiftleft(1L, CAST(h{k} & 63 AS INT))").alias(f"bit{k}") for k in range(BLOCK)],
+    )
 
-def _may_be_alike() -> Column:
-    """Whether the bitmaps of lines a and b allow a coefficient of ``ALIKE``: a bit that only one line has set is a shingle that the other lacks."""
-    def lacking(x: str, y: str) -> Column:
-        return reduce(lambda s, i: s + F.bit_count(F.col(f"{x}.w{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.w{i}")))), range(WORDS), F.lit(0))
+    def word(i: int) -> Column:
+        bits = [F.when(F.col(f"word{k}") == i, F.col(f"bit{k}")).otherwise(F.lit(0).cast("long")) for k in range(BLOCK)]
+        return F.bit_or(reduce(Column.bitwiseOR, bits)).alias(f"w{i}")
 
-    only_a, only_b = lacking("a", "b"), lacking("b", "a")
-    n_a, n_b = F.col("a.n"), F.col("b.n")
-    return (n_a - only_a >= ALIKE * (n_a + only_b)) & (n_b - only_b >= ALIKE * (n_b + only_a))
+    return split.groupBy("id").agg((F.max("last") + 1).cast("long").alias("n"), *map(word, range(words)))
+
+
+def _may_be_alike(words: int = WORDS) -> Column:
+    """Whether sizes and bitmaps allow lines a and b a coefficient of ``ALIKE``.
+
+    A bit that only one line has set is a shingle that the other lacks: what both have in common is at most half of the sum of their sizes less these. It stays
+    a bound where sizes are too great, since the sizes raise it by more than they raise what is needed.
+    """
+    n = F.col("a.n") + F.col("b.n")
+    lacking = reduce(lambda s, i: s + F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))), range(words), F.lit(0))
+    return (n - lacking) * (1 + ALIKE) >= 2 * ALIKE * n - 1e-6
 
 
 def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``pairs``, a stored table, whose exact Jaccard coefficient is at least ``ALIKE``.
 
-    Texts of other lines stay where they are: the digests wanted are broadcast if they are proven few, else joined. Few lines
+    Texts of other lines stay where they are: the digests wanted are broadcast if they are proven few (two of a pair), else joined. Few lines
     stand on side a, often many times: their texts travel once and become sets where the pairs meet them.
     """
     wanted = pairs.select(F.col("a.d1").alias("d1")).union(pairs.select(F.col("b.d1"))).distinct()
-    if wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+    if pairs.limit(BROADCAST_LINES // 2 + 1).count() <= BROADCAST_LINES // 2:
         wanted = F.broadcast(wanted)
     texts = texts.join(wanted, "d1", "left_semi")
     lines = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("set").alias("set_b"))
@@ -166,7 +189,8 @@ def _joined(met: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
     two lines stay uncompared unless links join them anyway, and a crowd of lines alike costs one
     comparison each, not one for each pair. The degree is how many lines one meets in all its buckets: the original of many
     copies meets most, and so joins them at once. The first round has one pivot a bucket and settles most of them, so its rows are digests only. What
-    is left carries its bitmaps and has ``PIVOTS`` pivots, then eight times as many in each round, for buckets whose lines have little in common.
+    is left has ``PIVOTS`` pivots, then eight times as many in each round, for buckets whose lines have little in common, and carries
+    exact sizes, finer bitmaps and all its buckets: of those that two lines share only the one with the least key compares them, so that each pair is made once.
     Sizes and bitmaps rule out most pairs before a text is fetched.
     """
     rows = met.repartition("key")  # one shuffle serves both sides of the join
@@ -176,17 +200,23 @@ def _joined(met: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = pairs.join(prints.alias("a"), F.col("p.a") == F.col("a.id")).join(prints.alias("b"), F.col("p.b") == F.col("b.id"))
     pairs = durable(pairs.where(_may_be_alike()).select("p.a", "p.b"), "line-pairs")
     known = durable(components(_alike(pairs, texts)), "line-components")
-    rest = durable(_crowds(rest.drop("a"), known).join(prints, "id"), "crowds")
-    columns, pivots = rest.columns, PIVOTS
+    rest = durable(_crowds(rest.drop("a"), known), "crowds")
+    columns, pivots, told = rest.columns, PIVOTS, None
+    keys = rest.groupBy("id").agg(F.collect_list("key").alias("keys"))
     while not rest.isEmpty():
+        if told is None:
+            sets = texts.join(keys.select("id"), "id", "left_semi").select("id", "line", F.coalesce("set", _shingles(F.col("line"))).alias("set"))
+            told = durable(keys.join(_prints(sets, FINE_WORDS), "id"), "crowd-prints")
         order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id"))
-        ranked = durable(rest.withColumn("place", order), "ranked-lines")
+        ranked = durable(rest.join(told, "id").withColumn("place", order), "ranked-lines")
         chosen, others = ranked.where(F.col("place") <= pivots).alias("a"), ranked.alias("b")
         meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.place") < F.col("b.place")) & (F.col("a.root") != F.col("b.root"))
-        pairs = chosen.join(others, meet & _may_be_alike()).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        pairs = durable(pairs.distinct(), "line-pairs")
+        sizes = F.least("a.n", "b.n") >= ALIKE * F.greatest("a.n", "b.n") - 1e-6
+        here = F.col("a.key") == F.array_min(F.array_intersect("a.keys", "b.keys"))
+        pairs = chosen.join(others, meet & sizes & here & _may_be_alike(FINE_WORDS)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        pairs = durable(pairs, "line-pairs")
         links = durable(_alike(pairs, texts), "line-links")
-        left = ranked.where(F.col("place") > pivots).drop("place")
+        left = ranked.where(F.col("place") > pivots).select(columns)
         if not links.isEmpty():
             known = durable(components(links.union(known)), "line-components")
         rest = durable(_crowds(left.drop("root"), known).select(columns), "crowds")
@@ -232,7 +262,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     gone = told.withColumn("first", first).where(~stays)
     id_name, row_name, gone_name = (unused(docs, name) for name in ("_id", "_row", "_gone"))
     gone = gone.groupBy("doc_id", "row").agg(F.collect_set("pos").alias(gone_name))
-    gone = gone.select(F.col("doc_id").alias(id_name), F.col("row").alias(row_name), gone_name)
+    gone = gone.select(F.col("doc_id").alias(id_name), F.col("row").alias(row_name), gone_name).hint("shuffle_hash")  # texts aren't sorted for it
     text = F.col(f"`{text_col}`").cast("string")
     row = F.xxhash64(F.col(f"`{id_col}`"), F.coalesce(text, F.lit("")))
     marked = docs.join(gone, (row == F.col(row_name)) & F.col(f"`{id_col}`").eqNullSafe(F.col(id_name)), "left")
