@@ -311,3 +311,20 @@ def test_raw_tags_are_replaced_whole_and_added_once(spark, store):
     assert sorted(tuple(r) for r in store.raw_tags().collect()) == [("p", "C", "c", "s1"), ("q", "B", "b1", "s2")]
     store.replace_raw_tags(spark.createDataFrame([], schema))
     assert store.raw_tags().count() == 0
+
+
+def test_partitions_are_written_side_by_side(spark, store):
+    from tidemark.sources import storage
+
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    before = spark.conf.get(name)
+    rows = delivery(2, project_rows(spark, 5).unionByName(project_rows(spark, 5, source="b")))
+    with storage.side_by_side(spark):
+        seen.append(spark.conf.get(name))
+    store.stage(rows)
+    assert seen == ["16"] and spark.conf.get(name) == before
+    files = store.staging().inputFiles()
+    assert len(files) >= 2 and all(f.endswith(".zstd.parquet") for f in files) and store.staging().count() == 10
+    with pytest.raises(ZeroDivisionError), storage.side_by_side(spark):
+        1 / 0
+    assert spark.conf.get(name) == before

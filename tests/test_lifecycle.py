@@ -191,3 +191,81 @@ def test_import_and_staging_share_one_stored_table(spark):
         assert "lineitem" not in stored._jdf.queryExecution().optimizedPlan().toString()
         assert stored.select("id", "title", "description").exceptAll(view.select("id", "title", "description")).isEmpty()
         assert stored.count() == view.count()
+
+
+@pytest.fixture(scope="module")
+def stored_sides(spark):
+    """A target of 70,000 rows in one file and more in others, and a batch that has every third of them and 10,000 new ones."""
+    from tidemark.session import durable
+
+    def rows(ids):
+        number = F.col("id")
+        frame = project_rows(spark, 1, short_description="s").drop("id").crossJoin(ids)
+        return frame.withColumn("title", F.concat(F.lit("t"), number.cast("string"))).withColumn("id", F.concat(F.lit("a:"), number.cast("string")))
+
+    vector = F.when(F.col("placement") == 2, F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>"))
+    numbers = [spark.range(0, 70000, 1, 1), spark.range(70000, 80000, 1, 3)]
+    target = numbers[0].unionByName(numbers[1])
+    some = F.substring("title", 2, 9).cast("long")
+    target = rows(target).withColumn("placement", F.when(some % 5 == 0, 2).otherwise(1)).withColumn("embedding", vector)
+    batch = rows(spark.range(0, 270000, 3, 2)).withColumn("description", F.when(some % 2 == 0, "new").otherwise(F.col("description")))
+    return durable(target, "target"), durable(batch, "batch")
+
+
+def test_upsert_of_stored_tables_equals_the_join(spark, stored_sides):
+    target, batch = stored_sides
+    want, found = lifecycle.promote_upsert(target, batch), lifecycle.promote_upsert(target, batch, stored=True)
+    assert found.columns == want.columns and found.count() == want.count()
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+    told = {r.change: (r.n, r.v) for r in found.groupBy("change").agg(F.count("*").alias("n"), F.count("embedding").alias("v")).collect()}
+    assert told["kept"][0] + told["updated"][0] == 80000 and told["inserted"] == (63333, 0)
+    assert 0 < told["updated"][1] < told["updated"][0] / 5  # of every fifth row with a vector half keep their text
+
+
+def test_upsert_of_stored_tables_moves_no_row(spark, stored_sides):
+    plan = lifecycle.promote_upsert(*stored_sides, stored=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("empty", ["target", "batch"])
+def test_upsert_of_stored_tables_with_an_empty_side(spark, stored_sides, empty):
+    from tidemark.session import durable
+
+    target, batch = [durable(side.where("id < 'a:2'").limit(0 if name == empty else 50), name) for name, side in zip(("target", "batch"), stored_sides)]
+    want, found = lifecycle.promote_upsert(target, batch), lifecycle.promote_upsert(target, batch, stored=True)
+    assert found.count() == 50 and found.exceptAll(want).isEmpty()
+
+
+def test_only_digests_of_keys_travel(spark, monkeypatch):
+    kept, write = [], lifecycle.durable
+    monkeypatch.setattr(lifecycle, "durable", lambda frame, *more: kept.append(frame) or write(frame, *more))
+    rows = spark.createDataFrame([(1, "a", 2), (1, "a", 1), (2, "b", 1), (None, "c", 1), (None, "c", 1)], "k int, v string, o int")
+    lifecycle.first_of_few(rows, ["k", "v"], ["o"])
+    assert kept[0].columns == ["_digest_of_keys"] and kept[0].count() == 2
+    assert sorted(lifecycle.distinct_of_few(rows).collect(), key=str) == sorted(rows.distinct().collect(), key=str)
+    again = lifecycle.known_keys(rows, rows.where("o = 1 AND v < 'c'").unionByName(rows.limit(0)), ["k", "v"])
+    assert sorted(map(tuple, again.collect())) == [(1, "a"), (2, "b")]
+
+
+def test_equal_digests_of_other_keys_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(lifecycle, "_digest", lambda keys: F.length(F.col(keys[-1])))
+    rows = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5), ("cc", 3)], "id string, o int")
+    assert sorted(map(tuple, lifecycle.first_of_few(rows, ["id"], ["o"]).collect())) == [("a", 1), ("b", 5), ("cc", 3)]
+    assert lifecycle.distinct_of_few(rows.select("id")).count() == 3
+    assert [r.id for r in lifecycle.known_keys(rows.where("id <> 'b'"), rows.where("id <> 'a'"), ["id"]).collect()] == ["cc"]
+
+
+def test_tags_of_orders_from_one_set_of_parts(spark):
+    from tidemark.sources import tables
+
+    folder = work_folder(spark, "orders")
+    lines = [(1, 1, 1, "A", 0.0), (1, 1, 2, "R", 0.05), (1, 2, 3, "R", 0.01), (1, 3, 4, None, 0.1), (2, 3, None, "N", None), (3, 9, 1, "A", 0.1)]
+    parts = [(1, "B1", "BIG", "x"), (2, "B1", None, "y"), (3, None, "Small", "x")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_discount double").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_name string").write.parquet(f"{folder}/part.parquet")
+    tags = tables.order_tags(spark, folder)
+    assert {r.tag_orderkey: tuple(r)[1:] for r in tags.collect()} == {
+        1: (["B1"], ["big", "small"], ["x", "y"], ["B1"], ["B1"], True, 4),
+        2: ([], ["small"], ["x"], [], [], False, None),
+    }
+    assert tags._jdf.queryExecution().optimizedPlan().toString().count("collect_set") == 1

@@ -923,7 +923,7 @@ def _deliveries(spark, folder, work):
     half = F.pmod(F.xxhash64("id"), F.lit(2))
 
     def arrive(part: int) -> None:
-        rows.filter(half == part).write.mode("append").parquet(f"{work}/incoming")
+        rows.filter(half == part).write.mode("append").parquet(f"{work}/incoming", compression="zstd")
 
     return rows, arrive
 
@@ -934,7 +934,8 @@ def stream_gate(spark, folder):
     store = Store(spark, f"{work}/store")
     gate.import_run(store, tables.imported(tables.stored_projects(spark, folder), spark, folder), tables.IMPORT_RUN, ["order_key"])
     rows, arrive = _deliveries(spark, folder, work)
-    for run in rows.groupBy("scrape_run_id", "source").agg(F.countDistinct("id").alias("n")).collect():  # one row for each run
+    told = lifecycle.distinct_of_few(rows.select("scrape_run_id", "source", "id")).groupBy("scrape_run_id", "source")
+    for run in told.agg(F.count("id").alias("n")).collect():  # one row for each run
         gate.finish_run(store, run.scrape_run_id, run.source, run.n)
     for part in (0, 1):
         arrive(part)

@@ -55,10 +55,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(frame: DataFrame, name: str) -> DataFrame:
+def durable(frame: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """The frame written as a table in the shared folder and read back: lineage ends here, and a lost executor costs nothing."""
     folder = work_folder(frame.sparkSession, name)
-    frame.write.parquet(folder)
+    frame.write.parquet(folder, compression=codec)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
 
 

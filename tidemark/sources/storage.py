@@ -9,6 +9,7 @@ brought is on record, so that a run is decided when all of it has come, and what
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,22 @@ STAGED_EVENT = T.StructType(
 )
 
 
+#: How wide rows are stored. Row groups are small because a task has one open for each of its partitions.
+COMPACT = {"compression": "zstd", "parquet.block.size": str(32 << 20)}
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+@contextmanager
+def side_by_side(spark: SparkSession, partitions: int = 16):
+    """Tasks write up to so many partitions at once; only a task with more sorts its rows by partition, which spills."""
+    before = spark.conf.get(_WRITERS)
+    spark.conf.set(_WRITERS, str(partitions))
+    try:
+        yield
+    finally:
+        spark.conf.set(_WRITERS, before)
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
@@ -47,7 +64,8 @@ class Store:
     def _overwrite(self, rows: DataFrame, name: str, *partitions: str) -> None:
         """Write rows, replacing only the partitions that they belong to."""
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(*partitions).parquet(self._path(name))
+        with side_by_side(rows.sparkSession):
+            writer.options(**COMPACT).partitionBy(*partitions).parquet(self._path(name))
 
     def _exists(self, name: str) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
@@ -141,7 +159,8 @@ class Store:
         name, number = f"{table}/{uuid.uuid4().hex}", F.lit(None).cast("int")
         for i, source in enumerate(run_of_source):
             number = F.when(F.col("source") == source, F.lit(i)).otherwise(number)
-        rows.select(*columns, number.alias("part")).write.partitionBy("part").parquet(self._path(name))
+        with side_by_side(rows.sparkSession):
+            rows.select(*columns, number.alias("part")).write.options(**COMPACT).partitionBy("part").parquet(self._path(name))
         written = [(table, source, run, f"{name}/part={i}") for i, (source, run) in enumerate(run_of_source.items())]
         return [told for told in written if self._exists(told[3])]
 

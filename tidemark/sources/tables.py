@@ -81,30 +81,42 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.join(parts, lines.l_partkey == parts.p_partkey)
 
 
-def _set_of(value: Column, keep: Column | None = None) -> Column:
-    return F.array_sort(F.collect_set(value if keep is None else F.when(keep, value)))
-
-
 @view
 def order_tags(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per order that has lines. Sets are pre-aggregated before the shuffle, and bounded by
-    the number of brands, types and names, so an order with very many lines stays small."""
-    return (
-        order_lines(spark, folder)
+    """One row per order that has lines. The different parts of an order are gathered before the shuffle, as one set that the
+    sets of brands, types and names are taken from, so an order with very many lines stays small."""
+    returned = F.col("l_returnflag") == "R"
+    lines = dealt(read(spark, folder, "lineitem")).select(
+        "l_orderkey", "l_partkey", "l_linenumber", returned.alias("is_return"),
+        F.coalesce(F.col("l_returnflag") == "A", F.lit(False)).alias("claimed"),
+        F.coalesce(returned & (F.col("l_discount") >= 0.05), F.lit(False)).alias("returned"),
+    )
+    parts = read(spark, folder, "part").select("p_partkey", "p_brand", F.lower("p_type").alias("p_type"), "p_name")
+    gathered = (
+        lines.join(parts, lines.l_partkey == parts.p_partkey)
         .groupBy(F.col("l_orderkey").alias("tag_orderkey"))
         .agg(
-            _set_of(F.col("p_brand")).alias("brands"),
-            _set_of(F.lower("p_type")).alias("types"),
-            _set_of(F.col("p_name")).alias("part_names"),
-            _set_of(F.col("p_brand"), F.col("l_returnflag") == "A").alias("claimed_brands"),
-            _set_of(
-                F.col("p_brand"), (F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.05)
-            ).alias("returned_brands"),
-            F.max(F.col("l_returnflag") == "R").alias("has_return"),
+            F.collect_set(F.struct("p_brand", "p_type", "p_name", "claimed", "returned")).alias("parts"),
+            F.max("is_return").alias("has_return"),
             F.max("l_linenumber").alias("last_line"),
         )
     )
 
+    def of_parts(name: str, keep: str | None = None) -> Column:
+        chosen = F.filter("parts", lambda x: x[keep]) if keep else F.col("parts")
+        return F.array_sort(F.array_compact(F.array_distinct(F.transform(chosen, lambda x: x[name]))))
+
+    return gathered.select(
+        "tag_orderkey",
+        of_parts("p_brand").alias("brands"),
+        of_parts("p_type").alias("types"),
+        of_parts("p_name").alias("part_names"),
+        of_parts("p_brand", "claimed").alias("claimed_brands"),
+        of_parts("p_brand", "returned").alias("returned_brands"),
+        "has_return",
+        "last_line",
+    )
+
 
 @view
 def dated_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,7 +218,7 @@ def hackathons(spark: SparkSession, folder: str) -> DataFrame:
 @view
 def stored_projects(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus as a table in the shared folder, for jobs that import and stage it: its joins are made once."""
-    return durable(projects(spark, folder), "projects")
+    return durable(projects(spark, folder), "projects", "zstd")
 
 
 @view

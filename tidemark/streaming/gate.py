@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from tidemark import model
 from tidemark.config import Thresholds
 from tidemark.operators import lifecycle, quality
-from tidemark.session import durable
 from tidemark.sources.storage import Store
 
 
@@ -45,7 +44,7 @@ def promote_runs(store: Store, turn: dict[str, dict], now: Column | None = None)
     seen = Observation()
     touched = F.col("change") != "kept"
     counts = [F.count_if(touched & (F.col("source") == source)).alias(f"n{i}") for i, source in enumerate(sources)]
-    upserted = lifecycle.promote_upsert(store.serving(sources), batch).observe(seen, *counts)
+    upserted = lifecycle.promote_upsert(store.serving(sources), batch, stored=True).observe(seen, *counts)
     versions = store.write_snapshots(upserted, "projects", model.SERVING.names, run_of_source)
     events = lifecycle.first_wins(store.staged_events().filter(chosen), ["source", "slug"], ["delivery", "name", "hackathon_date", "url"])
     merged = lifecycle.hackathon_upsert(store.hackathons(sources), events, now if now is not None else F.current_timestamp())
@@ -129,7 +128,7 @@ def deliver(store: Store, batch: DataFrame, delivery: int) -> None:
     unique = lifecycle.first_of_few(fresh.withColumn("_digest", whole), ["scrape_run_id", "id"], order)
     earlier = store._read("staging", T.StructType([*model.STAGING.fields, T.StructField("delivery", T.LongType())]))
     known = earlier.filter(F.col("scrape_run_id").isin(runs) & (F.col("delivery") != delivery)).select("scrape_run_id", "id")
-    again = durable(known.join(fresh.select("scrape_run_id", "id"), ["scrape_run_id", "id"], "left_semi"), "known-ids")  # few: whole rows don't travel for them
+    again = lifecycle.known_keys(fresh, known, ["scrape_run_id", "id"])  # few: whole rows don't travel for them
     added = unique.join(again, ["scrape_run_id", "id"], "left_anti")
     keys = ["scrape_run_id", "source"]  # a delivery without new ids is on record, too
     new = added.groupBy(*keys).agg(F.count("*").alias("n"))
